@@ -54,8 +54,13 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.load_reviews(_raw(spark, sf_dir))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews for work on the texts, which a single input file would give to one core."""
+    return source.load_reviews(source.spread(_raw(spark, sf_dir)))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.score(_reviews(spark, sf_dir), LEXICON)
+    return sentiment.score(_texts(spark, sf_dir), LEXICON)
 
 
 def _marts(spark: SparkSession, sf_dir: str) -> Marts:
@@ -114,11 +119,11 @@ def _sample_fixed_n(spark, d):
 
 
 def _clean_text(spark, d):
-    return _reviews(spark, d).select("Id", clean_text(F.col("Text")).alias("CleanText"))
+    return _texts(spark, d).select("Id", clean_text(F.col("Text")).alias("CleanText"))
 
 
 def _clean_markup(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
+    pages = source.spread(spark.read.parquet(f"{d}/pages.parquet"), "page_id")
     return pages.select("page_id", clean_text(F.col("html")).alias("CleanText"))
 
 
@@ -133,7 +138,7 @@ def _sentiment_joined(spark, d):
     """The scoring used for lexicons too large for a constant."""
     rows = list(LEXICON.items())
     table = spark.createDataFrame(rows, "word string, polarity string")
-    cleaned = sentiment.with_clean_text(_reviews(spark, d))
+    cleaned = sentiment.with_clean_text(_texts(spark, d))
     scored = sentiment.score_by_join(cleaned, table)
     return scored.select("Id", "SentimentScore", "Sentiment")
 
@@ -149,7 +154,7 @@ def _sentiment_plugin(spark, d):
 
         return clean.map(one)
 
-    return sentiment.score_with(_reviews(spark, d), scorer).select(
+    return sentiment.score_with(_texts(spark, d), scorer).select(
         "Id", "SentimentScore", "Sentiment"
     )
 
@@ -162,7 +167,7 @@ def _complaint_insights(spark, d):
 
 
 def _common_words(spark, d):
-    scored = sentiment.with_clean_text(_reviews(spark, d))
+    scored = sentiment.with_clean_text(_texts(spark, d))
     top = keywords.top_words(keywords.keyword_counts(scored, by_class=False))
     return keywords.with_share(top, _total(scored))
 
@@ -185,7 +190,7 @@ def _keyword_table(spark, d):
 
 def _stop_words_joined(spark, d):
     """The stop list as a table, anti-joined to the tokens."""
-    reviews = sentiment.with_clean_text(_reviews(spark, d))
+    reviews = sentiment.with_clean_text(_texts(spark, d))
     table = keywords.stop_word_table(spark)
     counts = keywords.keyword_counts(reviews, table, by_class=False)
     return counts.select("word", "mentions")
@@ -206,7 +211,7 @@ def _products(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _lengths(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: fn(lengths.with_length(_reviews(spark, d)))
+    return lambda spark, d: fn(lengths.with_length(_texts(spark, d)))
 
 
 def _star_quotes(spark, d):

@@ -15,19 +15,19 @@ def percent(part: Column, total: Column) -> Column:
     return F.try_divide(part, total) * F.lit(100.0)
 
 
-def fixed(value: Column, places: int) -> Column:
-    """Text with thousands separators and ``places`` decimals."""
-    return F.format_number(value, places)
+def grouped(value: Column) -> Column:
+    """Whole number with thousands separators."""
+    return F.format_number(value, 0)
 
 
-def fixed_plain(value: Column, places: int) -> Column:
-    """As :func:`fixed`, without thousands separators."""
+def fixed(value: Column, places: int) -> Column:
+    """Text with ``places`` decimals, no separators."""
     return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
 
 
 def round_exact(value: Column, places: int) -> Column:
     """Round the exact binary value: 12.35 -> 12.3, 0.25 -> 0.2."""
-    return fixed_plain(value, places).cast("double")
+    return fixed(value, places).cast("double")
 
 
 def round_scaled(value: Column, places: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions import bands
-from opinara.functions.numbers import fixed, percent
+from opinara.functions.numbers import fixed, grouped, percent
 
 CUBE_KEYS = ("YearMonth", "Score", "Sentiment")
 
@@ -93,7 +93,7 @@ def kpi_cards(cube: DataFrame) -> DataFrame:
 
     pos, neg, rating = F.col("positive_pct"), F.col("negative_pct"), F.col("avg_rating")
     cards = F.array(
-        card(1, "Total Reviews", F.col("total"), fixed(F.col("total"), 0)),
+        card(1, "Total Reviews", F.col("total"), grouped(F.col("total"))),
         card(2, "Positive %", pos, F.concat(fixed(pos, 1), F.lit("%"))),
         card(3, "Negative %", neg, F.concat(fixed(neg, 1), F.lit("%"))),
         card(4, "Avg Rating", rating, F.concat(fixed(rating, 2), F.lit("/5"))),

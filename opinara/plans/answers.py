@@ -2,256 +2,203 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions import bands
 from opinara.functions.dates import month_label
-from opinara.functions.numbers import fixed
+from opinara.functions.numbers import fixed, grouped
 from opinara.functions.text import joined_lines, star_glyphs
 from opinara.operators import keywords, metrics, products, trend
+from opinara.plans import answer_texts as t
 from opinara.plans.marts import Marts
 from opinara.plans.questions import route
 from opinara.sources.sampling import sample_quotes
 
+_NONE = "n/a"
 
-def say(*parts: Column | str) -> Column:
-    """Concatenate text and columns; a missing number reads as ``n/a``."""
-    return F.concat(*[
-        F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("n/a"))
-        for p in parts
-    ])
 
+def fill(template: str, **columns: Column | str) -> Column:
+    """``template`` with each ``{name}`` replaced by a column.
 
-def number(name: str, places: int = 0) -> Column:
-    return fixed(F.col(name), places)
+    A name that is not passed is the column of that name.
+    """
+    pattern, used = "", []
+    for text, name, _, _ in Formatter().parse(template):
+        pattern += text.replace("%", "%%")
+        if name:
+            pattern += "%s"
+            used.append(columns.get(name, name))
+    return F.format_string(pattern, *used) if used else F.lit(template)
 
 
-def count_share(count: str, share: str) -> Column:
-    return say(number(count), " (", number(share, 1), "%)")
+def number(name: str, places: int) -> Column:
+    return F.coalesce(fixed(F.col(name), places), F.lit(_NONE))
 
 
-def quote_lines(reviews: DataFrame) -> Column:
-    if "Summary" not in reviews.columns:
-        return F.lit("")
-    line = say("  ", star_glyphs(F.col("Score")), ' "', F.coalesce("Summary", F.lit("")), '"')
-    return _lines(sample_quotes(reviews), "ord", line)
+def count(name: str) -> Column:
+    return F.coalesce(grouped(F.col(name)), F.lit(_NONE))
 
 
 def _lines(df: DataFrame, order: str, line: Column) -> Column:
+    """The lines of a short ranked table as one scalar text."""
     lines = df.select(F.col(order).alias("ord"), line.alias("line"))
     return lines.agg(joined_lines(F.col("ord"), F.col("line"))).scalar()
 
 
-def _ranked_words(top: DataFrame, total: Column, unit: str) -> Column:
-    line = say("  ", F.col("rank"), ". '", F.col("word"), "' - ", F.col("mentions"), unit,
-               number("pct", 1), "%)")
-    return _lines(keywords.with_share(top, total), "rank", line)
+def _one(df: DataFrame, text: Column) -> Column:
+    """The text made from a table of at most one row."""
+    return df.select(text.alias("text")).agg(F.max("text")).scalar()
 
 
-def _trend_text(marts: Marts) -> Column:
-    if not marts.has_time:
-        return F.lit("Time data is not available.")
-    m = month_label
-    summary = trend.trend_summary(marts.monthly).select(say(
-        "Sentiment trend:\n  Data range: ", m(F.col("first_month")), " to ",
-        m(F.col("last_month")), "\n  Worst month: ", m(F.col("worst_month")),
-        "\n  Best month: ", m(F.col("best_month")),
-    )).scalar()
-    step = say("    ", F.col("label"), ": ", number("neg_pct", 1), "% negative, risk ",
-               F.col("risk"))
-    ahead = marts.forecast.groupBy("direction", "advice").agg(
-        joined_lines(F.col("step"), step).alias("steps")
-    )
-    outlook = ahead.agg(F.max(say(
-        "\n  Direction: ", F.col("direction"), "\n  Forecast:\n", F.col("steps"),
-        "\n  Advice: ", F.col("advice"),
-    ))).scalar()
-    return F.concat(summary, F.coalesce(outlook, F.lit("")))
+def _quotes(reviews: DataFrame) -> Column:
+    if "Summary" not in reviews.columns:
+        return F.lit("")
+    summary = F.coalesce("Summary", F.lit(""))
+    line = fill(t.QUOTE, stars=star_glyphs(F.col("Score")), summary=summary)
+    return _lines(sample_quotes(reviews), "ord", line)
 
 
-def _scenario_text(marts: Marts) -> Column:
-    missing = F.lit("There is not enough history for a forecast.")
+def _words(top: DataFrame, total: Column, template: str) -> Column:
+    line = fill(template, pct=number("pct", 1))
+    return _lines(keywords.with_share(top, total), "rank", line)
+
+
+def _forecast_texts(marts: Marts) -> tuple[Column, Column, Column]:
+    """Trend answer, scenario answer, and the outlook line of the recommendations."""
     if not marts.has_time:
-        return missing
-    step = say("    ", F.col("label"), ": ", number("neg_pct", 1), "% negative, risk ",
-               F.col("risk"))
-    steps = marts.forecast.groupBy("direction").agg(
-        joined_lines(F.col("step"), step).alias("steps")
-    ).agg(F.max(say("Forecast, direction ", F.col("direction"), ":\n", F.col("steps")))).scalar()
-    case = say("    ", F.col("scenario"), ": ", number("neg_pct", 1), "%")
-    cases = trend.scenarios(marts.forecast).groupBy("action").agg(
-        joined_lines(F.col("ord"), case).alias("cases")
-    ).agg(F.max(say("\n  Scenarios:\n", F.col("cases"), "\n  Action: ", F.col("action")))).scalar()
-    return F.coalesce(F.concat(steps, cases), missing)
+        return F.lit(t.NO_TIME), F.lit(t.NO_FORECAST), F.lit("")
+    months = {name: month_label(F.col(f"{name}_month"))
+              for name in ("first", "last", "worst", "best")}
+    summary = _one(trend.trend_summary(marts.monthly), fill(t.TREND, **months))
+
+    step = fill(t.FORECAST_STEP, pct=number("neg_pct", 1))
+    ahead = (
+        marts.forecast.select("*", step.alias("line"))
+        .groupBy("direction", "advice", "slope_rounded")
+        .agg(joined_lines(F.col("step"), F.col("line")).alias("steps"))
+    )
+    case = fill(t.SCENARIO, pct=number("neg_pct", 1))
+    cases = (
+        trend.scenarios(marts.forecast).select("*", case.alias("line"))
+        .groupBy("action")
+        .agg(joined_lines(F.col("ord"), F.col("line")).alias("cases"))
+    )
+    scenarios = F.concat(
+        _one(ahead, fill(t.FORECAST)), _one(cases, fill(t.SCENARIOS))
+    )
+    outlook = fill(
+        t.OUTLOOK, direction=F.lower("direction"),
+        note=bands.recommendation_note(F.col("slope_rounded")),
+    )
+    return (
+        F.concat(summary, F.coalesce(_one(ahead, fill(t.TREND_OUTLOOK)), F.lit(""))),
+        F.coalesce(scenarios, F.lit(t.NO_FORECAST)),
+        F.coalesce(_one(ahead, outlook), F.lit("")),
+    )
 
 
 def _product_texts(marts: Marts) -> tuple[Column, Column]:
     if not marts.has_products:
-        missing = F.lit("Product data is not available.")
-        return missing, missing
-    stats = marts.products
-    most = say("  ", F.col("rank"), ". ", F.col("ProductId"), ": ", F.col("reviews"),
-               " reviews, ", number("avg_rating", 1), " stars, ",
-               number("positive_pct", 0), "% positive")
-    worst = say("  ", F.col("rank"), ". ", F.col("ProductId"), ": ", F.col("negative"),
-                " negative reviews, ", number("avg_rating", 1),
-                " stars; check its quality and description")
+        return F.lit(t.NO_PRODUCTS), F.lit(t.NO_PRODUCTS)
+    stats, rating = marts.products, number("avg_rating", 1)
+    most = fill(t.PRODUCT, product="ProductId", rating=rating, pct=number("positive_pct", 0))
+    worst = fill(t.COMPLAINED_PRODUCT, product="ProductId", rating=rating)
     return (
-        say("Most reviewed products:\n", _lines(products.top_products(stats), "rank", most)),
-        say("Products with most complaints:\n",
-            _lines(products.complained_products(stats), "rank", worst)),
+        F.concat(F.lit("Most reviewed products:\n"),
+                 _lines(products.top_products(stats), "rank", most)),
+        F.concat(F.lit("Products with most complaints:\n"),
+                 _lines(products.complained_products(stats), "rank", worst)),
     )
 
 
-def _year_text(marts: Marts) -> Column:
+def _years(marts: Marts) -> Column:
     if not marts.has_time:
-        return F.lit("Year data is not available.")
-    line = say("  ", F.col("year"), ": ", F.col("reviews"), " reviews, ",
-               number("avg_rating", 1), " stars, ", number("positive_pct", 1),
-               "% positive, ", number("negative_pct", 1), "% negative")
-    return say("Year by year:\n", _lines(marts.yearly, "year", line))
+        return F.lit(t.NO_YEARS)
+    line = fill(t.YEAR, rating=number("avg_rating", 1), pos=number("positive_pct", 1),
+                neg=number("negative_pct", 1))
+    return F.concat(F.lit("Year by year:\n"), _lines(marts.yearly, "year", line))
 
 
-def _recommendation_note(marts: Marts) -> Column:
-    if not marts.has_time:
-        return F.lit("")
-    note = say("\n  5. Outlook: the negative trend is ", F.lower("direction"), ", ",
-               bands.recommendation_note(F.col("slope_rounded")), ".")
-    fit = trend.trend_fit(marts.monthly)
-    return F.coalesce(fit.agg(F.max(note)).scalar(), F.lit(""))
-
-
-HELP = (
-    "You can ask about:\n"
-    "  overall sentiment; positive, negative and neutral reviews; satisfaction (CSAT)\n"
-    "  highest and lowest rated reviews; complaints; praise; common words\n"
-    "  average rating and star breakdown\n"
-    "  trend over time, forecast and scenarios, year by year\n"
-    "  most reviewed and most complained products\n"
-    "  business impact, recommendations, model accuracy, review length"
-)
-FALLBACK = (
-    "That question is not understood. Try one of:\n"
-    "  What is overall sentiment?\n  What are the top complaints?\n"
-    "  Show the forecast\n  Why do complaints matter?\n  Give me recommendations\n"
-    "Ask for help to see every topic."
-)
-
-
-def answer_table(marts: Marts) -> DataFrame:
-    """``intent, answer``: 25 rows, whatever the size of the data."""
-    facts, total = marts.facts, marts.total
-    top, low = F.col("Score") == 5, F.col("Score") == 1
-    star_line = say("  ", star_glyphs(F.col("star")), " ", F.col("star"), "-star: ",
-                    number("n"), " (", number("pct", 1), "%)")
+def _figures(marts: Marts) -> DataFrame:
+    """One row with every text and number that a template names."""
+    facts, total, kpi = marts.facts, marts.total, metrics.kpi(marts.cube)
     stars = metrics.star_breakdown(marts.cube)
-    five, one = metrics.star_share(marts.cube, 5), metrics.star_share(marts.cube, 1)
-    share = say(number("n"), " (", number("pct", 1), "%)")
-    best_words = marts.praise.where(F.col("rank") <= v.INSIGHT_LINES)
-    longest = marts.longest.select(
-        say(F.col("ReviewLen"), " words (rated ", F.col("Score"), ")")
-    )
-    lengths = marts.lengths.select(say(
-        "  Average: ", number("avg_words", 0), " words\n  Under 20 words: ",
-        number("short_reviews"), "\n  Over 100 words: ", number("long_reviews"),
-    ))
-    most_reviewed, most_complained = _product_texts(marts)
+    star_line = fill(t.STAR, stars=star_glyphs(F.col("star")), n=count("n"),
+                     pct=number("pct", 1))
 
-    figures = metrics.kpi(marts.cube).select(
-        "*",
-        quote_lines(facts.where(F.col("Sentiment") == v.POSITIVE)).alias("quotes_pos"),
-        quote_lines(facts.where(F.col("Sentiment") == v.NEGATIVE)).alias("quotes_neg"),
-        quote_lines(facts.where(top)).alias("quotes_top"),
-        quote_lines(facts.where(low)).alias("quotes_low"),
-        five.select(share).scalar().alias("five_star"),
-        one.select(share).scalar().alias("one_star"),
-        five.select(fixed(F.col("pct"), 1)).scalar().alias("five_pct"),
-        one.select(fixed(F.col("pct"), 1)).scalar().alias("one_pct"),
-        _lines(stars, "star", star_line).alias("star_lines"),
-        _lines(marts.insights, "rank", say("  ", F.col("line"))).alias("complaint_lines"),
-        _ranked_words(best_words, total, " mentions (").alias("praise_lines"),
-        marts.praise.where(F.col("rank") == 1).select("word").scalar().alias("first_praise"),
-        keywords.word_list(marts.complaints, 3).scalar().alias("complaint_list"),
-        keywords.word_list(marts.praise, 3).scalar().alias("praise_list"),
-        _ranked_words(marts.common_words, total, " times (").alias("common_lines"),
-        _trend_text(marts).alias("trend_text"),
-        _scenario_text(marts).alias("scenario_text"),
-        _year_text(marts).alias("year_text"),
-        _recommendation_note(marts).alias("outlook"),
-        most_reviewed.alias("most_reviewed"),
-        most_complained.alias("most_complained"),
-        longest.scalar().alias("longest"),
-        lengths.scalar().alias("lengths"),
-    )
+    def star_text(star: int, template: str) -> Column:
+        row = stars.where(F.col("star") == star)
+        return _one(row, fill(template, n=count("n"), pct=number("pct", 1)))
 
-    rating, neg = F.col("avg_rating"), F.col("negative_pct")
-    c = F.col
-    pos_n = count_share("positive", "positive_pct")
-    neg_n = count_share("negative", "negative_pct")
-    neu_n = count_share("neutral", "neutral_pct")
-    rating_2 = number("avg_rating", 2)
+    def count_share(name: str) -> Column:
+        return fill("{n} ({pct}%)", n=count(name), pct=number(f"{name}_pct", 1))
+
+    trend_text, scenario_text, outlook = _forecast_texts(marts)
+    most_reviewed, most_complained = _product_texts(marts)
+    rating, negative = F.col("avg_rating"), F.col("negative_pct")
     texts = {
-        1: say("Overall sentiment over ", number("total"), " reviews:\n  Positive: ", pos_n,
-               "\n  Negative: ", neg_n, "\n  Neutral: ", neu_n,
-               "\n  Satisfaction: ", bands.csat_level(c("csat")), "\n  At risk: ",
-               number("negative"), " unhappy reviewers\n  Average rating: ", rating_2,
-               "/5, ", bands.industry_position(rating), " the industry average of 3.5"),
-        2: say("Positive reviews: ", pos_n, "\n  Satisfied buyers tend to come back and"
-               " recommend.\n  Examples:\n", c("quotes_pos")),
-        3: say("Negative reviews: ", neg_n, "\n  Winning a lost buyer back costs far more"
-               " than keeping one.\n  Examples:\n", c("quotes_neg")),
-        4: say("Neutral reviews: ", neu_n, "\n  Undecided buyers; small improvements can"
-               " win them."),
-        5: say("5-star reviews: ", c("five_star"), "\n  Use them in marketing.\n"
-               "  Examples:\n", c("quotes_top")),
-        6: say("1-star reviews: ", c("one_star"), "\n  The most visible ones; reply to them"
-               " publicly.\n  Examples:\n", c("quotes_low")),
-        7: say("Top complaints:\n", c("complaint_lines"), "\n  Negative reviews: ", neg_n,
-               "\n  Priority: ", bands.urgency(neg)),
-        8: say("What customers praise:\n", c("praise_lines"), "\n  Put '",
-               c("first_praise"), "' first in ads and descriptions."),
-        9: say("Star ratings:\n  Average: ", rating_2, " of 5\n  Most common: ",
-               c("mode_rating"), " stars\n", c("star_lines"), "\n  5-star share: ",
-               c("five_pct"), "%\n  1-star share: ", c("one_pct"), "%"),
-        10: say("Average rating: ", rating_2, " of 5\n  Most common: ", c("mode_rating"),
-                " stars\n  Based on: ", number("total"), " reviews\n  ",
-                bands.rating_benchmark(rating), " the 4.0 benchmark. ",
-                bands.rating_advice(rating)),
-        11: c("trend_text"),
-        12: c("most_reviewed"),
-        13: c("most_complained"),
-        14: say("Customer satisfaction (CSAT): ", number("csat", 1), "%\n  Average rating: ",
-                rating_2, "/5\n  Level: ", bands.csat_level(c("csat")),
-                "\n  Benchmark of 70%: ", bands.csat_benchmark(c("csat"))),
-        15: c("scenario_text"),
-        16: say("Why the complaints matter:\n", c("complaint_lines"), "\n  Negative share ",
-                number("negative_pct", 1), "%: ", bands.urgency_note(neg),
-                "\n  Average rating ", rating_2, "/5 ", bands.retention_note(rating)),
-        17: say("Recommendations, priority ", bands.urgency(neg), ":\n  1. Fix: ",
-                c("complaint_list"), "\n  2. Promote: ", c("praise_list"),
-                "\n  3. Monitor: months with more than 20% negative reviews"
-                "\n  4. Engage: answer every 1-star review", c("outlook")),
-        18: say("Dataset: ", number("total"), " reviews\n  Positive: ", pos_n,
-                "\n  Negative: ", neg_n, "\n  Neutral: ", neu_n, "\n  Average rating: ",
-                rating_2, "/5"),
-        19: say("Model: lexicon polarity from -1 to 1\n  Agreement with the stars: ",
-                number("agreement_pct", 1), "%\n  Positive above 0.1, Negative below -0.1,"
-                " Neutral between\n  Sarcasm and context are not understood."),
-        20: say("Most common words:\n", c("common_lines")),
-        21: c("year_text"),
-        22: say("Review length:\n", c("lengths"), "\n  Longest: ", c("longest")),
-        23: say("Review analytics over ", number("total"), " customer reviews: sentiment,"
-                " complaints and their impact, trends, forecasts and products."
-                "\n  Ask for help to see every topic."),
-        24: F.lit(HELP),
-        25: F.lit(FALLBACK),
+        "total": count("total"),
+        "pos": count_share("positive"),
+        "neg": count_share("negative"),
+        "neu": count_share("neutral"),
+        "neg_count": count("negative"),
+        "neg_pct": number("negative_pct", 1),
+        "rating": number("avg_rating", 2),
+        "mode": F.coalesce(F.col("mode_rating").cast("string"), F.lit(_NONE)),
+        "csat": number("csat", 1),
+        "agreement": number("agreement_pct", 1),
+        "csat_level": bands.csat_level(F.col("csat")),
+        "csat_benchmark": bands.csat_benchmark(F.col("csat")),
+        "industry": bands.industry_position(rating),
+        "rating_benchmark": bands.rating_benchmark(rating),
+        "rating_advice": bands.rating_advice(rating),
+        "retention": bands.retention_note(rating),
+        "urgency": bands.urgency(negative),
+        "urgency_note": bands.urgency_note(negative),
+        "quotes_pos": _quotes(facts.where(F.col("Sentiment") == v.POSITIVE)),
+        "quotes_neg": _quotes(facts.where(F.col("Sentiment") == v.NEGATIVE)),
+        "quotes_top": _quotes(facts.where(F.col("Score") == 5)),
+        "quotes_low": _quotes(facts.where(F.col("Score") == 1)),
+        "five_star": star_text(5, "{n} ({pct}%)"),
+        "one_star": star_text(1, "{n} ({pct}%)"),
+        "five_pct": star_text(5, "{pct}"),
+        "one_pct": star_text(1, "{pct}"),
+        "star_lines": _lines(stars, "star", star_line),
+        "complaint_lines": _lines(marts.insights, "rank", fill(t.COMPLAINT)),
+        "complaint_list": keywords.word_list(marts.complaints, 3).scalar(),
+        "praise_lines": _words(
+            marts.praise.where(F.col("rank") <= v.INSIGHT_LINES), total, t.PRAISE),
+        "praise_list": keywords.word_list(marts.praise, 3).scalar(),
+        "first_praise": F.coalesce(
+            keywords.word_list(marts.praise, 1).scalar(), F.lit(_NONE)),
+        "common_lines": _words(marts.common_words, total, t.COMMON_WORD),
+        "trend": trend_text,
+        "scenarios": scenario_text,
+        "outlook": outlook,
+        "most_reviewed": most_reviewed,
+        "most_complained": most_complained,
+        "years": _years(marts),
+        "lengths": _one(marts.lengths, fill(
+            t.LENGTHS, average=number("avg_words", 0), short=count("short_reviews"),
+            long=count("long_reviews"))),
+        "longest": F.coalesce(
+            _one(marts.longest, fill(t.LONGEST, words="ReviewLen", score="Score")),
+            F.lit(_NONE)),
     }
+    return kpi.select(*[text.alias(name) for name, text in texts.items()])
+
+
+def answer_table(marts: Marts) -> DataFrame:
+    """``intent, answer``: 25 rows, whatever the size of the data."""
     rows = F.array(*[
-        F.struct(F.lit(i).alias("intent"), t.alias("answer")) for i, t in texts.items()
+        F.struct(F.lit(intent).alias("intent"), fill(template).alias("answer"))
+        for intent, template in t.TEMPLATES.items()
     ])
-    return figures.select(F.inline(rows))
+    return _figures(marts).select(F.inline(rows))
 
 
 def answer(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 
@@ -13,13 +14,15 @@ from opinara.sources.sinks import stored
 
 @dataclass(frozen=True)
 class Marts:
-    """``facts``: one narrow row per review; ``words``: counts per class and word.
+    """``facts``: one narrow row per review; ``cube``: review counts per month, star
+    and class; ``words``: mentions per class and word.
 
-    Both come from one pass over the texts each.  Every other table is derived from
-    them, so nothing reads or scores a text again.
+    Facts and words take one pass over the texts each.  Every other table is derived
+    from these three, so nothing reads or scores a text again.
     """
 
     facts: DataFrame
+    cube: DataFrame
     words: DataFrame
     impact: DataFrame
 
@@ -31,22 +34,17 @@ class Marts:
         stop_words=keywords.STOP_WORDS,
         store: bool = True,
     ) -> Marts:
-        """From scored reviews; ``store`` writes both tables to the shared folder."""
-        facts = sentiment.review_facts(scored)
-        words = keywords.keyword_counts(scored, stop_words)
-        if impact_table is None:
-            impact_table = impact.impact_table(scored.sparkSession)
-        if store:
-            facts, words = stored(facts, "facts"), stored(words, "words")
-        return cls(facts, words, impact_table)
+        """From scored reviews; ``store`` writes the tables to the shared folder."""
 
-    @property
-    def cube(self) -> DataFrame:
-        return metrics.class_cube(self.facts)
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            return stored(df, name) if store else df
 
-    @property
-    def total(self) -> Column:
-        return metrics.total_reviews(self.cube).scalar()
+        facts = keep(sentiment.review_facts(scored), "facts")
+        cube = keep(metrics.class_cube(facts).coalesce(1), "cube")
+        words = keep(keywords.keyword_counts(scored, stop_words), "words")
+        if impact_table is None:
+            impact_table = impact.impact_table(scored.sparkSession)
+        return cls(facts, cube, words, impact_table)
 
     @property
     def has_time(self) -> bool:
@@ -56,42 +54,46 @@ class Marts:
     def has_products(self) -> bool:
         return "ProductId" in self.facts.columns
 
-    @property
+    @cached_property
+    def total(self) -> Column:
+        return metrics.total_reviews(self.cube).scalar()
+
+    @cached_property
     def complaints(self) -> DataFrame:
         return keywords.top_words(self.words, sentiment=v.NEGATIVE)
 
-    @property
+    @cached_property
     def praise(self) -> DataFrame:
         return keywords.top_words(self.words, sentiment=v.POSITIVE)
 
-    @property
+    @cached_property
     def common_words(self) -> DataFrame:
         return keywords.top_words(keywords.over_all_classes(self.words))
 
-    @property
+    @cached_property
     def insights(self) -> DataFrame:
         return impact.insight_lines(self.complaints, self.impact, self.total)
 
-    @property
+    @cached_property
     def monthly(self) -> DataFrame:
         return trend.monthly_negative(self.cube)
 
-    @property
+    @cached_property
     def forecast(self) -> DataFrame:
         return trend.forecast(trend.trend_fit(self.monthly))
 
-    @property
+    @cached_property
     def yearly(self) -> DataFrame:
         return metrics.yearly(self.cube)
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return products.product_stats(self.facts)
 
-    @property
+    @cached_property
     def lengths(self) -> DataFrame:
         return lengths.review_length(self.facts)
 
-    @property
+    @cached_property
     def longest(self) -> DataFrame:
         return lengths.longest_review(self.facts)

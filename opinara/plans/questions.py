@@ -13,16 +13,15 @@ from opinara.functions.text import strip
 
 
 def intent_of(
-    question: Column,
+    asked: Column,
     triggers: Mapping[int, Sequence[str]] = v.TRIGGERS,
     fallback: int = v.FALLBACK_INTENT,
 ) -> Column:
-    """Number of the first intent with a trigger phrase contained in the question.
+    """Number of the first intent with a trigger phrase contained in a normalised question.
 
     One CASE branch per intent, tried in order: a narrow expression, so it needs
     neither a join with the phrases nor a shuffle and works on streams as well.
     """
-    asked = strip(F.lower(question))
     branches = F
     for intent in sorted(triggers):
         phrases = "|".join(re.escape(p) for p in triggers[intent])
@@ -32,9 +31,10 @@ def intent_of(
 
 def route(questions: DataFrame, triggers: Mapping[int, Sequence[str]] = v.TRIGGERS) -> DataFrame:
     """Add ``intent`` and ``intent_name`` to ``question_id, question``."""
-    routed = questions.withColumn("intent", intent_of(F.col("question"), triggers))
+    normalised = questions.withColumn("_asked", strip(F.lower("question")))
+    routed = normalised.withColumn("intent", intent_of(F.col("_asked"), triggers))
     names = F.array(*[F.lit(n) for n in v.INTENTS])
-    return routed.withColumn("intent_name", F.get(names, F.col("intent") - 1))
+    return routed.withColumn("intent_name", F.get(names, F.col("intent") - 1)).drop("_asked")
 
 
 def canned_questions(spark: SparkSession) -> DataFrame:

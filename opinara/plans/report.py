@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
-from opinara.functions.numbers import fixed
+from opinara.functions.numbers import fixed, grouped
 from opinara.operators import metrics
 from opinara.plans.marts import Marts
 
@@ -19,12 +19,12 @@ def report(marts: Marts) -> DataFrame:
                 label.alias("label"), value.alias("value")]
 
     def count_and_share(count: str, share: str) -> Column:
-        return F.concat(fixed(F.col(count), 0), F.lit(" ("), fixed(F.col(share), 1), F.lit("%)"))
+        return F.concat(grouped(F.col(count)), F.lit(" ("), fixed(F.col(share), 1), F.lit("%)"))
 
     figures = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(label).alias("l"), value.alias("v"))
         for i, (label, value) in enumerate((
-            ("Total", fixed(F.col("total"), 0)),
+            ("Total", grouped(F.col("total"))),
             (v.POSITIVE, count_and_share("positive", "positive_pct")),
             (v.NEGATIVE, count_and_share("negative", "negative_pct")),
             (v.NEUTRAL, count_and_share("neutral", "neutral_pct")),

@@ -67,6 +67,16 @@ def reviews_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str = "Id") -> DataFrame:
+    """Spread rows over all cores when there are fewer input files than cores.
+
+    For a few files that cannot be split (multi-line CSV, one large row group).  With
+    at least one file per core nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna(subset=list(v.REQUIRED_COLUMNS))
 
