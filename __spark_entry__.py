@@ -86,20 +86,13 @@ def _cube_query(fn: Callable[[DataFrame], DataFrame], *keys: str) -> Query:
     return lambda spark, d: fn(metrics.class_cube(_scored(spark, d), *keys))
 
 
-def _word_query(fn: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> Query:
-    """``fn(top words of one class, scored reviews)``."""
+def _word_query(fn: Callable[[DataFrame], DataFrame], name: str) -> Query:
+    """``fn(rank, word, mentions, total)`` of the top words of one class."""
+    return lambda spark, d: fn(keywords.top_keywords(_scored(spark, d), name)).drop("total")
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = _scored(spark, sf_dir)
-        of_class = scored.where(F.col("Sentiment") == name)
-        counts = keywords.keyword_counts(of_class, by_class=False)
-        return fn(keywords.top_words(counts), scored)
 
-    return run
-
-
-def _total(reviews: DataFrame):
-    return reviews.agg(F.count(F.lit(1))).scalar()
+def _share(top: DataFrame) -> DataFrame:
+    return keywords.with_share(top, F.col("total"))
 
 
 def _load_stats(spark, d):
@@ -161,22 +154,19 @@ def _sentiment_plugin(spark, d):
 
 def _complaint_insights(spark, d):
     table = impact.impact_table(spark, IMPACTS)
-    return _word_query(lambda top, s: impact.insight_lines(top, table, _total(s)), v.NEGATIVE)(
-        spark, d
-    )
+    return _word_query(
+        lambda top: impact.insight_lines(top, table, F.col("total")), v.NEGATIVE)(spark, d)
 
 
 def _common_words(spark, d):
-    scored = sentiment.with_clean_text(_texts(spark, d))
-    top = keywords.top_words(keywords.keyword_counts(scored, by_class=False))
-    return keywords.with_share(top, _total(scored))
+    return _share(keywords.top_keywords(_texts(spark, d))).drop("total")
 
 
 def _keyword_lists(spark, d):
-    counts = keywords.keyword_counts(_scored(spark, d))
+    scored = _scored(spark, d)
 
     def words(name: str) -> DataFrame:
-        top = keywords.top_words(counts, sentiment=name)
+        top = keywords.top_keywords(scored, name)
         return keywords.word_list(top, 3).select(F.lit(name).alias("Sentiment"), "words")
 
     return words(v.NEGATIVE).unionByName(words(v.POSITIVE))
@@ -190,9 +180,8 @@ def _keyword_table(spark, d):
 
 def _stop_words_joined(spark, d):
     """The stop list as a table, anti-joined to the tokens."""
-    reviews = sentiment.with_clean_text(_texts(spark, d))
     table = keywords.stop_word_table(spark)
-    counts = keywords.keyword_counts(reviews, table, by_class=False)
+    counts = keywords.keyword_counts(_texts(spark, d), table, by_class=False)
     return counts.select("word", "mentions")
 
 
@@ -219,7 +208,7 @@ def _star_quotes(spark, d):
     reviews = _reviews(spark, d)
 
     def quotes(star: int) -> DataFrame:
-        return sample_quotes(reviews.where(F.col("Score") == star))
+        return sample_quotes(reviews, F.col("Score") == star)
 
     return quotes(5).unionByName(quotes(1)).select(
         "ord", "Id", "Score", "Summary", star_glyphs(F.col("Score")).alias("stars")
@@ -231,7 +220,7 @@ def _class_quotes(spark, d):
     scored = _scored(spark, d)
 
     def quotes(name: str) -> DataFrame:
-        picked = sample_quotes(scored.where(F.col("Sentiment") == name))
+        picked = sample_quotes(scored, F.col("Sentiment") == name)
         return picked.withColumn("Sentiment", F.lit(name))
 
     return quotes(v.POSITIVE).unionByName(quotes(v.NEGATIVE))
@@ -276,16 +265,14 @@ def queries() -> dict[str, Query]:
             metrics.class_cube(_reviews(s, d), "Score"), 1),
         "csat": _cube_query(metrics.csat, "Score", "Sentiment"),
         "urgency": _cube_query(metrics.urgency, "Score", "Sentiment"),
-        "top_complaints": _word_query(
-            lambda top, s: keywords.with_share(top, _total(s)), v.NEGATIVE),
-        "top_praise": _word_query(
-            lambda top, s: keywords.with_share(top, _total(s)), v.POSITIVE),
+        "top_complaints": _word_query(_share, v.NEGATIVE),
+        "top_praise": _word_query(_share, v.POSITIVE),
         "common_words": _common_words,
         "keyword_table": _keyword_table,
         "stop_words_joined": _stop_words_joined,
         "keyword_lists": _keyword_lists,
         "complaint_impact_pct": _word_query(
-            lambda top, s: keywords.impact_bars(top, _total(s)), v.NEGATIVE),
+            lambda top: keywords.impact_bars(top, F.col("total")), v.NEGATIVE),
         "complaint_insights": _complaint_insights,
         "monthly_negative": _trend(lambda monthly: monthly),
         "monthly_by_class": _cube_query(trend.monthly_by_class, "YearMonth", "Sentiment"),

@@ -21,7 +21,6 @@ NEGATIVE_STARS = 2  # this many stars or fewer: Negative expected
 # --- fixed values: input columns, null tokens, defaults ---------------------
 
 REVIEW_COLUMNS = ("Id", "ProductId", "Score", "Time", "Summary", "Text")
-REQUIRED_COLUMNS = ("Text", "Score")
 
 CSV_NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

@@ -7,34 +7,48 @@ from pyspark.sql import functions as F
 
 # Python's notion of white space: the Unicode property plus the four
 # information separators, which the property leaves out.
-_WORD = r"(?U)[^\s\x1c-\x1f]+"
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
 _OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def clean_text(text: Column) -> Column:
-    """Lower case, markup stripped, only a-z words with single spaces.
+def plain_text(text: Column) -> Column:
+    """Lower case with markup replaced by spaces.
 
     ``(?d)`` keeps ``.`` from stopping at ``\\r``; a tag may span ``\\r`` but not
     ``\\n``.  Most texts have no markup, so the tag pass only runs on those with a
-    ``<``.  One pass then turns every run of other characters into one space.
+    ``<``.
     """
     low = F.lower(text.cast("string"))
-    no_tags = F.when(
+    return F.when(
         F.contains(low, F.lit("<")), F.regexp_replace(low, "(?d)<.*?>", " ")
     ).otherwise(low)
-    return F.trim(F.regexp_replace(no_tags, "[^a-z]+", " "))
 
 
-def tokens(clean: Column) -> Column:
-    """Words of a cleaned text; an empty text has none."""
-    return F.when(clean != "", F.split(clean, " ")).otherwise(
-        F.array().cast("array<string>")
-    )
+def clean_text(text: Column) -> Column:
+    """Lower case, markup stripped, only a-z words with single spaces."""
+    return clean_plain(plain_text(text))
+
+
+def clean_plain(plain: Column) -> Column:
+    """Cleaned text from a plain one: each run of other characters is one space."""
+    return F.trim(F.regexp_replace(plain, "[^a-z]+", " "))
+
+
+def words(plain: Column) -> Column:
+    """The words of the cleaned text, split straight from the plain one.
+
+    The first and the last element may be empty strings.
+    """
+    return F.split(plain, "[^a-z]+")
 
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words of a raw text."""
-    return F.regexp_count(text, F.lit(_WORD))
+    parts = F.split(text, _SPACE)
+    empty_ends = (F.element_at(parts, 1) == "").cast("int") + (
+        F.element_at(parts, -1) == ""
+    ).cast("int")
+    return F.greatest(F.size(parts) - empty_ends, F.lit(0))
 
 
 def strip(text: Column) -> Column:

@@ -35,13 +35,13 @@ def insight_lines(
     """``rank, word, mentions, pct, impact, line`` of the first ``n`` complaints."""
     share = round_exact(percent(F.col("mentions"), total), 1)
     best = with_impact(complaints.where(F.col("rank") <= n), impact, total)
+    best = best.withColumn("pct", share)
     line = F.concat(
         F.lit("'"), F.col("word"), F.lit("': "), F.col("mentions").cast("string"),
         F.lit(" mentions ("), fixed(F.col("pct"), 1), F.lit("% of all reviews) - "),
         F.col("impact"),
     )
     return (
-        best.withColumn("pct", share)
-        .select("rank", "word", "mentions", "pct", "impact", line.alias("line"))
+        best.select("rank", "word", "mentions", "pct", "impact", line.alias("line"))
         .orderBy("rank")
     )

@@ -18,6 +18,7 @@ from opinara.functions.numbers import percent, round_exact
 STOP_WORDS = frozenset(v.ENGLISH_STOP_WORDS) | frozenset(v.DOMAIN_STOP_WORDS)
 STOP_WORD_LIMIT = 50_000
 
+_REVIEW = " "  # stands for a review itself; never a word
 _POSITIONS = 2**31  # positions per review; the order key is Id * 2^31 + position
 
 
@@ -33,33 +34,47 @@ def stop_word_table(spark, extra: Iterable[str] = ()) -> DataFrame:
     )
 
 
-def _exploded(scored: DataFrame) -> DataFrame:
-    """``Sentiment, word, first`` per token; ``first`` orders tokens over all reviews.
+def _token_rows(scored: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """``word, first`` per token; ``first`` orders tokens over all reviews.
 
     The order key is one decimal rather than a pair, because its minimum then fits the
     hash aggregate; a struct would force a sort of every token.
     """
-    base = (F.col("Id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(10,0)"))
-    keep = [c for c in ("Sentiment",) if c in scored.columns]
-    token_rows = scored.select(
+    base = F.col("Id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(10,0)")
+    rows = scored.select(
         *keep,
         base.cast("decimal(38,0)").alias("base"),
-        F.posexplode(F.split("CleanText", " ")).alias("pos", "word"),
-    )
-    return token_rows.select(
-        *keep, "word", (F.col("base") + F.col("pos")).cast("decimal(38,0)").alias("first")
+        F.posexplode(words).alias("pos", "word"),
     )
+    first = (F.col("base") + F.col("pos")).cast("decimal(38,0)")
+    return rows.select(*keep, "word", first.alias("first"))
+
 
+def _plain(reviews: DataFrame) -> Column:
+    if "PlainText" in reviews.columns:
+        return F.col("PlainText")
+    return text.plain_text(F.col("Text"))
 
-def _without_stop_words(words: DataFrame, stop_words: Iterable[str] | DataFrame) -> DataFrame:
-    words = words.where(F.length("word") >= v.MIN_KEYWORD_LENGTH)
-    if isinstance(stop_words, DataFrame):
-        return words.join(stop_words.select("word"), "word", "left_anti")
-    listed = sorted(stop_words)
-    if len(listed) > STOP_WORD_LIMIT:
-        table = words.sparkSession.createDataFrame([(w,) for w in listed], "word string")
-        return words.join(table, "word", "left_anti")
-    return words.where(~F.col("word").isin(listed)) if listed else words
+
+def _without_stop_words(
+    words: DataFrame, stop_words: Iterable[str] | DataFrame, keep: Column | None = None
+) -> DataFrame:
+    """Words of four letters or more that are not on the list, and rows to ``keep``."""
+    long_enough = F.length("word") >= v.MIN_KEYWORD_LENGTH
+    if not isinstance(stop_words, DataFrame):
+        listed = sorted(stop_words)
+        if len(listed) <= STOP_WORD_LIMIT:
+            wanted = long_enough & ~F.col("word").isin(listed) if listed else long_enough
+            return words.where(wanted if keep is None else wanted | keep)
+        stop_words = words.sparkSession.createDataFrame([(w,) for w in listed], "word string")
+    words = words.where(long_enough if keep is None else long_enough | keep)
+    return words.join(stop_words.select("word"), "word", "left_anti")
+
+
+def _count(words: DataFrame, *keys: str) -> DataFrame:
+    return words.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("mentions"), F.min("first").alias("first")
+    )
 
 
 def keyword_counts(
@@ -73,11 +88,38 @@ def keyword_counts(
     row per distinct word and task; a word that makes up a third of all tokens costs no
     more than any other.  A stop list given as a table is anti-joined without a hint.
     """
-    words = _without_stop_words(_exploded(scored), stop_words)
-    keys = ["Sentiment", "word"] if by_class else ["word"]
-    return words.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("mentions"), F.min("first").alias("first")
-    )
+    keep = ("Sentiment",) if by_class else ()
+    words = _token_rows(scored, text.words(_plain(scored)), *keep)
+    return _count(_without_stop_words(words, stop_words), *keep, "word")
+
+
+def top_keywords(
+    reviews: DataFrame,
+    sentiment: str | None = None,
+    n: int = v.KEYWORDS_PER_LIST,
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
+) -> DataFrame:
+    """``rank, word, mentions, total`` of one class in a single pass over the texts.
+
+    ``total`` counts all reviews: each adds one marker row, which sorts first.  The
+    class picks the words inside the expression that splits them; as a filter it would be
+    pushed down to the scan and the texts scored more than once.
+    """
+    words = text.words(_plain(reviews))
+    if sentiment is not None:
+        none = F.array().cast("array<string>")
+        words = F.when(F.col("Sentiment") == sentiment, words).otherwise(none)
+    marker = F.col("word") == _REVIEW
+    rows = _token_rows(reviews, F.concat(F.array(F.lit(_REVIEW)), words))
+    counts = _count(_without_stop_words(rows, stop_words, keep=marker), "word")
+    order = (F.desc(marker), F.desc("mentions"), F.col("first"))
+    best = counts.orderBy(*order).limit(n + 1)
+    everything = Window.orderBy(*order)  # n + 1 rows
+    total = F.first("mentions").over(everything)
+    return best.select(
+        (F.row_number().over(everything) - 1).alias("rank"), "word", "mentions",
+        total.alias("total"),
+    ).where(~marker)
 
 
 def over_all_classes(counts: DataFrame) -> DataFrame:
@@ -88,19 +130,14 @@ def over_all_classes(counts: DataFrame) -> DataFrame:
 
 
 def top_words(
-    counts: DataFrame,
-    n: int = v.KEYWORDS_PER_LIST,
-    sentiment: str | None = None,
-    where: Column | None = None,
+    counts: DataFrame, n: int = v.KEYWORDS_PER_LIST, sentiment: str | None = None
 ) -> DataFrame:
-    """``rank, word, mentions`` of the ``n`` most frequent words."""
+    """``rank, word, mentions`` of the ``n`` most frequent words of stored counts."""
     if sentiment is not None:
         counts = counts.where(F.col("Sentiment") == sentiment)
-    if where is not None:
-        counts = counts.where(where)
     order = (F.desc("mentions"), F.col("first"))
     best = counts.select("word", "mentions", "first").orderBy(*order).limit(n)
-    rank = F.row_number().over(Window.orderBy(*order))  # over n rows
+    rank = F.row_number().over(Window.orderBy(*order))  # n rows
     return best.select(rank.alias("rank"), "word", "mentions")
 
 

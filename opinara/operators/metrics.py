@@ -7,7 +7,7 @@ map-side aggregation, and the metrics of one report share its single shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
@@ -28,6 +28,11 @@ def _sum_where(condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
 
 
+def _over_all(aggregate: Column) -> Column:
+    """Over the whole table: only for aggregates of a few rows."""
+    return aggregate.over(Window.partitionBy())
+
+
 def _class(name: str) -> Column:
     return F.col("Sentiment") == name
 
@@ -43,7 +48,7 @@ def total_reviews(cube: DataFrame) -> DataFrame:
 
 def sentiment_distribution(cube: DataFrame) -> DataFrame:
     """Observed classes with count and share, most frequent first."""
-    total = total_reviews(cube).scalar()
+    total = _over_all(F.sum("n"))
     return (
         cube.groupBy("Sentiment")
         .agg(_sum_where().alias("n"))
@@ -52,30 +57,38 @@ def sentiment_distribution(cube: DataFrame) -> DataFrame:
     )
 
 
-def mode_rating(cube: DataFrame) -> DataFrame:
-    """Most frequent star score, the smallest on a tie."""
-    return star_histogram(cube).orderBy(F.desc("n"), "Score").limit(1).select("Score")
+def mode_rating(score: str, n: str) -> Column:
+    """Aggregate over a star histogram: most frequent score, the smallest on a tie."""
+    return F.max_by(score, F.struct(F.col(n), -F.col(score)))
 
 
 def kpi(cube: DataFrame) -> DataFrame:
     """The headline figures as one row."""
     agree = bands.star_class(F.col("Score")) == F.col("Sentiment")
-    counts = cube.agg(
-        _sum_where().alias("total"),
+    per_star = cube.groupBy("Score").agg(
+        _sum_where().alias("n"),
         _sum_where(_class(v.POSITIVE)).alias("positive"),
         _sum_where(_class(v.NEGATIVE)).alias("negative"),
         _sum_where(_class(v.NEUTRAL)).alias("neutral"),
-        avg_rating().alias("avg_rating"),
         _sum_where(agree).alias("agreeing"),
     )
+
+    def summed(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
+
+    counts = per_star.agg(
+        summed("n").alias("total"),
+        *[summed(c).alias(c) for c in ("positive", "negative", "neutral", "agreeing")],
+        avg_rating().alias("avg_rating"),
+        mode_rating("Score", "n").alias("mode_rating"),
+    )
     total = F.col("total")
     return counts.select(
         "total", "positive", "negative", "neutral",
         percent(F.col("positive"), total).alias("positive_pct"),
         percent(F.col("negative"), total).alias("negative_pct"),
         percent(F.col("neutral"), total).alias("neutral_pct"),
-        "avg_rating",
-        mode_rating(cube).scalar().alias("mode_rating"),
+        "avg_rating", "mode_rating",
         percent(F.col("positive"), total).alias("csat"),
         percent(F.col("agreeing"), total).alias("agreement_pct"),
     )
@@ -118,9 +131,13 @@ def star_histogram(cube: DataFrame) -> DataFrame:
 def star_breakdown(cube: DataFrame) -> DataFrame:
     """Stars 1 to 5 with count and share, absent ones as zero."""
     spine = cube.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("star"))
-    seen = cube.groupBy(F.col("Score").alias("star")).agg(_sum_where().alias("seen"))
-    total = total_reviews(cube).scalar()
+    seen = (
+        cube.groupBy(F.col("Score").alias("star"))
+        .agg(_sum_where().alias("seen"))
+        .withColumn("all", _over_all(F.sum("seen")))
+    )
     n = F.coalesce("seen", F.lit(0)).cast("bigint")
+    total = _over_all(F.max("all"))
     return (
         spine.join(seen, "star", "left")
         .select("star", n.alias("n"), percent(n, total).alias("pct"))

@@ -24,14 +24,20 @@ Lexicon = Mapping[str, "Decimal | float | str"] | DataFrame
 
 
 def with_clean_text(reviews: DataFrame) -> DataFrame:
-    return reviews.withColumn("CleanText", text.clean_text(F.col("Text")))
+    """Add PlainText (lower case, no markup) and CleanText.
+
+    Words come straight from PlainText, so a result that does not show CleanText does
+    not pay for it.
+    """
+    plain = reviews.withColumn("PlainText", text.plain_text(F.col("Text")))
+    return plain.withColumn("CleanText", text.clean_plain(F.col("PlainText")))
 
 
 def score(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Add CleanText, SentimentScore, Sentiment and ExpectedSentiment.
+    """Add PlainText, CleanText, SentimentScore, Sentiment and ExpectedSentiment.
 
     A lexicon of up to ``LITERAL_WORDS`` words becomes a constant inside the scoring
-    expression: no shuffle, no join.  A larger one is joined to the tokens.
+    expression: no shuffle, no join.  A larger one is joined to the words.
     """
     cleaned = with_clean_text(reviews)
     if isinstance(lexicon, DataFrame):
@@ -43,9 +49,8 @@ def score(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
         rows = [(w, Decimal(_hundredths(p)) / 100) for w, p in lexicon.items()]
         table = reviews.sparkSession.createDataFrame(rows, "word string, polarity decimal(4,2)")
         return score_by_join(cleaned, table)
-    return _labelled(
-        cleaned.withColumn("SentimentScore", polarity(F.col("CleanText"), lexicon))
-    )
+    words = text.words(F.col("PlainText"))
+    return _labelled(cleaned.withColumn("SentimentScore", polarity(words, lexicon)))
 
 
 def score_with(reviews: DataFrame, scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
@@ -59,12 +64,12 @@ def score_with(reviews: DataFrame, scorer: Callable[[pd.Series], pd.Series]) ->
     return _labelled(cleaned.withColumn("SentimentScore", polarity_of("CleanText")))
 
 
-def polarity(clean: Column, lexicon: Mapping[str, Decimal | float | str]) -> Column:
-    """Polarity of a cleaned text under a small lexicon.
+def polarity(words: Column, lexicon: Mapping[str, Decimal | float | str]) -> Column:
+    """Polarity of an array of words under a small lexicon.
 
-    Tokens outside the lexicon are dropped by one set test each.  The rest look up
-    their value in an array of small maps, addressed by a checksum of the word: a
-    single map would be searched from its start for every token.
+    Words outside the lexicon are dropped by one set test each.  The rest look up their
+    value in an array of small maps, addressed by a checksum of the word: a single map
+    would be searched from its start for every word.
     """
     if not lexicon:
         return F.lit(0.0)
@@ -78,8 +83,8 @@ def polarity(clean: Column, lexicon: Mapping[str, Decimal | float | str]) -> Col
         slot = (F.crc32(word.cast("binary")) % slots).cast("int")
         return F.element_at(F.get(lookup, slot), word)
 
-    matched = F.filter(F.split(clean, " "), lambda w: w.isin(list(lexicon)))
-    total = F.aggregate(
+    matched = F.filter(words, lambda w: w.isin(list(lexicon)))
+    return F.aggregate(
         matched,
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n")),
         lambda acc, w: F.struct(
@@ -87,7 +92,6 @@ def polarity(clean: Column, lexicon: Mapping[str, Decimal | float | str]) -> Col
         ),
         lambda acc: F.when(acc["n"] > 0, acc["sum"] / F.lit(100.0) / acc["n"]).otherwise(0.0),
     )
-    return total
 
 
 def _hundredths(value: Decimal | float | str) -> int:
@@ -102,7 +106,7 @@ def score_by_join(cleaned: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Matches are summed per review before the shuffle, then joined back on ``Id``.
     """
-    words = cleaned.select("Id", F.explode(text.tokens(F.col("CleanText"))).alias("word"))
+    words = cleaned.select("Id", F.explode(text.words(F.col("PlainText"))).alias("word"))
     polarity_sum = F.sum(F.col("polarity").cast("decimal(4,2)")).cast("double")
     scores = (
         words.join(lexicon.select("word", "polarity"), "word")

@@ -54,12 +54,12 @@ def _one(df: DataFrame, text: Column) -> Column:
     return df.select(text.alias("text")).agg(F.max("text")).scalar()
 
 
-def _quotes(reviews: DataFrame) -> Column:
+def _quotes(reviews: DataFrame, condition: Column) -> Column:
     if "Summary" not in reviews.columns:
         return F.lit("")
     summary = F.coalesce("Summary", F.lit(""))
     line = fill(t.QUOTE, stars=star_glyphs(F.col("Score")), summary=summary)
-    return _lines(sample_quotes(reviews), "ord", line)
+    return _lines(sample_quotes(reviews, condition), "ord", line)
 
 
 def _words(top: DataFrame, total: Column, template: str) -> Column:
@@ -159,10 +159,10 @@ def _figures(marts: Marts) -> DataFrame:
         "retention": bands.retention_note(rating),
         "urgency": bands.urgency(negative),
         "urgency_note": bands.urgency_note(negative),
-        "quotes_pos": _quotes(facts.where(F.col("Sentiment") == v.POSITIVE)),
-        "quotes_neg": _quotes(facts.where(F.col("Sentiment") == v.NEGATIVE)),
-        "quotes_top": _quotes(facts.where(F.col("Score") == 5)),
-        "quotes_low": _quotes(facts.where(F.col("Score") == 1)),
+        "quotes_pos": _quotes(facts, F.col("Sentiment") == v.POSITIVE),
+        "quotes_neg": _quotes(facts, F.col("Sentiment") == v.NEGATIVE),
+        "quotes_top": _quotes(facts, F.col("Score") == 5),
+        "quotes_low": _quotes(facts, F.col("Score") == 1),
         "five_star": star_text(5, "{n} ({pct}%)"),
         "one_star": star_text(1, "{n} ({pct}%)"),
         "five_pct": star_text(5, "{pct}"),

@@ -11,6 +11,9 @@ from opinara import fixed_values as v
 from opinara.functions import dates
 from opinara.sources.sampling import sample_rows
 
+_TYPES = {"Id": "bigint", "ProductId": "string", "Score": "int", "Time": "bigint",
+          "Summary": "string", "Text": "string"}
+
 
 def read_csv(
     spark: SparkSession,
@@ -44,13 +47,15 @@ def read_csv(
 
 def typed(df: DataFrame) -> DataFrame:
     """Known, present columns in their types; a value that does not fit is null."""
-    types = {"Id": "bigint", "ProductId": "string", "Time": "bigint",
-             "Summary": "string", "Text": "string"}
+    types = dict(df.dtypes)
 
     def value(name: str) -> Column:
+        column = F.col(name)
+        if types[name] == _TYPES[name]:
+            return column
         if name == "Score":
-            return F.col(name).try_cast("double").try_cast("int").alias(name)
-        return F.col(name).try_cast(types[name]).alias(name)
+            column = column.try_cast("double")
+        return column.try_cast(_TYPES[name]).alias(name)
 
     return df.select(*[value(c) for c in v.REVIEW_COLUMNS if c in df.columns])
 
@@ -78,7 +83,7 @@ def spread(df: DataFrame, key: str = "Id") -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=list(v.REQUIRED_COLUMNS))
+    return df.where(F.col("Text").isNotNull() & F.col("Score").isNotNull())
 
 
 def with_dates(df: DataFrame) -> DataFrame:

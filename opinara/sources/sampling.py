@@ -37,21 +37,23 @@ def sample_rows(df: DataFrame, n: int, seed: int = v.SAMPLE_SEED) -> DataFrame:
 
 def sample_quotes(
     reviews: DataFrame,
+    condition: Column,
     n: int = v.QUOTES_PER_ANSWER,
     seed: int = v.QUOTE_SEED,
 ) -> DataFrame:
-    """Up to ``n`` reviews to quote: ``ord, Score, Summary``.
+    """Up to ``n`` reviews that meet ``condition``: ``ord, Id, Score, Summary``.
 
-    ``n`` is a handful, so every task keeps ``n`` rows and one task merges them.
+    ``n`` is a handful, so every task keeps ``n`` rows and one task merges them.  The
+    condition is part of the sort key: as a filter it would be pushed down to the scan,
+    and a condition on the class would score the texts once more there.
     """
     if "Summary" not in reviews.columns:
         reviews = reviews.withColumn("Summary", F.lit(None).cast("string"))
+    key = F.when(condition, sample_key(seed))
+    order = (F.asc_nulls_last("key"), F.asc("Id"))
     picked = (
-        reviews.select("Id", "Score", "Summary")
-        .orderBy(sample_key(seed), "Id")
-        .limit(n)
+        reviews.select("Id", "Score", "Summary", key.alias("key")).orderBy(*order).limit(n)
     )
-    order = Window.orderBy(sample_key(seed), "Id")
-    return picked.select(
-        F.row_number().over(order).alias("ord"), "Id", "Score", "Summary"
+    return picked.where(F.col("key").isNotNull()).select(
+        F.row_number().over(Window.orderBy(*order)).alias("ord"), "Id", "Score", "Summary"
     )
