@@ -163,13 +163,9 @@ def _common_words(spark, d):
 
 
 def _keyword_lists(spark, d):
-    scored = _scored(spark, d)
-
-    def words(name: str) -> DataFrame:
-        top = keywords.top_keywords(scored, name)
-        return keywords.word_list(top, 3).select(F.lit(name).alias("Sentiment"), "words")
-
-    return words(v.NEGATIVE).unionByName(words(v.POSITIVE))
+    counts = keywords.keyword_counts(_scored(spark, d))
+    lists = keywords.word_lists(keywords.top_words_by_class(counts), 3)
+    return lists.where(F.col("Sentiment").isin(v.NEGATIVE, v.POSITIVE))
 
 
 def _keyword_table(spark, d):

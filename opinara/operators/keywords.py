@@ -129,18 +129,34 @@ def over_all_classes(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_words(
-    counts: DataFrame, n: int = v.KEYWORDS_PER_LIST, sentiment: str | None = None
-) -> DataFrame:
-    """``rank, word, mentions`` of the ``n`` most frequent words of stored counts."""
-    if sentiment is not None:
-        counts = counts.where(F.col("Sentiment") == sentiment)
+def top_words(counts: DataFrame, n: int = v.KEYWORDS_PER_LIST) -> DataFrame:
+    """``rank, word, mentions`` of the ``n`` most frequent words over all reviews."""
     order = (F.desc("mentions"), F.col("first"))
     best = counts.select("word", "mentions", "first").orderBy(*order).limit(n)
     rank = F.row_number().over(Window.orderBy(*order))  # n rows
     return best.select(rank.alias("rank"), "word", "mentions")
 
 
+def top_words_by_class(counts: DataFrame, n: int = v.KEYWORDS_PER_LIST) -> DataFrame:
+    """``Sentiment, rank, word, mentions`` of the ``n`` most frequent words per class.
+
+    Each task keeps its own best ``n`` per class before the rows of a class meet.
+    """
+    within = Window.partitionBy("Sentiment").orderBy(F.desc("mentions"), F.col("first"))
+    return (
+        counts.withColumn("rank", F.row_number().over(within))
+        .where(F.col("rank") <= n)
+        .select("Sentiment", "rank", "word", "mentions")
+    )
+
+
+def word_lists(tops: DataFrame, n: int) -> DataFrame:
+    """Per class, the first ``n`` words as one comma-separated string."""
+    return tops.where(F.col("rank") <= n).groupBy("Sentiment").agg(
+        text.joined_lines(F.col("rank"), F.col("word"), ", ").alias("words")
+    )
+
+
 def with_share(top: DataFrame, total: Column) -> DataFrame:
     """Add ``pct`` of all reviews."""
     return top.withColumn("pct", percent(F.col("mentions"), total))
@@ -150,10 +166,3 @@ def impact_bars(complaints: DataFrame, total: Column, n: int = v.IMPACT_BARS) ->
     """The first ``n`` complaint words with their share, rounded to one place."""
     share = round_exact(percent(F.col("mentions"), total), 1)
     return complaints.where(F.col("rank") <= n).withColumn("pct", share)
-
-
-def word_list(top: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` words as one comma-separated string."""
-    return top.where(F.col("rank") <= n).agg(
-        text.joined_lines(F.col("rank"), F.col("word"), ", ").alias("words")
-    )

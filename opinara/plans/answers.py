@@ -62,6 +62,11 @@ def _quotes(reviews: DataFrame, condition: Column) -> Column:
     return _lines(sample_quotes(reviews, condition), "ord", line)
 
 
+def _word_list(top: DataFrame, n: int) -> Column:
+    first = top.where(F.col("rank") <= n)
+    return first.agg(joined_lines(F.col("rank"), F.col("word"), ", ")).scalar()
+
+
 def _words(top: DataFrame, total: Column, template: str) -> Column:
     line = fill(template, pct=number("pct", 1))
     return _lines(keywords.with_share(top, total), "rank", line)
@@ -169,12 +174,11 @@ def _figures(marts: Marts) -> DataFrame:
         "one_pct": star_text(1, "{pct}"),
         "star_lines": _lines(stars, "star", star_line),
         "complaint_lines": _lines(marts.insights, "rank", fill(t.COMPLAINT)),
-        "complaint_list": keywords.word_list(marts.complaints, 3).scalar(),
+        "complaint_list": _word_list(marts.complaints, 3),
         "praise_lines": _words(
             marts.praise.where(F.col("rank") <= v.INSIGHT_LINES), total, t.PRAISE),
-        "praise_list": keywords.word_list(marts.praise, 3).scalar(),
-        "first_praise": F.coalesce(
-            keywords.word_list(marts.praise, 1).scalar(), F.lit(_NONE)),
+        "praise_list": _word_list(marts.praise, 3),
+        "first_praise": _word_list(marts.praise, 1),
         "common_lines": _words(marts.common_words, total, t.COMMON_WORD),
         "trend": trend_text,
         "scenarios": scenario_text,

@@ -6,24 +6,29 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.operators import impact, keywords, lengths, metrics, products, sentiment, trend
 from opinara.sources.sinks import stored
 
+_OVERALL = "All"
+
 
 @dataclass(frozen=True)
 class Marts:
     """``facts``: one narrow row per review; ``cube``: review counts per month, star
-    and class; ``words``: mentions per class and word.
+    and class; ``words``: mentions per class and word; ``tops``: the first words of each
+    class and of all reviews.
 
     Facts and words take one pass over the texts each.  Every other table is derived
-    from these three, so nothing reads or scores a text again.
+    from these, so nothing reads or scores a text again.
     """
 
     facts: DataFrame
     cube: DataFrame
     words: DataFrame
+    tops: DataFrame
     impact: DataFrame
 
     @classmethod
@@ -42,9 +47,16 @@ class Marts:
         facts = keep(sentiment.review_facts(scored), "facts")
         cube = keep(metrics.class_cube(facts).coalesce(1), "cube")
         words = keep(keywords.keyword_counts(scored, stop_words), "words")
+        overall = keywords.top_words(keywords.over_all_classes(words))
+        tops = keywords.top_words_by_class(words).unionByName(
+            overall.withColumn("Sentiment", F.lit(_OVERALL))
+        )
         if impact_table is None:
             impact_table = impact.impact_table(scored.sparkSession)
-        return cls(facts, cube, words, impact_table)
+        return cls(facts, cube, words, keep(tops.coalesce(1), "tops"), impact_table)
+
+    def top(self, name: str) -> DataFrame:
+        return self.tops.where(F.col("Sentiment") == name).drop("Sentiment")
 
     @property
     def has_time(self) -> bool:
@@ -60,15 +72,15 @@ class Marts:
 
     @cached_property
     def complaints(self) -> DataFrame:
-        return keywords.top_words(self.words, sentiment=v.NEGATIVE)
+        return self.top(v.NEGATIVE)
 
     @cached_property
     def praise(self) -> DataFrame:
-        return keywords.top_words(self.words, sentiment=v.POSITIVE)
+        return self.top(v.POSITIVE)
 
     @cached_property
     def common_words(self) -> DataFrame:
-        return keywords.top_words(keywords.over_all_classes(self.words))
+        return self.top(_OVERALL)
 
     @cached_property
     def insights(self) -> DataFrame:
