@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions.numbers import fixed, percent, round_exact
+from opinara.sources.tables import small_table
 
 
 def impact_table(
     spark: SparkSession, impacts: Mapping[str, str] = v.IMPACT_BY_KEYWORD
 ) -> DataFrame:
-    return spark.createDataFrame(list(impacts.items()), "keyword string, impact string")
+    schema = pa.schema([("keyword", pa.string()), ("impact", pa.string())])
+    return small_table(spark, impacts.items(), schema)
 
 
 def with_impact(keywords: DataFrame, impact: DataFrame, total: Column) -> DataFrame:

@@ -8,30 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions import text
 from opinara.functions.numbers import percent, round_exact
+from opinara.sources.tables import broadcast_if_small, small_table
 
 STOP_WORDS = frozenset(v.ENGLISH_STOP_WORDS) | frozenset(v.DOMAIN_STOP_WORDS)
-STOP_WORD_LIMIT = 50_000
+STOP_WORD_LIMIT = 10_000  # longer lists are anti-joined instead
 
 _REVIEW = " "  # stands for a review itself; never a word
 _POSITIONS = 2**31  # positions per review; the order key is Id * 2^31 + position
 
 
-def stop_word_table(spark, extra: Iterable[str] = ()) -> DataFrame:
-    """The default stop words (plus ``extra``) as a table."""
-    english = [(w,) for w in v.ENGLISH_STOP_WORDS]
-    domain = [(w,) for w in (*v.DOMAIN_STOP_WORDS, *extra)]
-    schema = "word string"
-    return (
-        spark.createDataFrame(english, schema)
-        .union(spark.createDataFrame(domain, schema))
-        .distinct()
-    )
+def stop_word_table(spark: SparkSession, extra: Iterable[str] = ()) -> DataFrame:
+    """The English list united with the domain list (and ``extra``) as a table."""
+    english = word_table(spark, v.ENGLISH_STOP_WORDS)
+    return english.union(word_table(spark, (*v.DOMAIN_STOP_WORDS, *extra))).distinct()
+
+
+def word_table(spark: SparkSession, words: Iterable[str]) -> DataFrame:
+    return small_table(spark, [(w,) for w in words], pa.schema([("word", pa.string())]))
 
 
 def _token_rows(scored: DataFrame, words: Column, *keep: str) -> DataFrame:
@@ -66,9 +66,9 @@ def _without_stop_words(
         if len(listed) <= STOP_WORD_LIMIT:
             wanted = long_enough & ~F.col("word").isin(listed) if listed else long_enough
             return words.where(wanted if keep is None else wanted | keep)
-        stop_words = words.sparkSession.createDataFrame([(w,) for w in listed], "word string")
+        stop_words = word_table(words.sparkSession, listed)
     words = words.where(long_enough if keep is None else long_enough | keep)
-    return words.join(stop_words.select("word"), "word", "left_anti")
+    return words.join(broadcast_if_small(stop_words.select("word")), "word", "left_anti")
 
 
 def _count(words: DataFrame, *keys: str) -> DataFrame:
@@ -86,7 +86,8 @@ def keyword_counts(
 
     Tokens are counted in each task before the shuffle, which then carries about one
     row per distinct word and task; a word that makes up a third of all tokens costs no
-    more than any other.  A stop list given as a table is anti-joined without a hint.
+    more than any other.  A stop list given as a table is anti-joined, by broadcast when
+    it is small.
     """
     keep = ("Sentiment",) if by_class else ()
     words = _token_rows(scored, text.words(_plain(scored)), *keep)

@@ -13,12 +13,14 @@ from collections.abc import Callable, Mapping
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import bands, text
+from opinara.sources.tables import broadcast_if_small, small_table
 
-LITERAL_WORDS = 50_000  # larger lexicons are joined instead
+LITERAL_WORDS = 10_000  # larger lexicons are joined instead
 
 Lexicon = Mapping[str, "Decimal | float | str"] | DataFrame
 
@@ -47,8 +49,8 @@ def score(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
         lexicon = {r["word"]: r["polarity"] for r in head}
     elif len(lexicon) > LITERAL_WORDS:
         rows = [(w, Decimal(_hundredths(p)) / 100) for w, p in lexicon.items()]
-        table = reviews.sparkSession.createDataFrame(rows, "word string, polarity decimal(4,2)")
-        return score_by_join(cleaned, table)
+        schema = pa.schema([("word", pa.string()), ("polarity", pa.decimal128(4, 2))])
+        return score_by_join(cleaned, small_table(reviews.sparkSession, rows, schema))
     words = text.words(F.col("PlainText"))
     return _labelled(cleaned.withColumn("SentimentScore", polarity(words, lexicon)))
 
@@ -102,14 +104,15 @@ def _hundredths(value: Decimal | float | str) -> int:
 
 
 def score_by_join(cleaned: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Scores for a lexicon of any size; no hint, Catalyst picks the join by size.
+    """Scores for a lexicon of any size, sent to every task only when it is small.
 
-    Matches are summed per review before the shuffle, then joined back on ``Id``.
+    Matches are summed per review in each task, so one small row per review is shuffled
+    and joined back on ``Id``.
     """
     words = cleaned.select("Id", F.explode(text.words(F.col("PlainText"))).alias("word"))
     polarity_sum = F.sum(F.col("polarity").cast("decimal(4,2)")).cast("double")
     scores = (
-        words.join(lexicon.select("word", "polarity"), "word")
+        words.join(broadcast_if_small(lexicon.select("word", "polarity")), "word")
         .groupBy("Id")
         .agg((polarity_sum / F.count(F.lit(1))).alias("SentimentScore"))
     )

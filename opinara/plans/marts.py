@@ -45,7 +45,7 @@ class Marts:
             return stored(df, name) if store else df
 
         facts = keep(sentiment.review_facts(scored), "facts")
-        cube = keep(metrics.class_cube(facts).coalesce(1), "cube")
+        cube = keep(metrics.class_cube(facts).repartition(1), "cube")
         words = keep(keywords.keyword_counts(scored, stop_words), "words")
         overall = keywords.top_words(keywords.over_all_classes(words))
         tops = keywords.top_words_by_class(words).unionByName(

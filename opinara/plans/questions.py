@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions.text import strip
+from opinara.sources.tables import small_table
 
 
 def intent_of(
@@ -39,5 +41,5 @@ def route(questions: DataFrame, triggers: Mapping[int, Sequence[str]] = v.TRIGGE
 
 def canned_questions(spark: SparkSession) -> DataFrame:
     """The shortcut questions: ``question_id, question``."""
-    rows = list(enumerate(v.CANNED_QUESTIONS, 1))
-    return spark.createDataFrame(rows, "question_id bigint, question string")
+    schema = pa.schema([("question_id", pa.int64()), ("question", pa.string())])
+    return small_table(spark, enumerate(v.CANNED_QUESTIONS, 1), schema)

@@ -11,7 +11,8 @@ _BUCKET_DIGITS = 4  # 65,536 hash buckets
 
 
 def sample_key(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("Id").cast("string")).cast("binary"))
+    row = F.coalesce(F.col("Id").cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), row).cast("binary"))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = v.SAMPLE_SEED) -> DataFrame:

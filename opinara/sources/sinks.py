@@ -16,6 +16,19 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     writer.parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that :func:`opinara.sources.reviews.read_csv` reads back unchanged."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 def write_marts(marts: Mapping[str, DataFrame], path: str) -> None:
     """One parquet folder per mart; a mart is small, so it gets one file."""
     for name, mart in marts.items():
@@ -37,6 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other job uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -44,6 +62,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executors, and each reader scans only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,13 +18,18 @@ def answer_stream(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return answer(questions, answers)
 
 
-def serve(questions: DataFrame, answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append answers to parquet files; the checkpoint makes a restart exact."""
-    return (
+def serve(
+    questions: DataFrame, answers: DataFrame, path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Append answers to parquet files; the checkpoint makes a restart exact.
+
+    With ``once`` the query answers what is there and stops.
+    """
+    writer = (
         answer_stream(questions, answers)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .start()
     )
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -228,9 +228,12 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
   JOIN {names} AS n(number, name) ON r.intent = n.number)
 """
 
-    asked = (
+    turns = (
         "SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations"
-        " WHERE role = 'user' UNION ALL SELECT CAST(q AS BIGINT), s FROM "
+        " WHERE role = 'user'"
+    )
+    asked = (
+        turns + " UNION ALL SELECT CAST(q AS BIGINT), s FROM "
         + values(canned_rows + trigger_rows) + " AS q(q, s)"
     )
     canned = "SELECT CAST(-q AS BIGINT) AS question_id, s AS question FROM " + values(
@@ -388,6 +391,8 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
             f"{base}, {sampled} SELECT 'raw' AS stage, count(*) AS n FROM reviews{stages}"
             f"'sampled', count(*) FROM sampled{stages}'clean', count(*) FROM sampled"
             f" WHERE {complete}",
+        "csv_reviews": f"{base} SELECT Id, ProductId, Score, Time, Summary, Text, YearMonth"
+                       " FROM dated",
         "reviews_dated": f'{base} SELECT Id, Score, "Date", YearMonth,'
                          ' CAST(year("Date") AS INTEGER) AS "Year",'
                          ' CAST(month("Date") AS INTEGER) AS "Month" FROM dated',
@@ -405,6 +410,8 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
         "sentiment_distribution":
             f"{base} SELECT Sentiment, count(*) AS n,"
             " count(*) / (SELECT total FROM totals) * 100 AS pct FROM scored GROUP BY Sentiment",
+        "sentiment_bars": f"{base} SELECT Sentiment, count(*) AS n FROM scored"
+                          " GROUP BY Sentiment",
         "kpi": f"{base} SELECT * FROM kpi",
         "kpi_cards": cards(),
         "rating_summary": f"{base} SELECT total, avg_rating, mode_rating, {industry} AS"
@@ -448,6 +455,7 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
             + " UNION ALL SELECT 'Forecast', last_month, last_neg_pct, 'percent' FROM fit"
             " UNION ALL SELECT 'Forecast', last_day(month), neg_pct, 'percent' FROM forecast",
         "yearly": f"{base} SELECT * FROM yearly",
+        "yearly_bars": f"{base} SELECT year, positive_pct, negative_pct, reviews FROM yearly",
         "top_products": f"{base} SELECT * FROM top_products",
         "complained_products": f"{base} SELECT * FROM complained",
         "review_length": f"{base} SELECT * FROM length_stats",
@@ -461,4 +469,5 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
                            " intent_name FROM named",
         "answers": answered(asked),
         "canned_answers": answered(canned),
+        "answers_streamed": answered(turns),
     }

@@ -283,6 +283,11 @@ def test_sample_is_exact_and_repeatable(spark):
         r.Id for r in sample_rows(df, 50, 2).collect()}
 
 
+def test_sample_keeps_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "x")] * 3 + [(1, "y")], "Id bigint, Text string")
+    assert sample_rows(df, 10).count() == 4 and sample_rows(df, 2).count() == 2
+
+
 def test_quotes_meet_their_condition(spark):
     df = reviews(spark, ROWS)
     got = sample_quotes(df, F.col("Score") == 2).collect()
