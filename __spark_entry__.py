@@ -181,8 +181,8 @@ def _common_words(spark, d):
 
 def _keyword_lists(spark, d):
     counts = keywords.keyword_counts(_scored(spark, d))
-    lists = keywords.word_lists(keywords.top_words_by_class(counts), 3)
-    return lists.where(F.col("Sentiment").isin(v.NEGATIVE, v.POSITIVE))
+    tops = keywords.top_words_by_class(counts, classes=(v.NEGATIVE, v.POSITIVE))
+    return keywords.word_lists(tops, 3)
 
 
 def _keyword_table(spark, d):

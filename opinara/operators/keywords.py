@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -130,27 +131,34 @@ def over_all_classes(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_words(counts: DataFrame, n: int = v.KEYWORDS_PER_LIST) -> DataFrame:
-    """``rank, word, mentions`` of the ``n`` most frequent words over all reviews."""
-    order = (F.desc("mentions"), F.col("first"))
-    best = counts.select("word", "mentions", "first").orderBy(*order).limit(n)
-    rank = F.row_number().over(Window.orderBy(*order))  # n rows
-    return best.select(rank.alias("rank"), "word", "mentions")
-
-
-def top_words_by_class(counts: DataFrame, n: int = v.KEYWORDS_PER_LIST) -> DataFrame:
-    """``Sentiment, rank, word, mentions`` of the ``n`` most frequent words per class.
+def top_words(
+    counts: DataFrame, n: int = v.KEYWORDS_PER_LIST, sentiment: str | None = None
+) -> DataFrame:
+    """``rank, word, mentions`` of the ``n`` most frequent words.
 
-    Each task keeps its own best ``n`` per class before the rows of a class meet.
+    With counts per class, ``sentiment`` picks one.  It does so in the sort key, so that
+    lists of several classes share one aggregate.
     """
-    within = Window.partitionBy("Sentiment").orderBy(F.desc("mentions"), F.col("first"))
-    return (
-        counts.withColumn("rank", F.row_number().over(within))
-        .where(F.col("rank") <= n)
-        .select("Sentiment", "rank", "word", "mentions")
+    key = F.col("mentions")
+    if sentiment is not None:
+        key = F.when(F.col("Sentiment") == sentiment, key)
+    order = (F.desc_nulls_last("key"), F.asc("first"))
+    best = counts.select("word", key.alias("key"), "first").orderBy(*order).limit(n)
+    return best.where(F.col("key").isNotNull()).select(
+        F.row_number().over(Window.orderBy(*order)).alias("rank"),  # n rows
+        "word", F.col("key").alias("mentions"),
     )
 
 
+def top_words_by_class(
+    counts: DataFrame, n: int = v.KEYWORDS_PER_LIST, classes: Iterable[str] = v.CLASSES
+) -> DataFrame:
+    """``Sentiment, rank, word, mentions``: :func:`top_words` of each class."""
+    return reduce(DataFrame.unionByName, [
+        top_words(counts, n, c).select(F.lit(c).alias("Sentiment"), "*") for c in classes
+    ])
+
+
 def word_lists(tops: DataFrame, n: int) -> DataFrame:
     """Per class, the first ``n`` words as one comma-separated string."""
     return tops.where(F.col("rank") <= n).groupBy("Sentiment").agg(

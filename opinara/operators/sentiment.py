@@ -70,20 +70,26 @@ def polarity(words: Column, lexicon: Mapping[str, Decimal | float | str]) -> Col
     """Polarity of an array of words under a small lexicon.
 
     Words outside the lexicon are dropped by one set test each.  The rest look up their
-    value in an array of small maps, addressed by a checksum of the word: a single map
-    would be searched from its start for every word.
+    value in a small slot, addressed by a checksum of the word.  The slots are arrays and
+    not maps: two map constants are never equal to Catalyst, which would keep branches of
+    one query from sharing a scored table.
     """
     if not lexicon:
         return F.lit(0.0)
     slots = 1 << (2 * len(lexicon) - 1).bit_length()
-    table: list[dict[str, int]] = [{} for _ in range(slots)]
+    table: list[dict[str, list]] = [{"words": [], "values": []} for _ in range(slots)]
     for word, value in lexicon.items():
-        table[zlib.crc32(word.encode()) % slots][word] = _hundredths(value)
-    lookup = F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+        slot = table[zlib.crc32(word.encode()) % slots]
+        slot["words"].append(word)
+        slot["values"].append(_hundredths(value))
+    lookup = F.from_json(
+        F.lit(json.dumps(table)), "array<struct<words:array<string>,values:array<int>>>"
+    )
 
     def hundredths(word: Column) -> Column:
-        slot = (F.crc32(word.cast("binary")) % slots).cast("int")
-        return F.element_at(F.get(lookup, slot), word)
+        slot = F.get(lookup, (F.crc32(word.cast("binary")) % slots).cast("int"))
+        place = F.array_position(slot["words"], word).cast("int")
+        return F.get(slot["values"], place - 1)
 
     matched = F.filter(words, lambda w: w.isin(list(lexicon)))
     return F.aggregate(

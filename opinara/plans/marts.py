@@ -53,7 +53,7 @@ class Marts:
         )
         if impact_table is None:
             impact_table = impact.impact_table(scored.sparkSession)
-        return cls(facts, cube, words, keep(tops.coalesce(1), "tops"), impact_table)
+        return cls(facts, cube, words, keep(tops, "tops"), impact_table)
 
     def top(self, name: str) -> DataFrame:
         return self.tops.where(F.col("Sentiment") == name).drop("Sentiment")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -22,12 +21,14 @@ def intent_of(
     """Number of the first intent with a trigger phrase contained in a normalised question.
 
     One CASE branch per intent, tried in order: a narrow expression, so it needs
-    neither a join with the phrases nor a shuffle and works on streams as well.
+    neither a join with the phrases nor a shuffle and works on streams as well.  Plain
+    substring tests are several times faster here than one regex per intent.
     """
     branches = F
     for intent in sorted(triggers):
-        phrases = "|".join(re.escape(p) for p in triggers[intent])
-        branches = branches.when(asked.rlike(phrases), intent)
+        phrases = F.array(*[F.lit(p) for p in triggers[intent]])
+        found = F.exists(phrases, lambda p: F.contains(asked, p))
+        branches = branches.when(found, intent)
     return branches.otherwise(fallback)
 
 
