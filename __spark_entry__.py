@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -47,6 +48,16 @@ IMPACTS = v.IMPACT_BY_KEYWORD | {
     "hehely": "Stand-in impact for hehely.",
 }
 
+# The operators for training data and their pipeline are optional: without their folder, and without
+# the file of the pipeline, everything else still works.
+_spec = importlib.util.find_spec("opinara.llm")
+_LLM = _spec is not None and _spec.origin is not None
+_PIPELINE = _LLM and importlib.util.find_spec("corpus_pipeline") is not None
+if _LLM:
+    from opinara.llm import queries as llm_queries  # noqa: E402
+if _PIPELINE:
+    import corpus_pipeline  # noqa: E402
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -326,6 +337,8 @@ def queries() -> dict[str, Query]:
         "answers": _answers,
         "canned_answers": _canned_answers,
         "answers_streamed": _answers_streamed,
+        **(llm_queries.QUERIES if _LLM else {}),
+        **({"pipeline": corpus_pipeline.run} if _PIPELINE else {}),
     }
 
 
@@ -336,4 +349,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries, written independently of the Spark code."""
-    return oracle_queries.build(LEXICON, IMPACTS)
+    return {
+        **oracle_queries.build(LEXICON, IMPACTS),
+        **(llm_queries.ORACLE if _LLM else {}),
+        **({"pipeline": corpus_pipeline.ORACLE_SQL}
+           if _PIPELINE and corpus_pipeline.ORACLE_SQL else {}),
+    }
