@@ -143,13 +143,18 @@ def _gradients(w, x, whose, p, y, kept):
     return out | {"enc": x.T @ dh, "enc_b": dh.sum(0)}
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
-        per_class: int = PER_CLASS, width: int = 24, epochs: int = 25, rate: float = 0.01,
-        decay: float = 1e-4, seed: int = 5) -> Model:
-    """Trains on about per_class rows of label 0 and as many of label 1 (twice that at most)."""
-    rows = rows.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"),
-                       F.col(key).alias("k")).where(F.col("y").isin(0, 1))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality",
+        key: str = "doc_id", per_class: int = PER_CLASS, width: int = 24, epochs: int = 25,
+        rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Trains on about per_class rows of label 0 and as many of label 1 (twice that at most).
+
+    The sample is drawn from the labels alone, so it is of bounded size when it meets the texts.
+    """
+    rows = labels.select(F.col(label).cast("int").alias("y"), F.col(key).alias("k")).where(
+        F.col("y").isin(0, 1))
     shares = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    sample = F.broadcast(sample_per_class(rows, "y", "k", per_class))
+    texts = docs.select(F.col(text).alias("t"), F.col(key).alias("k"))
 
     def encode(batch):
         out = {"y": [], "x": []}
@@ -162,7 +167,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "quality", key: str =
                 out["x"].append(feats[cuts[i]:cuts[i + 1]].astype(np.float16).tobytes())
         return pa.RecordBatch.from_pydict({"y": pa.array(out["y"], pa.int32()), "x": out["x"]})
 
-    got = map_batches(sample_per_class(rows, "y", "k", per_class).select("t", "y"), encode,
+    got = map_batches(texts.join(sample, "k").select("t", "y"), encode,
                       "y int, x binary").collect()
     if not got:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), None)

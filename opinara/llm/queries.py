@@ -15,9 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    learn = docs.where(fold("doc_id", 4) != 2).select("doc_id", "text").join(labels, "doc_id")
-    model = quality.fit(learn)
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    model = quality.fit(docs, labels)
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
