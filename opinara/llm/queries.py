@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import language_id, quality
+import public_tokenizers
+
+from opinara.llm import (
+    decontaminate,
+    html_text,
+    language_id,
+    licenses,
+    pieces,
+    quality,
+    repeats,
+    training_order,
+    vectors,
+)
 from opinara.llm.common import fold
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+END_MARK = 50256
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pieces.digests(docs, pieces.read_model(PIECE_MODEL))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
@@ -22,6 +43,36 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.strip(docs, repeats.find_repeats(docs)).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
+                              ["doc_id"])
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return training_order.materialise(docs, training_order.read_ranks(RANKS),
+                                      public_tokenizers.PATTERN, END_MARK)
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learn = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull())
@@ -31,8 +82,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_training_order": op6_training_order,
+    "op7_html_text": op7_html_text,
     "op9_language_id": op9_language_id,
+    "op10_vectors": op10_vectors,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_licenses": licenses.oracle(),
+    "op4_substring_dedup": repeats.oracle(),
+}
