@@ -170,6 +170,40 @@ def _threshold(p: np.ndarray, truth: np.ndarray, most_errors: float) -> float:
     return 0.0 if len(good) else 0.5
 
 
+def classify(m: Model, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
+    """The likeliest class of each text and its calibrated probability; None without a letter."""
+    best, conf = [None] * len(texts), np.zeros(len(texts))
+    for first, part in chunks(texts):
+        sums, count = np.zeros((len(part), len(m.classes))), np.zeros(len(part))
+        if m.classes:
+            owner, bucket = subwords(part)
+            edges = np.flatnonzero(np.diff(owner, prepend=-1))
+            if len(edges):
+                np.add.at(sums, owner[edges],
+                          np.add.reduceat(m.table[bucket], edges, axis=0, dtype=np.float64))
+                count = np.bincount(owner, minlength=len(part)).astype(float)
+        for i in range(len(part)):
+            if m.classes and count[i]:
+                p = _softmax((sums[i] / count[i] + m.bias) / m.temperature)
+                best[first + i], conf[first + i] = m.classes[int(p.argmax())], float(p.max())
+    return best, conf
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns unchanged."""
+    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            best, conf = classify(shared.value, batch.column(at).to_pylist())
+            keep = np.array([b is not None and c >= shared.value.threshold
+                             for b, c in zip(best, conf, strict=True)], bool)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
     """The columns in keep, and lang_pred, score (0 to 1) and rejected for every row."""
     names = [f"k{i}" for i in range(len(keep))]
@@ -181,21 +215,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "tex
 
     def score(batch):
         m = shared.value
-        texts = batch["t"].to_pylist()
-        best, conf = [None] * len(texts), np.zeros(len(texts))
-        for first, part in chunks(texts):
-            sums, count = np.zeros((len(part), len(m.classes))), np.zeros(len(part))
-            if m.classes:
-                owner, bucket = subwords(part)
-                edges = np.flatnonzero(np.diff(owner, prepend=-1))
-                if len(edges):
-                    np.add.at(sums, owner[edges],
-                              np.add.reduceat(m.table[bucket], edges, axis=0, dtype=np.float64))
-                    count = np.bincount(owner, minlength=len(part)).astype(float)
-            for i, t in enumerate(part):
-                if m.classes and count[i]:
-                    p = _softmax((sums[i] / count[i] + m.bias) / m.temperature)
-                    best[first + i], conf[first + i] = m.classes[int(p.argmax())], float(p.max())
+        best, conf = classify(m, batch["t"].to_pylist())
         found = [b or UNKNOWN for b in best]
         rejected = [b is None or c < m.threshold for b, c in zip(best, conf, strict=True)]
         return pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ import public_tokenizers
 from opinara.llm import (
     decontaminate,
     html_text,
+    jaccard,
     language_id,
     licenses,
     pieces,
@@ -69,6 +70,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return jaccard.near_duplicates(docs, n=3, threshold=(90, 100)).select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_training_order": op6_training_order,
     "op7_html_text": op7_html_text,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_vectors": op10_vectors,
 }
@@ -96,4 +104,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
     "op4_substring_dedup": repeats.oracle(),
+    "op8_ngram_jaccard": jaccard.oracle(3, (90, 100)),
 }
