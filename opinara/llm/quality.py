@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     # Back from the balanced sample to the shares of all labelled rows.
     odds = (shares.get(1, 0) + 1) / (shares.get(0, 0) + 1) * ((y == 0).sum() + 1) / ((y == 1).sum() + 1)
     w["top_b"] = w["top_b"] + np.log(odds)
-    return Model(mean, scale, {k: v.astype(np.float32) for k, v in w.items()})
+    return Model(mean, scale, w)
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
@@ -222,8 +222,9 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text"
                 scores.append(np.full(len(part), 0.5))
             else:
                 # In half precision, as in training, then scaled.
-                x = (feats.astype(np.float16).astype(np.float32) - m.mean) / m.scale
-                scores.append(_forward(m.weights, x, whose, len(part))[0])
+                x = (feats.astype(np.float16).astype(float) - m.mean) / m.scale
+                # Rounded, since the last bits depend on where in a batch a text stands.
+                scores.append(np.round(_forward(m.weights, x, whose, len(part))[0], 9))
         return pa.RecordBatch.from_arrays(
             [*(batch[n] for n in names), pa.array(np.concatenate(scores).astype(float)),
              pa.array(np.concatenate(count).astype(np.int64))], [*names, "score", "n_passages"])
