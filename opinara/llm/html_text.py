@@ -2,10 +2,10 @@
 
 The DOM trees of all pages of a host are merged: an element of the tree is a path of tags with
 their class and id, and collects the presentations it has on the pages (the sequence of its
-children's tags) and the contents of its own text. Elements that look the same and say the same on
-most pages of a host are noise. The importance of an element joins the entropy of its presentations
-with the spread of its contents, and is averaged with that of the elements below, weighted less the
-deeper they are. Branches of low importance are removed from each page.
+children's tags) and the contents of its own text. An element's own importance is the larger of the
+entropy of its presentations and the spread of its contents: what looks the same and says the same
+on most pages of a host has neither. A branch is as important as the most important element in it,
+so noise is a branch in which nothing is important; such branches are removed from each page.
 
 Entropy says little about a host with few pages or with menus that change from page to page, so the
 declared role of an element comes first: article and main are kept whole, except for what is
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +35,6 @@ from opinara.llm.common import map_batches
 #: A branch goes when its importance is lower and it was seen on so many pages.
 LEAST_IMPORTANCE = 0.25
 LEAST_PAGES = 8
-DEPTH_WEIGHT = 0.7
 
 # HTML's elements without content, inline elements, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,17 +66,20 @@ NOISE_WORDS = frozenset(
 class Node:
     """An element: tag, path key, children (nodes and strings), role and kind of presentation."""
 
-    __slots__ = ("children", "key", "noise", "parent", "tag")
+    __slots__ = ("children", "inside", "key", "noise", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list[tuple[str, str | None]]):
-        self.tag, self.parent, self.children = tag, parent, []
-        kept = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role")}
-        words = set(f"{kept.get('class', '')} {kept.get('id', '')}".split())
-        sign = tag + "".join(f".{w}" for w in sorted(kept.get("class", "").split()))
+        self.tag, self.parent, self.children, sign = tag, parent, [], tag
+        self.inside = parent is not None and (parent.inside or parent.tag in MAIN)
+        self.noise = tag in NOISE_TAGS or (tag == "header" and not self.inside)
+        if attrs:
+            kept = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role")}
+            if kept:
+                named = sorted(kept.get("class", "").split())
+                sign += "".join(f".{w}" for w in named)
+                self.noise = (self.noise or kept.get("role") in NOISE_ROLES
+                              or not NOISE_WORDS.isdisjoint((*named, *kept.get("id", "").split())))
         self.key = xxhash.xxh64_intdigest(sign, parent.key if parent else 0)
-        inside = parent is not None and any(n.tag in MAIN for n in parent.line())
-        self.noise = (tag in NOISE_TAGS or kept.get("role") in NOISE_ROLES
-                      or not words.isdisjoint(NOISE_WORDS) or (tag == "header" and not inside))
 
     def line(self):
         node = self
@@ -131,10 +134,13 @@ def parse(html: str | None) -> Node:
 
 
 def styles(root: Node):
-    """(keys from the top, presentation, content) of every element; content 0 without own text."""
-    stack = [(root, (root.key,))]
+    """(element, presentation, content) of every element that is not below a declared noise element,
+    which goes whatever it holds; content 0 without own text."""
+    stack = [root]
     while stack:
-        node, line = stack.pop()
+        node = stack.pop()
+        if node.noise:
+            continue
         tags, last, own = [], None, []
         for child in node.children:
             if isinstance(child, str):
@@ -143,9 +149,9 @@ def styles(root: Node):
                 if child.tag != last:
                     tags.append(child.tag)
                 last = child.tag
-                stack.append((child, (*line, child.key)))
-        text = " ".join(" ".join(own).split())
-        yield line, xxhash.xxh64_intdigest(" ".join(tags)), xxhash.xxh64_intdigest(text) if text else 0
+                stack.append(child)
+        text = " ".join(" ".join(own).split()) if own else ""
+        yield node, xxhash.xxh64_intdigest(" ".join(tags)), xxhash.xxh64_intdigest(text) if text else 0
 
 
 def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
@@ -202,46 +208,48 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     def count(batch):
         seen: dict[tuple, int] = {}
+        lines: dict[int, list[int]] = {}
         for host, t in zip(batch["h"].to_pylist(), batch["t"].to_pylist(), strict=True):
-            # A page counts once for an element with the same looks and text.
-            for line, looks, text in {(x[0], x[1], x[2]) for x in styles(parse(t))}:
-                k = (host, tuple(map(_signed, line)), _signed(looks), _signed(text))
+            own = set()  # a page counts once for an element with the same looks and text
+            for node, looks, text in styles(parse(t)):
+                if node.key not in lines:
+                    lines[node.key] = [_signed(n.key) for n in node.line()][::-1]
+                own.add((host, node.key, 0, looks))
+                if text:
+                    own.add((host, node.key, 1, text))
+            for k in own:
                 seen[k] = seen.get(k, 0) + 1
-        keys = list(zip(*seen, strict=True))
+        hosts, nodes, kinds, values = zip(*seen, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[0], pa.string()), pa.array(map(list, keys[1]), pa.list_(pa.int64())),
-             pa.array([k[-1] for k in keys[1]], pa.int64()),
-             pa.array(keys[2], pa.int64()), pa.array(keys[3], pa.int64()),
-             pa.array(seen.values(), pa.int64())], ["host", "line", "node", "looks", "text", "n"])
-
-    rows = map_batches(narrow, count, "host string, line array<bigint>, node bigint, looks bigint,"
-                                      " text bigint, n bigint")
-    # Of n equal things among m: entropy in base m of the looks, log_m n as the commonness of a text.
-    n_pages = F.col("m")
-    share = F.col("n") / n_pages
-    log_m = F.log(F.greatest(n_pages, F.lit(2.0)))
-    looks = rows.groupBy("host", "node", "looks").agg(F.sum("n").alias("n"), F.first("line").alias("line"))
-    texts = rows.where("text != 0").groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
-    totals = looks.groupBy("host", "node").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.first("line").alias("line"))
-    common = texts.groupBy("host", "node").agg(
-        F.sum("n").alias("mt"), F.sum(F.col("n") * F.log("n")).alias("st"))
-    del share
-    one = totals.join(common, ["host", "node"], "left").select(
-        "host", "node", "line", n_pages.alias("n_pages"),
-        # The entropy of the looks, where there are several pages.
-        F.when(n_pages > 1, F.greatest(F.lit(0.0), (F.log("m") - F.col("s") / n_pages) / log_m))
+            [pa.array(hosts, pa.string()), pa.array([lines[k] for k in nodes], pa.list_(pa.int64())),
+             *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, values)),
+             pa.array(kinds, pa.int32()), pa.array(seen.values(), pa.int64())],
+            ["host", "line", "node", "value", "kind", "n"])
+
+    rows = map_batches(narrow, count, "host string, line array<bigint>, node bigint, value bigint,"
+                                      " kind int, n bigint")
+    things = rows.groupBy("host", "node", "kind", "value").agg(
+        F.sum("n").alias("n"), F.first("line").alias("line"))
+    looks, said, n = F.col("kind") == 0, F.col("kind") == 1, F.col("n")
+    totals = things.groupBy("host", "node").agg(
+        F.sum(F.when(looks, n)).alias("m"), F.sum(F.when(looks, n * F.log("n"))).alias("s"),
+        F.sum(F.when(said, n)).alias("mt"), F.sum(F.when(said, n * F.log("n"))).alias("st"),
+        F.first("line").alias("line"))
+    # The entropy of the looks in base m (their number), and one less the mean commonness of a
+    # text, which is log_m n for one that n of m show. Seen once means important.
+    one = totals.select(
+        "host", "node", "line", F.col("m").alias("n_pages"),
+        F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / F.col("m") / F.log("m")))
         .otherwise(1.0).alias("looks"),
-        F.when(F.col("mt") > 1, 1 - F.col("st") / F.col("mt") / F.log("mt")).otherwise(
-            F.when(F.col("mt").isNotNull(), 1.0)).alias("said"))
+        F.when(F.col("mt") > 1, 1 - F.col("st") / F.col("mt") / F.log("mt"))
+        .when(F.col("mt") == 1, 1.0).alias("said"))
     one = one.withColumn("own", F.greatest(F.col("looks"), F.coalesce("said", F.lit(0.0))))
-    # Every element counts for itself and, less with distance, for those above it.
+    # Every element counts for itself and for those above it.
     up = one.select("host", "own", "n_pages", F.size("line").alias("depth"),
                     F.posexplode("line").alias("at", "above"))
-    weight = F.pow(F.lit(DEPTH_WEIGHT), F.col("depth") - 1 - F.col("at")) * F.col("n_pages")
     return up.groupBy("host", F.col("above").alias("node")).agg(
         F.max(F.when(F.col("depth") == F.col("at") + 1, F.col("n_pages"))).alias("n_pages"),
-        (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"))
+        F.max("own").alias("importance"))
 
 
 def extract(pages: DataFrame, keep: Sequence[str], url: str = "url", html: str = "html",

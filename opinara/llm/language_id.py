@@ -91,7 +91,7 @@ def _spans(text: str) -> list[str]:
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
-        per_class: int = PER_CLASS, dim: int = 16, epochs: int = 4, rate: float = 0.5,
+        per_class: int = PER_CLASS, dim: int = 16, steps: int = 30_000, rate: float = 0.5,
         most_errors: float = 0.01, seed: int = 7) -> Model:
     """Trains on about per_class labelled rows of each class (twice as many at most)."""
     sample = sample_per_class(rows.where(F.col(text).isNotNull()), label, key, per_class)
@@ -119,7 +119,8 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     held, used = order[:len(order) // 5], order[len(order) // 5:]
     emb = rng.uniform(-1, 1, (BUCKETS, dim)).astype(np.float32) / dim
     out, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes))
-    steps, done = epochs * len(used), 0
+    # As many steps for few rows as for many, so that little data is learned as well.
+    epochs, done = max(1, steps // max(1, len(used))), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
             y, ids, n = data[i]
@@ -127,7 +128,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
             mean = (emb[ids] * share).sum(0)
             p = _softmax(mean @ out + bias)
             p[y] -= 1
-            step = rate * (1 - done / steps)
+            step = rate * (1 - done / (epochs * len(used)))
             back = (out @ p).astype(np.float32)
             out -= (step * np.outer(mean, p)).astype(np.float32)
             bias -= step * 0.1 * p

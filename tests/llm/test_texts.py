@@ -41,7 +41,7 @@ def passages(seed, n_docs, n_shared, length, vocabulary=300):
         for _ in range(rng.randrange(3)):
             cut = rng.randrange(length)
             text += rng.choice(shared)[cut:] + [word() for _ in range(rng.randrange(8))]
-        rows.append((i * 3 % n_docs, rng.choice((" ", "\n", "  ")).join(text)))
+        rows.append((i * 7 % n_docs, rng.choice((" ", "\n", "  ")).join(text)))
     return rows
 
 
@@ -113,7 +113,7 @@ def test_edit_matching(spark):
             at = rng.randrange(len(item))
             item[at:at + rng.randrange(2)] = rng.choice("abc")
         filler = " ".join(f"q{rng.randrange(90)}" for _ in range(20))
-        rows.append((i, f"{filler} {''.join(item).upper() if i % 3 else filler} {filler}"))
+        rows.append((100 + i, f"{filler} {''.join(item).upper() if i % 3 else filler} {filler}"))
     docs, bench = table(spark, rows + ODD), spark.createDataFrame(items, "item_id bigint, text string")
     want = set()
     for key, item in items:
