@@ -27,7 +27,8 @@ def with_impact(keywords: DataFrame, impact: DataFrame, total: Column) -> DataFr
         F.lit(" negative reviews ("), fixed(percent(F.col("mentions"), total), 1),
         F.lit("% of all reviews); look into it soon."),
     )
-    known = impact.select(F.lower("keyword").alias("_keyword"), F.col("impact").alias("_impact"))
+    # One text per keyword, so a keyword listed twice does not repeat a line.
+    known = impact.groupBy(F.lower("keyword").alias("_keyword")).agg(F.min("impact").alias("_impact"))
     joined = keywords.join(known, F.lower("word") == F.col("_keyword"), "left")
     return joined.select(*keywords.columns, F.coalesce("_impact", default).alias("impact"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from opinara import fixed_values as v
 from opinara.functions import text
 from opinara.functions.numbers import percent, round_exact
-from opinara.sources.tables import broadcast_if_small, small_table
+from opinara.sources.tables import small_table
 
 STOP_WORDS = frozenset(v.ENGLISH_STOP_WORDS) | frozenset(v.DOMAIN_STOP_WORDS)
 STOP_WORD_LIMIT = 10_000  # longer lists are anti-joined instead
@@ -69,7 +69,7 @@ def _without_stop_words(
             return words.where(wanted if keep is None else wanted | keep)
         stop_words = word_table(words.sparkSession, listed)
     words = words.where(long_enough if keep is None else long_enough | keep)
-    return words.join(broadcast_if_small(stop_words.select("word")), "word", "left_anti")
+    return words.join(stop_words.select("word"), "word", "left_anti")
 
 
 def _count(words: DataFrame, *keys: str) -> DataFrame:
@@ -87,8 +87,8 @@ def keyword_counts(
 
     Tokens are counted in each task before the shuffle, which then carries about one
     row per distinct word and task; a word that makes up a third of all tokens costs no
-    more than any other.  A stop list given as a table is anti-joined, by broadcast when
-    it is small.
+    more than any other.  A stop list given as a table is anti-joined; Spark broadcasts it when
+    it finds it small.
     """
     keep = ("Sentiment",) if by_class else ()
     words = _token_rows(scored, text.words(_plain(scored)), *keep)

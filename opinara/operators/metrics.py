@@ -38,8 +38,8 @@ def _class(name: str) -> Column:
 
 
 def avg_rating() -> Column:
-    """Aggregate: mean star score, from an exact sum."""
-    return F.try_divide(F.sum(F.col("Score") * F.col("n")), F.sum("n"))
+    """Aggregate: mean star score, from an exact sum (stars of up to six decimals)."""
+    return F.try_divide(F.sum(F.col("Score").cast("decimal(18,6)") * F.col("n")).cast("double"), F.sum("n"))
 
 
 def total_reviews(cube: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def product_stats(scored: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("reviews"),
             F.count_if(F.col("Sentiment") == v.POSITIVE).alias("positive"),
             F.count_if(F.col("Sentiment") == v.NEGATIVE).alias("negative"),
-            F.avg("Score").alias("avg_rating"),
+            (F.sum(F.col("Score").cast("decimal(18,6)")).cast("double") / F.count("Score")).alias(
+                "avg_rating"),
         )
     )
 

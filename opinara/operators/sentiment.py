@@ -1,26 +1,26 @@
 """Polarity scoring and class labels.
 
 ``polarity = sum of lexicon polarities of matched tokens / matched tokens``, 0 when
-nothing matches.  Polarities have two decimals and are summed as whole hundredths,
-so the result does not depend on the order of the rows.
+nothing matches.  Polarities are numbers in [-1, 1] of up to six decimals and are summed as
+whole millionths, so the result does not depend on the order of the rows.  A lexicon has one
+value per word; a word listed with two values is an error, whichever way it is scored.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import bands, text
-from opinara.sources.tables import broadcast_if_small, small_table
 
-LITERAL_WORDS = 10_000  # larger lexicons are joined instead
+UNIT = 1_000_000  # polarities are counted in millionths
+LEXICON_BYTES = 16_000_000  # of words in a lexicon that every task gets; see score_by_join
 
 Lexicon = Mapping[str, "Decimal | float | str"] | DataFrame
 
@@ -38,23 +38,31 @@ def with_clean_text(reviews: DataFrame) -> DataFrame:
 def score(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Add PlainText, CleanText, SentimentScore, Sentiment and ExpectedSentiment.
 
-    A lexicon of up to ``LITERAL_WORDS`` words becomes a constant inside the scoring
-    expression: no shuffle, no join.  A larger one is joined to the words.
+    The lexicon becomes a constant inside the scoring expression: no shuffle, no join.  One
+    given as a table is fetched for that, after a check of its size; a lexicon too large for
+    every task is refused here, and scored alike by :func:`score_by_join`.
     """
-    cleaned = with_clean_text(reviews)
     if isinstance(lexicon, DataFrame):
-        head = lexicon.select("word", "polarity").limit(LITERAL_WORDS + 1).collect()
-        if len(head) > LITERAL_WORDS:
-            return score_by_join(cleaned, lexicon)
-        lexicon = {r["word"]: r["polarity"] for r in head}
-    elif len(lexicon) > LITERAL_WORDS:
-        rows = [(w, Decimal(_hundredths(p)) / 100) for w, p in lexicon.items()]
-        schema = pa.schema([("word", pa.string()), ("polarity", pa.decimal128(4, 2))])
-        return score_by_join(cleaned, small_table(reviews.sparkSession, rows, schema))
+        lexicon = _fetched(lexicon)
+    if sum(len(w.encode()) + 8 for w in lexicon) > LEXICON_BYTES:
+        raise ValueError(f"lexicon of over {LEXICON_BYTES} bytes: use score_by_join")
+    cleaned = with_clean_text(reviews)
     words = text.words(F.col("PlainText"))
     return _labelled(cleaned.withColumn("SentimentScore", polarity(words, lexicon)))
 
 
+def _fetched(lexicon: DataFrame) -> dict[str, Decimal]:
+    """A lexicon table as a mapping, once its size is known to be within the bound."""
+    size = lexicon.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"lexicon of over {LEXICON_BYTES} bytes: use score_by_join")
+    found: dict[str, Decimal] = {}
+    for word, value in lexicon.select("word", F.col("polarity").cast("string")).collect():
+        if found.setdefault(word, Decimal(value)) != Decimal(value):
+            raise ValueError(f"two polarities for {word!r}")
+    return found
+
+
 def score_with(reviews: DataFrame, scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """As :func:`score`, with the caller's own ``Series[str] -> Series[float]``."""
 
@@ -81,12 +89,12 @@ def polarity(words: Column, lexicon: Mapping[str, Decimal | float | str]) -> Col
     for word, value in lexicon.items():
         slot = table[zlib.crc32(word.encode()) % slots]
         slot["words"].append(word)
-        slot["values"].append(_hundredths(value))
+        slot["values"].append(_millionths(value))
     lookup = F.from_json(
         F.lit(json.dumps(table)), "array<struct<words:array<string>,values:array<int>>>"
     )
 
-    def hundredths(word: Column) -> Column:
+    def millionths(word: Column) -> Column:
         slot = F.get(lookup, (F.crc32(word.cast("binary")) % slots).cast("int"))
         place = F.array_position(slot["words"], word).cast("int")
         return F.get(slot["values"], place - 1)
@@ -96,37 +104,53 @@ def polarity(words: Column, lexicon: Mapping[str, Decimal | float | str]) -> Col
         matched,
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n")),
         lambda acc, w: F.struct(
-            (acc["sum"] + hundredths(w)).alias("sum"), (acc["n"] + 1).alias("n")
+            (acc["sum"] + millionths(w)).alias("sum"), (acc["n"] + 1).alias("n")
         ),
-        lambda acc: F.when(acc["n"] > 0, acc["sum"] / F.lit(100.0) / acc["n"]).otherwise(0.0),
+        lambda acc: F.when(acc["n"] > 0, acc["sum"] / F.lit(float(UNIT)) / acc["n"]).otherwise(0.0),
     )
 
 
-def _hundredths(value: Decimal | float | str) -> int:
-    scaled = Decimal(str(value)) * 100
-    if scaled != int(scaled) or abs(scaled) > 100:
-        raise ValueError(f"polarity {value} is not a two-decimal number in [-1, 1]")
+def _millionths(value: Decimal | float | str) -> int:
+    scaled = Decimal(str(value)) * UNIT
+    if scaled != int(scaled) or abs(scaled) > UNIT:
+        raise ValueError(f"polarity {value} is not a number of six decimals in [-1, 1]")
     return int(scaled)
 
 
-def score_by_join(cleaned: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Scores for a lexicon of any size, sent to every task only when it is small.
+MARKERS = 256  # words that stand for a review itself, so that none gets lost or is hot
 
-    Matches are summed per review in each task, so one small row per review is shuffled
-    and joined back on ``Id``.
+
+def score_by_join(reviews: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ("Id",)) -> DataFrame:
+    """The columns in ``keep``, SentimentScore and the labels, for a lexicon of any size.
+
+    One pass over the texts: each review becomes its words and one marker word, and what is
+    shuffled is words with a row number and ``keep``, never a text.  The row number is made
+    here, so repeated or null values of ``Id`` do not matter.
     """
-    words = cleaned.select("Id", F.explode(text.words(F.col("PlainText"))).alias("word"))
-    polarity_sum = F.sum(F.col("polarity").cast("decimal(4,2)")).cast("double")
-    scores = (
-        words.join(broadcast_if_small(lexicon.select("word", "polarity")), "word")
-        .groupBy("Id")
-        .agg((polarity_sum / F.count(F.lit(1))).alias("SentimentScore"))
-    )
-    return _labelled(
-        cleaned.join(scores, "Id", "left").withColumn(
-            "SentimentScore", F.coalesce("SentimentScore", F.lit(0.0))
-        )
-    )
+    scaled = F.col("polarity").cast("decimal(38,12)") * UNIT
+    bad = (scaled != F.round(scaled)) | (F.abs(scaled) > UNIT) | scaled.isNull()
+    units = F.when(bad, F.raise_error(F.concat(
+        F.lit("polarity is not a number of six decimals in [-1, 1]: "), F.col("word"))).cast("bigint")
+    ).otherwise(scaled.cast("bigint"))
+    values = lexicon.select("word", units.alias("units")).groupBy("word").agg(
+        F.min("units").alias("units"), F.max("units").alias("other"))
+    values = values.select("word", F.when(F.col("units") != F.col("other"), F.raise_error(F.concat(
+        F.lit("two polarities for "), F.col("word"))).cast("bigint")).otherwise(F.col("units")).alias("units"),
+        F.lit(1).alias("n"))
+    marks = lexicon.sparkSession.range(MARKERS).select(
+        F.concat(F.lit(" "), F.col("id").cast("string")).alias("word"),
+        F.lit(0).cast("bigint").alias("units"), F.lit(0).alias("n"))
+    kept = [c for c in dict.fromkeys((*keep, "Score")) if c in reviews.columns]
+    rows = reviews.select(F.monotonically_increasing_id().alias("_row"), *kept,
+                          text.words(text.plain_text(F.col("Text"))).alias("_words"))
+    mark = F.concat(F.lit(" "), F.pmod("_row", F.lit(MARKERS)).cast("string"))
+    words = rows.select("_row", *kept, F.explode(F.concat(
+        F.array(mark), F.coalesce("_words", F.array().cast("array<string>")))).alias("word"))
+    sums = words.join(values.unionByName(marks), "word").groupBy("_row", *kept).agg(
+        F.sum("units").alias("_units"), F.sum("n").alias("_n"))
+    score = F.when(F.col("_n") > 0, F.col("_units") / F.lit(float(UNIT)) / F.col("_n")).otherwise(0.0)
+    labelled = _labelled(sums.withColumn("SentimentScore", score))
+    return labelled.drop("_row", "_units", "_n", *(() if "Score" in keep else ("Score",)))
 
 
 def _labelled(scored: DataFrame) -> DataFrame:

@@ -84,13 +84,8 @@ TEMPLATES = {
   trend over time, forecast and scenarios, year by year
   most reviewed and most complained products
   business impact, recommendations, model accuracy, review length""",
-    25: """That question is not understood. Try one of:
-  What is overall sentiment?
-  What are the top complaints?
-  Show the forecast
-  Why do complaints matter?
-  Give me recommendations
-Ask for help to see every topic.""",
+    25: """No topic was recognised. Name one, such as sentiment, complaints, forecast,
+impact or recommendations, or ask for help to see them all.""",
 }
 
 QUOTE = '  {stars} "{summary}"'
@@ -128,7 +123,7 @@ SCENARIOS = """
   Action: {action}"""
 OUTLOOK = "\n  5. Outlook: the negative trend is {direction}, {note}."
 
-NO_TIME = "Time data is not available."
-NO_YEARS = "Year data is not available."
-NO_PRODUCTS = "Product data is not available."
-NO_FORECAST = "There is not enough history for a forecast."
+NO_TIME = "The reviews carry no time, so there is no trend."
+NO_YEARS = "The reviews carry no time, so there are no years."
+NO_PRODUCTS = "The reviews name no products."
+NO_FORECAST = "A forecast needs at least four months of reviews."

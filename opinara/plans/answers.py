@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from opinara.operators import keywords, metrics, products, trend
 from opinara.plans import answer_texts as t
 from opinara.plans.marts import Marts
 from opinara.plans.questions import route
-from opinara.sources.sampling import sample_quotes
+from opinara.sources.sampling import quote_lists
 
 _NONE = "n/a"
 
@@ -54,12 +55,16 @@ def _one(df: DataFrame, text: Column) -> Column:
     return df.select(text.alias("text")).agg(F.max("text")).scalar()
 
 
-def _quotes(reviews: DataFrame, condition: Column) -> Column:
+def _quotes(reviews: DataFrame, lists: Mapping[str, Column]) -> dict[str, Column]:
+    """The quotes of every list as one text each, from one pass."""
     if "Summary" not in reviews.columns:
-        return F.lit("")
+        return {name: F.lit("") for name in lists}
     summary = F.coalesce("Summary", F.lit(""))
     line = fill(t.QUOTE, stars=star_glyphs(F.col("Score")), summary=summary)
-    return _lines(sample_quotes(reviews, condition), "ord", line)
+    texts = quote_lists(reviews, lists).groupBy("list").agg(
+        joined_lines(F.col("ord"), line).alias("text"))
+    found = texts.agg(F.map_from_entries(F.collect_list(F.struct("list", "text")))).scalar()
+    return {name: F.coalesce(found[name], F.lit("")) for name in lists}
 
 
 def _word_list(top: DataFrame, n: int) -> Column:
@@ -113,9 +118,9 @@ def _product_texts(marts: Marts) -> tuple[Column, Column]:
     most = fill(t.PRODUCT, product="ProductId", rating=rating, pct=number("positive_pct", 0))
     worst = fill(t.COMPLAINED_PRODUCT, product="ProductId", rating=rating)
     return (
-        F.concat(F.lit("Most reviewed products:\n"),
+        F.concat(F.lit("Products by number of reviews:\n"),
                  _lines(products.top_products(stats), "rank", most)),
-        F.concat(F.lit("Products with most complaints:\n"),
+        F.concat(F.lit("Products by negative reviews:\n"),
                  _lines(products.complained_products(stats), "rank", worst)),
     )
 
@@ -164,10 +169,12 @@ def _figures(marts: Marts) -> DataFrame:
         "retention": bands.retention_note(rating),
         "urgency": bands.urgency(negative),
         "urgency_note": bands.urgency_note(negative),
-        "quotes_pos": _quotes(facts, F.col("Sentiment") == v.POSITIVE),
-        "quotes_neg": _quotes(facts, F.col("Sentiment") == v.NEGATIVE),
-        "quotes_top": _quotes(facts, F.col("Score") == 5),
-        "quotes_low": _quotes(facts, F.col("Score") == 1),
+        **_quotes(facts, {
+            "quotes_pos": F.col("Sentiment") == v.POSITIVE,
+            "quotes_neg": F.col("Sentiment") == v.NEGATIVE,
+            "quotes_top": F.col("Score") == 5,
+            "quotes_low": F.col("Score") == 1,
+        }),
         "five_star": star_text(5, "{n} ({pct}%)"),
         "one_star": star_text(1, "{n} ({pct}%)"),
         "five_pct": star_text(5, "{pct}"),
@@ -208,8 +215,10 @@ def answer_table(marts: Marts) -> DataFrame:
 def answer(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Route and answer a table (or stream) of ``question_id, question``.
 
-    The answer table always has 25 rows, so it is sent to every task.
+    Every question is answered: an intent that the answer table lacks gets the fallback.
     """
-    return route(questions).join(F.broadcast(answers), "intent").select(
-        "question_id", "question", "intent", "intent_name", "answer"
+    known = answers.groupBy("intent").agg(F.min("answer").alias("answer"))
+    text = F.coalesce("answer", F.lit(t.TEMPLATES[v.FALLBACK_INTENT])).alias("answer")
+    return route(questions).join(known, "intent", "left").select(
+        "question_id", "question", "intent", "intent_name", text
     )

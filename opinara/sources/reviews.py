@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from opinara import fixed_values as v
 from opinara.functions import dates
 from opinara.sources.sampling import sample_rows
+from opinara.sources.sinks import stored
 
-_TYPES = {"Id": "bigint", "ProductId": "string", "Score": "int", "Time": "bigint",
+_TYPES = {"Id": "bigint", "ProductId": "string", "Score": "double", "Time": "bigint",
           "Summary": "string", "Text": "string"}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def read_csv(
@@ -23,19 +26,22 @@ def read_csv(
 ) -> DataFrame:
     """Review CSV with a header, quoted fields and doubled quotes.
 
-    Columns are found by name, so extra columns and any order are fine.  With
+    Columns are found by name, so extra columns and any order are fine; files that are read
+    together must have the same header, and one with another is refused.  With
     ``multi_line`` (needed when a quoted field holds a line break) Spark gives each
     file to one task: store a large collection as many files, or convert it once
     with :func:`opinara.sources.sinks.write_table`.  Files without such breaks should
     be read with ``multi_line=False``, which splits them.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .csv(path)
     )
+    header = reader.csv(path).columns  # of one file
+    schema = StructType([StructField(c, StringType()) for c in header])
+    raw = reader.schema(schema).option("enforceSchema", False).csv(path)
     present = [c for c in v.REVIEW_COLUMNS if c in raw.columns]
     tokens = list(null_tokens)
 
@@ -46,16 +52,15 @@ def read_csv(
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Known, present columns in their types; a value that does not fit is null."""
+    """Known, present columns in their types; a value that does not fit is null.
+
+    Stars of a whole-number type stay whole numbers; all others may have fractions.
+    """
     types = dict(df.dtypes)
 
     def value(name: str) -> Column:
-        column = F.col(name)
-        if types[name] == _TYPES[name]:
-            return column
-        if name == "Score":
-            column = column.try_cast("double")
-        return column.try_cast(_TYPES[name]).alias(name)
+        kind = "int" if name == "Score" and types[name] in _WHOLE else _TYPES[name]
+        return F.col(name) if types[name] == kind else F.col(name).try_cast(kind).alias(name)
 
     return df.select(*[value(c) for c in v.REVIEW_COLUMNS if c in df.columns])
 
@@ -67,21 +72,11 @@ def reviews_from_documents(documents: DataFrame) -> DataFrame:
         F.col("source").alias("ProductId"),
         (F.lit(1) + F.col("n_chars") % 5).cast("int").alias("Score"),
         (F.lit(1325376000) + (F.col("doc_id") % 720) * 86400).alias("Time"),
-        F.substring("text", 1, 60).alias("Summary"),
+        F.concat_ws(" ", "source", "lang", "doc_id").alias("Summary"),
         F.col("text").alias("Text"),
     )
 
 
-def spread(df: DataFrame, key: str = "Id") -> DataFrame:
-    """Spread rows over all cores when there are fewer input files than cores.
-
-    For a few files that cannot be split (multi-line CSV, one large row group).  With
-    at least one file per core nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.where(F.col("Text").isNotNull() & F.col("Score").isNotNull())
 
@@ -107,11 +102,12 @@ def load_reviews(
     """Sample (only when asked), prune, drop incomplete rows, add dates.
 
     Sampling comes before the null drop, so a sample may end up with fewer rows.
-    Without an ``Id`` column the reading order becomes the row key.
+    Without an ``Id`` column the reading order becomes the row key; such a table is stored
+    once, so that every later pass sees the same keys.
     """
     df = typed(raw)
     if "Id" not in df.columns:
-        df = df.withColumn("Id", F.monotonically_increasing_id())
+        df = stored(df.withColumn("Id", F.monotonically_increasing_id()), "reviews")
     if sample_size is not None:
         df = sample_rows(df, sample_size, seed)
     return with_dates(drop_incomplete(df))

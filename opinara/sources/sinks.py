@@ -1,8 +1,7 @@
-"""Writing tables, and the shared folder for intermediate ones."""
+"""Writing tables, the shared folder for intermediate ones, and tables as streams."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -36,18 +35,8 @@ def write_marts(marts: Mapping[str, DataFrame], path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    Only a local session may fall back to a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="opinara-"))
-        return spark.sparkContext.getCheckpointDir()
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """The folder all executors share, as the session names it, or else its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -65,3 +54,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream, one file or a directory of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+    if system.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)

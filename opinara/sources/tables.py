@@ -1,4 +1,4 @@
-"""Small tables made from Python values, and the size check before a broadcast."""
+"""Small tables made from Python values."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 2_000_000
 
 
 def small_table(spark: SparkSession, rows: Iterable[Sequence], schema: pa.Schema) -> DataFrame:
@@ -16,12 +13,3 @@ def small_table(spark: SparkSession, rows: Iterable[Sequence], schema: pa.Schema
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
     arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has no more than ``rows`` rows.
-
-    Counts at most ``rows + 1`` of them.  A larger table gets no hint: Catalyst then
-    shuffles both sides, and splits hot keys when adaptive execution is on.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

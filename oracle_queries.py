@@ -57,6 +57,26 @@ WORDS_OF = (
 )
 
 
+# Phrases of an intent that a phrase of an earlier intent, or a shorter one, decides.
+OVERRIDDEN = (
+    "what are complaints", "what do customers love", "what is praised", "top praise",
+    "lowest review product", "lowest rated product", "product complaints", "predict", "forecast",
+    "future", "next month", "projection", "predictive", "business impact", "why does it matter",
+    "what is the impact", "why important", "how to improve", "areas to improve",
+    "improvement areas", "key actions", "model accuracy", "year by year", "yearly breakdown",
+)
+
+
+def trigger_questions() -> list[tuple[str, str]]:
+    """A question for each trigger phrase, in odd case and spacing."""
+    return [(f"trigger:{i}:{k}", f" {p.upper()}? ")
+            for i, ps in v.TRIGGERS.items() for k, p in enumerate(ps)]
+
+
+def overridden_questions() -> list[tuple[str, str]]:
+    return [(f"overridden:{k}", f"{p.capitalize()}?") for k, p in enumerate(OVERRIDDEN)]
+
+
 def build(lexicon: Mapping[str, str], impacts: Mapping[str, str]) -> dict[str, str]:
     lex = values([(w, float(p)) for w, p in lexicon.items()])
     stop = "(" + ", ".join(
@@ -64,7 +84,8 @@ def build(lexicon: Mapping[str, str], impacts: Mapping[str, str]) -> dict[str, s
     impact = values(impacts.items())
     base = f"""WITH reviews AS (
   SELECT doc_id AS Id, source AS ProductId, CAST(1 + n_chars % 5 AS INTEGER) AS Score,
-    1325376000 + (doc_id % 720) * 86400 AS Time, substring(text, 1, 60) AS Summary,
+    1325376000 + (doc_id % 720) * 86400 AS Time,
+    concat_ws(' ', source, lang, doc_id) AS Summary,
     text AS Text
   FROM documents),
 dated AS (
@@ -213,9 +234,7 @@ insight_lines AS (
 """
 
     phrases = [(i, p) for i, ps in v.TRIGGERS.items() for p in ps]
-    trigger_rows = [(-1000 * i - k, f" {p.upper()}? ")
-                    for i, ps in v.TRIGGERS.items() for k, p in enumerate(ps)]
-    canned_rows = [(-i, q) for i, q in enumerate(v.CANNED_QUESTIONS, 1)]
+    canned_rows = [(f"canned:{i}", q) for i, q in enumerate(v.CANNED_QUESTIONS, 1)]
     names = values(list(enumerate(v.INTENTS, 1)))
 
     def routed(questions: str) -> str:
@@ -229,15 +248,13 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
 """
 
     turns = (
-        "SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations"
+        "SELECT conv_id || ':' || turn AS question_id, text AS question FROM conversations"
         " WHERE role = 'user'"
     )
-    asked = (
-        turns + " UNION ALL SELECT CAST(q AS BIGINT), s FROM "
-        + values(canned_rows + trigger_rows) + " AS q(q, s)"
-    )
-    canned = "SELECT CAST(-q AS BIGINT) AS question_id, s AS question FROM " + values(
-        canned_rows) + " AS q(q, s)"
+    asked = turns + " UNION ALL SELECT q, s FROM " + values(
+        [*canned_rows, *trigger_questions(), *overridden_questions()]) + " AS q(q, s)"
+    canned = "SELECT CAST(q AS BIGINT) AS question_id, s AS question FROM " + values(
+        list(enumerate(v.CANNED_QUESTIONS, 1))) + " AS q(q, s)"
 
     def quote(where: str) -> str:
         line = filled(t.QUOTE, stars="repeat('⭐', Score)", summary="Summary")
@@ -321,9 +338,9 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
         "common_lines": word_lines("common", 8, t.COMMON_WORD),
         "trend": f"{trend_text} || coalesce({outlook}, '')",
         "scenarios": f"{first_forecast} || {all_cases}", "outlook": advice_line,
-        "most_reviewed": "'Most reviewed products:' || chr(10) || "
+        "most_reviewed": "'Products by number of reviews:' || chr(10) || "
                          f"(SELECT {lines('rank', product)} FROM top_products)",
-        "most_complained": "'Products with most complaints:' || chr(10) || "
+        "most_complained": "'Products by negative reviews:' || chr(10) || "
                            f"(SELECT {lines('rank', complained)} FROM complained)",
         "years": "'Year by year:' || chr(10) || "
                  f"(SELECT {lines('year', year)} FROM yearly)",
@@ -338,6 +355,22 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
         f"SELECT {i} AS intent, {filled(template, **named_figures)} AS answer FROM figures"
         for i, template in t.TEMPLATES.items()) + ")"
     answers = f"{base}, {figure_row}, {answer_rows}"
+    # Without Time, ProductId and Summary these texts are fixed.
+    fixed = {"trend": t.NO_TIME, "scenarios": t.NO_FORECAST, "outlook": "", "years": t.NO_YEARS,
+             "most_reviewed": t.NO_PRODUCTS, "most_complained": t.NO_PRODUCTS, "quotes_pos": "",
+             "quotes_neg": "", "quotes_top": "", "quotes_low": ""}
+    few_figures = named_figures | {name: text(value) for name, value in fixed.items()}
+    few_answers = f"{base}, {figure_row} " + " UNION ALL ".join(
+        f"SELECT {i} AS intent, {filled(template, **few_figures)} AS answer FROM figures"
+        for i, template in t.TEMPLATES.items())
+    chart_rows = [
+        ("sentiment_bars", "Sentiment", "count(*)", "scored GROUP BY Sentiment"),
+        ("star_histogram", "Score", "count(*)", "dated GROUP BY Score"),
+        ("complaint_words", "word", "mentions", "complaints"),
+        ("praise_words", "word", "mentions", "praise"),
+        ("complaint_impact", "word", f1("mentions / total * 100"),
+         "complaints, totals WHERE rank <= 6"),
+        ("yearly_sentiment", "year", "positive_pct", "yearly")]
 
     def answered(questions: str) -> str:
         return (f"{answers}, {routed(questions)} SELECT question_id, question, n.intent,"
@@ -391,7 +424,7 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
             f"{base}, {sampled} SELECT 'raw' AS stage, count(*) AS n FROM reviews{stages}"
             f"'sampled', count(*) FROM sampled{stages}'clean', count(*) FROM sampled"
             f" WHERE {complete}",
-        "csv_reviews": f"{base} SELECT Id, ProductId, Score, Time, Summary, Text, YearMonth"
+        "csv_reviews": f"{base} SELECT Id, ProductId, CAST(Score AS DOUBLE) AS Score, Time, Summary, Text, YearMonth"
                        " FROM dated",
         "reviews_dated": f'{base} SELECT Id, Score, "Date", YearMonth,'
                          ' CAST(year("Date") AS INTEGER) AS "Year",'
@@ -468,6 +501,12 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
         "route_questions": f"WITH {routed(asked)} SELECT question_id, question, intent,"
                            " intent_name FROM named",
         "answers": answered(asked),
+        "answers_without_columns": few_answers,
         "canned_answers": answered(canned),
+        "chart_tables": base + " UNION ALL ".join([
+            "SELECT 'kpi_cards' AS chart, label, value FROM ("
+            + cards().removeprefix(base) + ")",
+            *(f"SELECT '{chart}', CAST({label} AS VARCHAR), CAST({value} AS DOUBLE) FROM {rows}"
+              for chart, label, value, rows in chart_rows)]),
         "answers_streamed": answered(turns),
     }

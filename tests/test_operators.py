@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.operators import impact, keywords, metrics, products, sentiment, trend
+from opinara.plans import answer_texts
 from opinara.plans.answers import answer_table
 from opinara.plans.batch import run
 from opinara.plans.charts import trend_chart
@@ -69,17 +70,28 @@ def test_polarity_at_the_edges_is_neutral(spark):
     assert [r[0] for r in got] == ["Neutral"]
 
 
-def test_lexicon_kinds_agree(spark, scored, monkeypatch):
-    table = spark.createDataFrame(
-        [(w, Decimal(str(p))) for w, p in LEXICON.items()], "word string, polarity decimal(4,2)")
-    want = sorted((r.Id, r.SentimentScore) for r in scored.collect())
-    base = reviews(spark, ROWS)
-    as_table = sentiment.score(base, table)
-    assert sorted((r.Id, r.SentimentScore) for r in as_table.collect()) == want
-    monkeypatch.setattr(sentiment, "LITERAL_WORDS", 2)
-    for lexicon in (table, LEXICON):
-        joined = sentiment.score(base, lexicon)
-        assert sorted((r.Id, r.SentimentScore) for r in joined.collect()) == want
+def test_lexicon_kinds_agree(spark):
+    """One meaning whichever way the lexicon comes: repeated and null ids, repeated words, three
+    decimals."""
+    entries = [*LEXICON.items(), ("fine", 0.5), ("stale", -0.125)]
+    table = spark.createDataFrame([(w, Decimal(str(p))) for w, p in entries],
+                                  "word string, polarity decimal(6,4)")
+    rows = [*ROWS, *ROWS[:40], *((None, *r[1:]) for r in ROWS[:40])]
+    base = reviews(spark, rows)
+    want = Counter((r.Id, r.SentimentScore) for r in sentiment.score(base, dict(entries)).collect())
+    assert sum(want.values()) == len(rows)
+    for scored in (sentiment.score(base, table), sentiment.score_by_join(base, table)):
+        assert Counter((r.Id, r.SentimentScore) for r in scored.collect()) == want
+    labelled = sentiment.score_by_join(base, table, ("Id", "ProductId"))
+    assert labelled.columns == ["Id", "ProductId", "SentimentScore", "Sentiment", "ExpectedSentiment"]
+
+
+def test_a_word_with_two_values_is_refused(spark):
+    table = spark.createDataFrame([("fine", "0.8"), ("fine", "0.2")], "word string, polarity string")
+    with pytest.raises(ValueError, match="two polarities"):
+        sentiment.score(reviews(spark, ROWS), table)
+    with pytest.raises(Exception, match="two polarities"):
+        sentiment.score_by_join(reviews(spark, ROWS), table).collect()
 
 
 def test_large_lexicon_lookup(spark):
@@ -93,7 +105,7 @@ def test_large_lexicon_lookup(spark):
 
 
 def test_bad_polarity_is_refused(spark):
-    for bad in (1.5, 0.125):
+    for bad in (1.5, 0.1234567):
         with pytest.raises(ValueError):
             sentiment.score(reviews(spark, ROWS[:1]), {"x": bad})
 
@@ -290,6 +302,20 @@ def test_sample_keeps_rows_without_id(spark):
     assert sample_rows(df, 10).count() == 4 and sample_rows(df, 2).count() == 2
 
 
+def test_a_large_sample_stays_spread_out(spark):
+    df = spark.createDataFrame(make(5000), SCHEMA).repartition(8)
+    plan = sample_rows(df, 4000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
+    assert sum(1 for p in sample_rows(df, 4000).rdd.glom().collect() if p) > 4
+
+
+def test_a_keyword_listed_twice_gives_one_line(spark):
+    top = spark.createDataFrame([(1, "stale", 4)], "rank int, word string, mentions bigint")
+    table = spark.createDataFrame([("stale", "b"), ("STALE", "a")], "keyword string, impact string")
+    got = impact.insight_lines(top, table, F.lit(8)).collect()
+    assert [r.impact for r in got] == ["a"]
+
+
 def test_quotes_meet_their_condition(spark):
     df = reviews(spark, ROWS)
     got = sample_quotes(df, F.col("Score") == 2).collect()
@@ -306,16 +332,16 @@ def test_empty_input(spark):
     assert marts.forecast.count() == 0 and marts.complaints.count() == 0
     answers = {r.intent: r.answer for r in answer_table(marts).collect()}
     assert len(answers) == 25 and all(a is not None for a in answers.values())
-    assert answers[15] == "There is not enough history for a forecast."
+    assert answers[15] == answer_texts.NO_FORECAST
 
 
 def test_optional_columns(spark):
     base = reviews(spark, ROWS, ["Id", "Score", "Text"])
     marts = Marts.build(sentiment.score(base, LEXICON))
     answers = {r.intent: r.answer for r in answer_table(marts).collect()}
-    assert answers[11] == "Time data is not available."
-    assert answers[12] == answers[13] == "Product data is not available."
-    assert answers[21] == "Year data is not available."
+    assert answers[11] == answer_texts.NO_TIME
+    assert answers[12] == answers[13] == answer_texts.NO_PRODUCTS
+    assert answers[21] == answer_texts.NO_YEARS
     assert answers[2].endswith("Examples:\n")
     assert report(marts).where("section = 'forecast'").count() == 0
 

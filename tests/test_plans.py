@@ -19,7 +19,8 @@ def final_plan(df):
 @pytest.mark.parametrize("name", [
     "sentiment_distribution", "kpi", "top_complaints", "common_words", "keyword_lists",
     "complaint_insights", "monthly_negative", "forecast", "trend_chart", "yearly",
-    "top_products", "review_length", "longest_review",
+    "top_products", "review_length", "longest_review", "sentiment_scored", "sentiment_joined",
+    "class_quotes", "star_quotes",
 ])
 def test_texts_are_read_and_scored_once(spark, sf, name):
     plan = final_plan(QUERIES[name](spark, sf))
@@ -44,6 +45,12 @@ def test_scoring_moves_no_data(spark, sf):
     assert counted.count("Exchange hashpartitioning") == 1 and "partial_count" in counted
 
 
+def test_joined_scoring_moves_no_text(spark, sf):
+    plan = QUERIES["sentiment_joined"](spark, sf)._jdf.queryExecution().executedPlan()
+    for line in plan.toString().split("== Initial Plan ==")[0].splitlines():
+        assert "Exchange" not in line or "text#" not in line.lower()
+
+
 def test_columns_and_null_filters_reach_the_scan(spark, sf):
     plan = final_plan(QUERIES["star_histogram"](spark, sf))
     scan = next(line for line in plan.splitlines() if "FileScan" in line)

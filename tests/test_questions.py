@@ -80,6 +80,14 @@ def test_every_intent_has_one_answer(answers):
     assert all(r.answer and "{" not in r.answer for r in got)
 
 
+def test_every_question_is_answered(spark, answers):
+    asked = spark.createDataFrame([("a", "what are the top complaints"), ("b", "hello"), ("c", None)],
+                                  "question_id string, question string")
+    few = answers.where("intent <> 7 AND intent <> 25")
+    got = {r.question_id: r.answer for r in answer(asked, few).collect()}
+    assert got == dict.fromkeys("abc", answer_texts.TEMPLATES[25])
+
+
 def test_stream_gives_the_batch_answers(spark, answers, tmp_path):
     questions = canned_questions(spark)
     questions.repartition(3).write.json(str(tmp_path / "in"))

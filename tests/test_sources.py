@@ -2,7 +2,11 @@
 
 import datetime as dt
 
+import pytest
+
+from opinara.operators import metrics, sentiment
 from opinara.sources import reviews as source
+from opinara.sources.sinks import table_stream
 
 CSV = '''Id,ProductId,UserId,Score,Time,Summary,Text
 1,B1,U1,5,1350777600,"Said ""wow""","Two
@@ -54,11 +58,37 @@ def test_single_line_files_and_missing_columns(spark, tmp_path):
     assert [r.Text for r in loaded.orderBy("Id").collect()] == ["first", "second"]
 
 
-def test_spread_only_few_files(spark, tmp_path):
-    few = spark.range(100).coalesce(1)
-    few.write.parquet(str(tmp_path / "few"))
-    read = spark.read.parquet(str(tmp_path / "few"))
-    assert source.spread(read, "id").rdd.getNumPartitions() == 8
-    spark.range(100).repartition(12).write.parquet(str(tmp_path / "many"))
-    many = spark.read.parquet(str(tmp_path / "many"))
-    assert source.spread(many, "id") is many
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Id,Score,Text\n1,5,first\n")
+    (folder / "b.csv").write_text("Id,Score,Text\n2,4,second\n")
+    assert sorted(r.Text for r in source.read_csv(spark, str(folder)).collect()) == ["first", "second"]
+    (folder / "b.csv").write_text("Text,Id,Score\nsecond,2,4\n")
+    with pytest.raises(Exception, match="CSV header"):
+        source.read_csv(spark, str(folder)).collect()
+
+
+def test_stars_keep_their_fractions(spark, tmp_path):
+    raw = load(spark, tmp_path, "Id,Score,Text\n1,2.5,a\n2,3.9,b\n3,4.5,c\n")
+    scored = sentiment.score(source.load_reviews(raw), {})
+    assert [r.ExpectedSentiment for r in scored.orderBy("Id").collect()] == [
+        "Neutral", "Neutral", "Positive"]
+    assert metrics.kpi(metrics.class_cube(scored)).first().avg_rating == 10.9 / 3
+
+
+def test_rows_without_an_id_get_one_for_good(spark, tmp_path):
+    loaded = source.load_reviews(load(spark, tmp_path, "Text,Score\n" + "x,1\n" * 50))
+    ids = {r.Id for r in loaded.repartition(7).collect()}
+    assert len(ids) == 50 and ids == {r.Id for r in loaded.collect()}
+
+
+def test_a_table_is_a_stream_as_file_and_as_folder(spark, tmp_path):
+    rows = spark.range(20)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder/t.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "t.parquet")
+    for folder in (tmp_path, tmp_path / "folder"):
+        stream = table_stream(spark, str(folder), "t.parquet")
+        query = stream.writeStream.format("memory").queryName("t").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("t").count() == 20
