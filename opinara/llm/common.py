@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 2_000_000
+BATCH_ROWS = 2048
+WHOLE_BATCH = 1 << 30  # for work that aggregates what a batch holds
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -45,15 +48,32 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield first, out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay between tasks, beside others of the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-                schema: str) -> DataFrame:
-    """work on every Arrow batch; None gives no rows."""
+                schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """work on every Arrow batch, in slices of so many rows; None gives no rows."""
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in slices(batches, rows):
+            out = work(batch)
+            if out is not None and out.num_rows:
+                yield out
+        give_back()
+
     return df.mapInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import map_batches
+from opinara.llm.common import give_back, map_batches, slices
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -92,10 +92,7 @@ class Matcher:
         for number, at in starts.items():
             item, k = self.items[number][1], self.budget[number]
             found: list[tuple[int, int, int]] = []
-            done = -1 << 60
             for start in sorted(set(at)):
-                if start <= done:
-                    continue
                 if start >= 0 and text.startswith(item, start):
                     found.append((0, start, start + len(item)))
                     continue
@@ -106,7 +103,6 @@ class Matcher:
                     # Where the part begins: the same distance read backwards from its end.
                     back = distance(item[::-1], text[first:end][::-1], cost)
                     found.append((cost, end - back[1], end))
-                    done = start
             taken: list[tuple[int, int, int]] = []
             for cost, a, b in sorted(found):
                 if all(b <= c or a >= d for _, c, d in taken):
@@ -143,10 +139,10 @@ def find(docs: DataFrame, items: DataFrame, keep: Sequence[str], text: str = "te
     for block in _blocks(items, item_key, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def work(batch, shared=shared, state={}):  # noqa: B006 - one matcher for a task's batches
-            m = state.setdefault("matcher", None) or state.setdefault("m", Matcher(shared.value, rate))
-            state["matcher"] = m
-            rows, out = [], []
+        def work(batch, shared=shared, made=[]):  # noqa: B006 - one matcher for a task's batches
+            if not made:
+                made.append(Matcher(shared.value, rate))
+            m, rows, out = made[0], [], []
             for i, t in enumerate(batch["t"].to_pylist()):
                 for number, a, b, cost in m.find(t):
                     rows.append(i)
@@ -177,10 +173,11 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
 
         def run(batches, shared=shared):
             m = Matcher(shared.value, rate)
-            for batch in batches:
+            for batch in slices(batches):
                 clean = np.array([not m.any(t) for t in batch.column(at).to_pylist()], bool)
                 if clean.any():
                     yield batch.filter(pa.array(clean))
+            give_back()
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import map_batches
+from opinara.llm.common import WHOLE_BATCH, map_batches
 
 #: A branch goes when its importance is lower and it was seen on so many pages.
 LEAST_IMPORTANCE = 0.25
@@ -227,7 +227,7 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             ["host", "line", "node", "value", "kind", "n"])
 
     rows = map_batches(narrow, count, "host string, line array<bigint>, node bigint, value bigint,"
-                                      " kind int, n bigint")
+                                      " kind int, n bigint", WHOLE_BATCH)
     things = rows.groupBy("host", "node", "kind", "value").agg(
         F.sum("n").alias("n"), F.first("line").alias("line"))
     looks, said, n = F.col("kind") == 0, F.col("kind") == 1, F.col("n")

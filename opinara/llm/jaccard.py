@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import chunks, map_batches, stored
+from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, slices, stored
 from opinara.llm.graph import components
 from opinara.llm.repeats import grams, word_hashes
 
@@ -43,7 +43,6 @@ BLOCK = 1 << 12
 MOST_MATCHES = 5
 SMALL = 16
 HELD = 4_000_000
-_SIGN = "{0}1 bigint, {0}2 int"
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -83,7 +82,7 @@ def survey(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
         names = ["doc", "body", "s1", "s2", "size", "block", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             signs, sizes = [], []
             for s in shingle_sets(batch["t"].to_pylist(), n):
                 signs.append(sign(s))
@@ -104,6 +103,7 @@ def survey(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
                 [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(use, pa.int32()),
                  pa.array([parts[i].tobytes() for i in use], pa.binary())], names)
+        give_back()
 
     return stored(rows.mapInArrow(run, "doc bigint, body bigint, s1 bigint, s2 int, size bigint,"
                                        " block int, counts binary"), "survey")
@@ -174,7 +174,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, threshold: tuple[int,
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], list(out))
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(text).cast("string").alias("t"))
-    return map_batches(rows, enter, "token bigint, rank int, s1 bigint, s2 int, size int, asked int")
+    return map_batches(rows, enter, "token bigint, rank int, s1 bigint, s2 int, size int, asked int",
+                       WHOLE_BATCH)
 
 
 def meetings(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -293,6 +294,7 @@ def compare(groups: DataFrame, n: int, threshold: tuple[int, int], held: int = H
     groups too large for one task, rows with centre, a, size, lacks and deltas instead."""
     def run(batches):
         now, centre, rep, members, weight, over, out, rest = None, None, None, [], 0, False, [], []
+        batches = slices(batches)
 
         def finish():
             if members:
@@ -346,6 +348,7 @@ def compare(groups: DataFrame, n: int, threshold: tuple[int, int], held: int = H
         finish()
         if out or rest:
             yield batch_of()
+        give_back()
 
     order = groups.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "kind")
     return order.mapInArrow(run, "a bigint, b bigint, centre bigint, size bigint, lacks bigint,"

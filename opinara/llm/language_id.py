@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import chunks, map_batches, sample_per_class
+from opinara.llm.common import chunks, give_back, map_batches, sample_per_class, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -195,12 +195,13 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             best, conf = classify(shared.value, batch.column(at).to_pylist())
             keep = np.array([b is not None and c >= shared.value.threshold
                              for b, c in zip(best, conf, strict=True)], bool)
             if keep.any():
                 yield batch.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

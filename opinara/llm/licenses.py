@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import map_batches
+from opinara.llm.common import WHOLE_BATCH, map_batches
 
 THRESHOLD = (9, 10)
 MOST_TEMPLATES = 10_000
@@ -126,7 +126,7 @@ def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], text: str = "
         return pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()),
                                            "n": pa.array(list(seen.values()), pa.int64())})
 
-    rows = map_batches(docs.select(F.col(text).alias("t")), count, "w binary, n bigint")
+    rows = map_batches(docs.select(F.col(text).alias("t")), count, "w binary, n bigint", WHOLE_BATCH)
     return {bytes(w): n for w, n in rows.groupBy("w").agg(F.sum("n")).collect()}
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from opinara.llm.common import chunks, map_batches, mix
 
 DROPOUT = 0.1
+CHUNK_CHARS = 1_000_000
 LONG = 32
 _BLANK = 0x2581  # the model's sign for a space
 _NEVER = 1 << 30
@@ -205,7 +206,7 @@ class Pieces:
         codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32)
         if not len(codes):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        owner = np.repeat(np.arange(len(texts)), sizes)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         new = np.concatenate(([True], owner[1:] != owner[:-1]))
         mark = codes == _BLANK
         if not self.whole:
@@ -293,7 +294,7 @@ def encode(docs: DataFrame, model: bytes, keep: Sequence[str], text: str = "text
     def work(batch):
         pieces = _pieces(shared.value)
         keys, ids, counts = batch["key"].to_pylist(), [], []
-        for first, part in chunks(batch["t"].to_pylist()):
+        for first, part in chunks(batch["t"].to_pylist(), CHUNK_CHARS):
             got, n = pieces.encode(part, keys[first:first + len(part)], seed, dropout)
             ids.append(got)
             counts.append(n)

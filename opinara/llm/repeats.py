@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import chunks, map_batches, mix, stored
+from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, mix, stored
 
 WINDOW = 50
 GRAM = 10
@@ -218,7 +218,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
              pa.array([v[0] for v in merged.values()]), pa.array([v[1] for v in merged.values()])],
             ["route", "piece", "low", "high"])
 
-    groups = map_batches(some, cut, "route bigint, piece binary, low bigint, high bigint")
+    groups = map_batches(some, cut, "route bigint, piece binary, low bigint, high bigint", WHOLE_BATCH)
     groups = groups.repartition("route").sortWithinPartitions("route")
 
     def trees(batches):
@@ -243,6 +243,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
                 last = route
         if held:
             yield from grow()
+        give_back()
 
     nodes = groups.mapInArrow(
         trees, "s1 bigint, s2 bigint, low bigint, offsets array<int>, lengths array<int>")

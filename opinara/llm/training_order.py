@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import stored
+from opinara.llm.common import give_back, slices, stored
 
 SEQ_LEN = 256
 SHARD_SIZE = 8192
@@ -81,7 +81,7 @@ def tokens(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, seq_len:
 
     def run(batches):
         enc, task, first = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, firsts = [], []
             for t in batch["t"].to_pylist():
                 got = np.append(enc.encode_to_numpy(t, disallowed_special=()), end_mark)
@@ -117,9 +117,7 @@ def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, orde
     stride, shared = seq_len * 2, spark.sparkContext.broadcast(base)
 
     def place(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             data = [np.frombuffer(x, "<u2") for x in batch["tokens"].to_pylist()]
             size = np.array([len(x) for x in data])
             count = -(-size // seq_len)
@@ -140,7 +138,8 @@ def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, orde
                  batch["doc_id"].take(pa.array(np.repeat(np.arange(len(count)), count))),
                  pa.array(part), pa.array(real.astype(np.int64)), payload],
                 ["slot", "doc_id", "part", "n_tokens", "tokens"])
-            yield from (rows.slice(i, 4096) for i in range(0, rows.num_rows, 4096))
+            yield from slices([rows], 4096)
+        give_back()
 
     rows = kept.mapInArrow(
         place, "slot bigint, doc_id bigint, part bigint, n_tokens bigint, tokens binary")
