@@ -21,6 +21,7 @@ equal pages give equal texts; a null url is a host of its own; extra columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -52,6 +53,7 @@ UP_TO = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 # Roles by tag, ARIA role, and words of class and id.
 MAIN = frozenset(("article", "main"))
+FRAME = frozenset(("html", "body"))
 NOISE_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe object head button select textarea"
     " dialog svg canvas input".split())
@@ -77,8 +79,12 @@ class Node:
             if kept:
                 named = sorted(kept.get("class", "").split())
                 sign += "".join(f".{w}" for w in named)
+                named += kept.get("id", "").split()
+                if tag not in MAIN:  # parts of names count as well, as in cookie-banner
+                    named += [w for name in named for w in re.split("[-_]+", name)]
                 self.noise = (self.noise or kept.get("role") in NOISE_ROLES
-                              or not NOISE_WORDS.isdisjoint((*named, *kept.get("id", "").split())))
+                              or (tag not in FRAME and not NOISE_WORDS.isdisjoint(named))
+                              or (tag not in FRAME and not self.inside and "header" in named))
         self.key = xxhash.xxh64_intdigest(sign, parent.key if parent else 0)
 
     def line(self):
@@ -156,13 +162,16 @@ def styles(root: Node):
 
 def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, in page order."""
-    tops, stack = [], [root]
+    # The outermost articles; under elements declared as noise only where there is no other.
+    tops, hidden, stack = [], [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, under = stack.pop()
+        under = under or node.noise
         if node.tag in MAIN and not node.noise:
-            tops.append(node)
-        elif not node.noise:
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            (hidden if under else tops).append(node)
+        elif node.tag not in NOISE_TAGS:
+            stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node))
+    tops = tops or hidden
     blocks, run = [], []
 
     def end():

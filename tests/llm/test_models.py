@@ -147,6 +147,9 @@ def test_html(spark):
     pages = [(1, "http://a.org/1", PAGE), (2, None, None), (3, "http://a.org/3", ""),
              (4, "x", "plain &am <p>a<p>b"), (5, "http://b.org/", "<article><p>cut off <b>here"),
              (5, "http://b.org/", "<article><p>cut off <b>here")]
+    pages += [(6, None, '<body class="has-sidebar"><div class="site-header">Top</div><div class="with-sidebar">'
+               '<article class="post"><p class="lead">In</p><div id="cookie-banner">Ok</div></article></div>'
+               '<section class="reader-comments"><article class="comment">No</article></section></body>')]
     # A host whose pages all show the same frame, declared by nothing: the tree finds it.
     for i in range(30):
         pages.append((100 + i, f"http://c.org/{i}", f"<body><div><p>Same frame</p></div><center><p>Text {i}"
@@ -159,6 +162,7 @@ def test_html(spark):
     assert texts[1].text == "\n\n".join(["Head & more", "One bold text next", "Two <tags> ©", "first", "second"])
     assert (texts[2].text, texts[3].text, texts[2].n_chars) == ("", "", 0)
     assert texts[4].text == "plain &am\n\na\n\nb" and texts[5].text == "cut off here"
+    assert texts[6].text == "In"
     assert texts[102].text == "Text 2 of its own\n\nAnd more\n\nAnd more" and got.count() == len(pages)
     assert texts[102].n_chars == len(texts[102].text)
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
