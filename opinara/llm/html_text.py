@@ -13,7 +13,8 @@ declared as menu, footer, form, advert, comment and so on, which always goes. A
 gives that article; else its body without the noise.
 
 Counting is pre-aggregated in each task, and the tree itself is made by grouping, so a host with a
-third of all pages is not gathered anywhere; its few noisy elements are joined back to its pages.
+third of all pages is not gathered anywhere; its few noisy elements are joined back to its pages,
+which are dealt out in parts.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes;
 equal pages give equal texts; a null url is a host of its own; extra columns are kept when named.
@@ -36,6 +37,7 @@ from opinara.llm.common import WHOLE_BATCH, map_batches
 #: A branch goes when its importance is lower and it was seen on so many pages.
 LEAST_IMPORTANCE = 0.25
 LEAST_PAGES = 8
+PARTS = 64
 
 # HTML's elements without content, inline elements, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -269,9 +271,13 @@ def extract(pages: DataFrame, keep: Sequence[str], url: str = "url", html: str =
            .groupBy("host").agg(F.collect_set("node").alias("low")))
     names = [f"k{i}" for i in range(len(keep))]
     cols = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
-    narrow = pages.select(*cols, _host(url).alias("host"), F.col(html).cast("string").alias("t"))
+    # The pages of a host are dealt out by their address, and its noise list is repeated for each part.
+    part = F.pmod(F.xxhash64(F.col(url)), F.lit(PARTS)).cast("int")
+    narrow = pages.select(*cols, _host(url).alias("host"), part.alias("part"),
+                          F.col(html).cast("string").alias("t"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    joined = narrow.join(low, "host", "left").select(*names, "t", "low")
+    low = low.select("host", "low", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    joined = narrow.join(low, ["host", "part"], "left").select(*names, "t", "low")
 
     def work(batch):
         texts = [main_text(parse(t), frozenset(x % (1 << 64) for x in few or ()))
