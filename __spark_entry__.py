@@ -80,8 +80,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.score(_reviews(spark, sf_dir), LEXICON)
 
 
-def _marts(spark: SparkSession, sf_dir: str) -> Marts:
-    return Marts.build(_scored(spark, sf_dir), impact.impact_table(spark, IMPACTS))
+def _marts(spark: SparkSession, sf_dir: str, store: bool = True) -> Marts:
+    return Marts.build(_scored(spark, sf_dir), impact.impact_table(spark, IMPACTS), store=store)
 
 
 def _user_turns(conversations: DataFrame) -> DataFrame:
@@ -352,7 +352,8 @@ def queries() -> dict[str, Query]:
         "longest_review": _lengths(lengths.longest_review),
         "star_quotes": _star_quotes,
         "class_quotes": _class_quotes,
-        "report": lambda s, d: headline.report(_marts(s, d)),
+        # Two passes over the texts either way, so nothing needs to be stored for the report.
+        "report": lambda s, d: headline.report(_marts(s, d, store=False)),
         "route_questions": lambda s, d: ask.route(_questions(s, d)),
         "answers": _answers,
         "answers_without_columns": _answers_without_columns,
