@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ from opinara.llm.common import chunks, give_back, map_batches, sample_per_class,
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
-PER_CLASS = 600
+PER_CLASS = 400
+CHUNK_CHARS = 500_000
 _LETTERS: np.ndarray | None = None
 
 
@@ -113,7 +115,8 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     if not classes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     data = [(classes.index(r.y), np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32))
-            for r in sorted(got, key=lambda r: (r.y, bytes(r.ids), bytes(r.n)))]
+            for r in sorted(got, key=lambda r: (r.y, *map(xxhash.xxh64_intdigest, (r.ids, r.n))))]
+    del got
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held, used = order[:len(order) // 5], order[len(order) // 5:]
@@ -174,7 +177,7 @@ def _threshold(p: np.ndarray, truth: np.ndarray, most_errors: float) -> float:
 def classify(m: Model, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
     """The likeliest class of each text and its calibrated probability; None without a letter."""
     best, conf = [None] * len(texts), np.zeros(len(texts))
-    for first, part in chunks(texts):
+    for first, part in chunks(texts, CHUNK_CHARS):
         sums, count = np.zeros((len(part), len(m.classes))), np.zeros(len(part))
         if m.classes:
             owner, bucket = subwords(part)
