@@ -8,9 +8,11 @@ on most pages of a host has neither. A branch is as important as the most import
 so noise is a branch in which nothing is important; such branches are removed from each page.
 
 Entropy says little about a host with few pages or with menus that change from page to page, so the
-declared role of an element comes first: article and main are kept whole, except for what is
-declared as menu, footer, form, advert, comment and so on, which always goes. A page with an article
-gives that article; else its body without the noise.
+declared role of an element comes first: what is declared as menu, footer, form, advert, comment and
+so on always goes, and a page with an article or main gives only that, else its body. In both the tree
+then removes the branches in which nothing is important, but never the article itself. Elements without
+content are not branches, and inline elements in a line of text go only with their line. An article of
+which nothing would be left (the same page at many addresses) is kept.
 
 Counting is pre-aggregated in each task, and the tree itself is made by grouping, so a host with a
 third of all pages is not gathered anywhere; its few noisy elements are joined back to its pages,
@@ -174,6 +176,17 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
         elif node.tag not in NOISE_TAGS:
             stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node))
     tops = tops or hidden
+    blocks = _blocks(tops or [root], low)
+    return "\n\n".join(blocks or (_blocks(tops, frozenset()) if low else ()))
+
+
+def _in_line(node: Node) -> bool:
+    """Whether an inline element stands in a line of text."""
+    return node.tag in INLINE and any(isinstance(c, str) and c.strip() for c in node.parent.children)
+
+
+def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
+    """The blocks of text of the elements, without noise and without the branches in low."""
     blocks, run = [], []
 
     def end():
@@ -182,7 +195,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         run.clear()
 
-    for top in tops or [root]:
+    for top in tops:
         stack = [(top, False)]
         while stack:
             node, over = stack.pop()
@@ -190,7 +203,8 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
                 run.append(node)
             elif over:
                 end()
-            elif node.noise or (not tops and node.key in low):
+            elif node is not top and (node.noise or (
+                    node.key in low and node.tag not in VOID and not _in_line(node))):
                 end()
             else:
                 inline = node.tag in INLINE
@@ -201,7 +215,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
                     stack.append((node, True))
                 stack.extend((c, False) for c in reversed(node.children))
         end()
-    return "\n\n".join(blocks)
+    return blocks
 
 
 def _signed(x: int) -> int:

@@ -168,6 +168,18 @@ def test_html(spark):
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_html_tree_inside_articles(spark):
+    """A block that all articles of a host repeat goes, though nothing declares it as noise."""
+    pages = [(i, f"http://d.org/{i}", f'<main><h1>Title {i}</h1><p><b>Note</b> text<br>{i} of its own</p>'
+              f'<div class="box"><p>Join us today</p></div><p>End {i * i}</p></main>') for i in range(30)]
+    # The same page at many addresses is no noise.
+    pages += [(100 + i, f"http://e.org/{i}", "<article><h1>One</h1><p>page</p></article>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
+    assert all(texts[i] == f"Title {i}\n\nNote text {i} of its own\n\nEnd {i * i}" for i in range(30))
+    assert all(texts[100 + i] == "One\n\npage" for i in range(30))
+
+
 def test_html_query(spark, sf):
     """The given pages against a reading of their article alone."""
     import html
