@@ -3,17 +3,20 @@
 A text becomes the mean of the embeddings of its hashed character n-grams (inside words, with word
 edges); a linear layer and a softmax follow. Both are trained together by stochastic gradient
 descent in numpy on a bounded sample. A temperature and a rejection threshold are fitted on a part
-of the sample that training does not see. Since the layer is linear, embedding and layer fold into
-one table of class scores per bucket, which is all that the executors need.
+of the sample that training does not see, and on texts made from it that have no one language: even
+mixtures of two, shuffled letters, and the rows of a class that a second training leaves out. Since
+the layer is linear, embedding and layer fold into one table of class scores per bucket, which is all
+that the executors need.
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; a text whose
 n-grams were never trained gets the most likely class by the bias; equal texts get equal results;
 other columns of the input are kept in `predict(..., keep=...)` only when named. With no labelled
-row at all everything is `und`.
+row at all everything is `und`; with one class alone no text that has a letter can be told from it.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,6 +33,12 @@ BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 PER_CLASS = 400
 CHUNK_CHARS = 500_000
+#: A mixture with this share of one language has a majority, and is to be kept.
+MAJORITY = 0.6
+#: So many classes are left out in turn, each by a training of a part of the steps.
+LEFT_OUT = 4
+LEFT_OUT_STEPS = 3
+SHUFFLED_CHARS = 2000
 _LETTERS: np.ndarray | None = None
 
 
@@ -92,6 +101,15 @@ def _spans(text: str) -> list[str]:
     return [text, *(text[n * k // 4:n * k // 4 + 40 * k] for k in (1, 2, 3) if n > 160)]
 
 
+def _shuffled(text: str) -> str:
+    """The front of a text with its letters in another order, and all else in place."""
+    text = text[:SHUFFLED_CHARS]
+    letters = [c for c in text if c.isalpha()]
+    random.Random(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))).shuffle(letters)
+    rest = iter(letters)
+    return "".join(next(rest) if c.isalpha() else c for c in text)
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         per_class: int = PER_CLASS, dim: int = 16, steps: int = 30_000, rate: float = 0.5,
         most_errors: float = 0.01, seed: int = 7) -> Model:
@@ -100,50 +118,82 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     sample = sample.select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
 
     def features(batch):
-        out = {"y": [], "ids": [], "n": []}
+        out = {"y": [], "odd": [], "ids": [], "n": []}
         for t, y in zip(batch["t"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            for span in _spans(t):
+            for odd, span in [*((False, x) for x in _spans(t)), (True, _shuffled(t))]:
                 ids, n = np.unique(subwords([span])[1], return_counts=True)
                 if len(ids):
                     out["y"].append(y)
+                    out["odd"].append(odd)
                     out["ids"].append(ids.astype(np.int32).tobytes())
                     out["n"].append(n.astype(np.int32).tobytes())
         return pa.RecordBatch.from_pydict(out)
 
-    got = map_batches(sample, features, "y string, ids binary, n binary").collect()
+    got = map_batches(sample, features, "y string, odd boolean, ids binary, n binary").collect()
     classes = tuple(sorted({r.y for r in got}))
     if not classes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    data = [(classes.index(r.y), np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32))
-            for r in sorted(got, key=lambda r: (r.y, *map(xxhash.xxh64_intdigest, (r.ids, r.n))))]
+    data, shuffled = [], []
+    for r in sorted(got, key=lambda r: (r.y, *map(xxhash.xxh64_intdigest, (r.ids, r.n)))):
+        (shuffled if r.odd else data).append(
+            (classes.index(r.y), np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32)))
     del got
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
-    held, used = order[:len(order) // 5], order[len(order) // 5:]
+    held, used = [data[i] for i in order[:len(order) // 5]], [data[i] for i in order[len(order) // 5:]]
+    table, bias = _train(used, len(classes), dim, steps, rate, rng)
+    raw, truth = _raw(table, bias, held), np.array([y for y, _, _ in held], int)
+    # The layer is linear, so the scores of a mixture are the mixture of the scores.
+    pairs = rng.permutation(len(held)), rng.permutation(len(held))
+    first, second = (x[truth[pairs[0]] != truth[pairs[1]]] for x in pairs)
+    even = (raw[first] + raw[second]) / 2
+    major = MAJORITY * raw[first] + (1 - MAJORITY) * raw[second]
+    temperature = _temperature(raw, truth, even, truth[first], truth[second])
+    odd = [even, _raw(table, bias, shuffled[::5])]
+    odd = [_softmax(x / temperature).max(1) for x in odd]
+    for c in rng.permutation(len(classes))[:LEFT_OUT].tolist() if len(classes) > 2 else ():
+        def without(rows, c=c):
+            return [(y - (y > c), ids, n) for y, ids, n in rows if y != c]
+        own, left = without(held), [x for x in held if x[0] == c]
+        if own and left:
+            t, b = _train(without(used), len(classes) - 1, dim, steps // LEFT_OUT_STEPS, rate, rng)
+            other, y = _raw(t, b, own), np.array([y for y, _, _ in own], int)
+            i, j = rng.permutation(len(own)), rng.permutation(len(own))
+            i, j = i[y[i] != y[j]], j[y[i] != y[j]]
+            warm = _temperature(other, y, (other[i] + other[j]) / 2, y[i], y[j])
+            odd.append(_softmax(_raw(t, b, left) / warm).max(1))
+    p = _softmax(np.concatenate((raw, major)) / temperature)
+    return Model(classes, table.astype(np.float32), bias, temperature,
+                 _threshold(p, np.concatenate((truth, truth[first])), np.concatenate(odd), most_errors))
+
+
+def _train(data: list[tuple], n_classes: int, dim: int, steps: int, rate: float,
+           rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The table of class scores and the bias, learned from rows of class, buckets and counts."""
     emb = rng.uniform(-1, 1, (BUCKETS, dim)).astype(np.float32) / dim
-    out, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes))
+    out, bias = np.zeros((dim, n_classes), np.float32), np.zeros(n_classes)
     # As many steps for few rows as for many, so that little data is learned as well.
-    epochs, done = max(1, steps // max(1, len(used))), 0
+    epochs, done = max(1, steps // max(1, len(data))), 0
     for _ in range(epochs):
-        for i in rng.permutation(used):
+        for i in rng.permutation(len(data)):
             y, ids, n = data[i]
             share = (n / n.sum()).astype(np.float32)[:, None]
             mean = (emb[ids] * share).sum(0)
             p = _softmax(mean @ out + bias)
             p[y] -= 1
-            step = rate * (1 - done / (epochs * len(used)))
+            step = rate * (1 - done / (epochs * len(data)))
             back = (out @ p).astype(np.float32)
             out -= (step * np.outer(mean, p)).astype(np.float32)
             bias -= step * 0.1 * p
             emb[ids] -= step * share * back
             done += 1
-    table = emb @ out
-    raw = np.array([(table[ids] * (n / n.sum())[:, None]).sum(0) + bias
-                    for _, ids, n in (data[i] for i in held)] or np.zeros((0, len(classes))))
-    truth = np.array([data[i][0] for i in held], int)
-    temperature = _temperature(raw, truth)
-    return Model(classes, table.astype(np.float32), bias, temperature,
-                 _threshold(_softmax(raw / temperature), truth, most_errors))
+    return emb @ out, bias
+
+
+def _raw(table: np.ndarray, bias: np.ndarray, rows: list[tuple]) -> np.ndarray:
+    """The class scores of rows of class, buckets and counts."""
+    return np.array([(table[ids] * (n / n.sum())[:, None]).sum(0) + bias for _, ids, n in rows]
+                    or np.zeros((0, len(bias))))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,27 +201,37 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _temperature(raw: np.ndarray, truth: np.ndarray) -> float:
-    """The temperature with the least negative log likelihood on rows that training did not see."""
+def _temperature(raw: np.ndarray, truth: np.ndarray, even: np.ndarray, one: np.ndarray,
+                 two: np.ndarray) -> float:
+    """The temperature with the least negative log likelihood on rows that training did not see and on
+    even mixtures, of which either class is half right. Without mixtures, rows that are all told
+    rightly would ask for a temperature of zero."""
     if not len(truth):
         return 1.0
-    grid = np.geomspace(0.05, 5, 40)
-    loss = [-np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    grid, loss = np.geomspace(0.05, 5, 40), []
+    for t in grid:
+        loss.append(-np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean())
+        if len(even):
+            p, at = np.log(_softmax(even / t) + 1e-12), np.arange(len(even))
+            loss[-1] -= (p[at, one] + p[at, two]).mean() / 2
     return float(grid[int(np.argmin(loss))])
 
 
-def _threshold(p: np.ndarray, truth: np.ndarray, most_errors: float) -> float:
-    """The lowest confidence above which at most that share of unseen rows is wrong, but one half at
-    most: a text of which one language holds the majority is never rejected."""
-    if not len(truth):
-        return 0.0
+def _threshold(p: np.ndarray, truth: np.ndarray, odd: np.ndarray, most_errors: float) -> float:
+    """The lowest confidence above which at most that share of the unseen rows is wrong, and which at
+    most that share of the odd texts (confidences) reaches; but not so high that more than that share
+    of the rows told rightly is rejected. It is above the confidence of a text that says nothing."""
     best, wrong = p.max(1), p.argmax(1) != truth
+    least = 1.0 if p.shape[1] < 2 else 1.01 / p.shape[1]
+    if not len(truth) or wrong.all():
+        return least
     order = np.argsort(-best, kind="stable")
     share = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(share <= most_errors)
-    if len(good) and good[-1] + 1 < len(order):
-        return min(0.5, float(best[order][good[-1]]))
-    return 0.0 if len(good) else 0.5
+    want = 1.0 if not len(good) else float(best[order][good[-1]]) if good[-1] + 1 < len(order) else 0.0
+    if len(odd):
+        want = max(want, float(np.quantile(odd, 1 - most_errors)))
+    return max(least, min(want, float(np.quantile(best[~wrong], most_errors))))
 
 
 def classify(m: Model, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:

@@ -52,6 +52,25 @@ def test_language_odd_rows(spark, sf):
     assert {r.lang_pred for r in language_id.predict(odd(spark), none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_rejects_texts_of_no_language(spark, monkeypatch):
+    """Junk letters and an unknown script are rejected in op9 and leave the pipeline; clean texts stay."""
+    rng, at = random.Random(3), f"{DATA}/sf0.01"
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300)) for _ in range(20)]
+    junk += ["これは日本語の文章です。モデルはこの文字を見たことがありません。"]
+    docs = spark.read.parquet(f"{at}/documents.parquet").unionByName(spark.createDataFrame(
+        [(50_000 + i, t, None, "x", len(t)) for i, t in enumerate(junk)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    got = queries.op9_language_id(spark, at).collect()
+    assert all(r.rejected and r.lang_pred != "und" for r in got if r.doc_id >= 50_000)
+    assert sum(r.rejected for r in got if r.doc_id < 50_000) <= 10
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, at).collect()}
+    assert kept == {r.doc_id for r in got if not r.rejected}
+    # Rows that are all told rightly still leave a threshold.
+    p = np.array([[0.9, 0.1], [0.2, 0.8]])
+    assert language_id._threshold(p, np.array([0, 1]), np.array([0.6, 0.55]), 0.01) == pytest.approx(0.6, abs=0.01)
+
+
 def test_quality(spark):
     labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
     got = queries.op2_quality(spark, f"{DATA}/sf0.01").join(labels, "doc_id", "left").collect()
