@@ -62,33 +62,62 @@ NOISE_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe object head button select textarea"
     " dialog svg canvas input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
+#: Whole names; a compound is one too when it is made of these words and of those in ROLE_PARTS only.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner"
-    " sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment"
-    " comments comment-list disqus respond replies cookie cookies consent notice newsletter subscribe"
-    " share sharing social related popup modal toolbar pagination pager widget".split())
+    " sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment"
+    " comments disqus respond replies cookie cookies consent newsletter subscribe"
+    " share sharing related popup modal toolbar pagination pager widget".split())
+ROLE_PARTS = frozenset(
+    "site page main top bottom left right side primary secondary global reader readers user users link"
+    " links list bar box block area wrap wrapper container inner outer section button buttons icon icons"
+    " item items post posts articles form text header head notice social media".split())
+#: Names that tell no role by themselves: the style tree decides.
+DOUBTFUL = frozenset("notice social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Ids that stay noise under a heading of the same name.
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+#: Elements that never hold readable text.
+UNREAD = frozenset(
+    "script style noscript template iframe object head button select textarea svg canvas input".split())
+
+
+def noise_name(name: str) -> bool:
+    """Whether a class or id names a noise role as a whole: cookie-banner, but not market-share."""
+    parts = [w for w in re.split("[-_]+", name) if w]
+    return name == "side-bar" or (not NOISE_WORDS.isdisjoint(parts)
+                                  and all(w in NOISE_WORDS or w in ROLE_PARTS for w in parts))
 
 
 class Node:
     """An element: tag, path key, children (nodes and strings), role and kind of presentation."""
 
-    __slots__ = ("children", "inside", "key", "noise", "parent", "tag")
+    __slots__ = ("children", "inside", "key", "named", "noise", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list[tuple[str, str | None]]):
         self.tag, self.parent, self.children, sign = tag, parent, [], tag
         self.inside = parent is not None and (parent.inside or parent.tag in MAIN)
         self.noise = tag in NOISE_TAGS or (tag == "header" and not self.inside)
+        self.named = None  # the id, where nothing else makes the element noise; "" for a class
         if attrs:
             kept = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role")}
             if kept:
                 named = sorted(kept.get("class", "").split())
                 sign += "".join(f".{w}" for w in named)
-                named += kept.get("id", "").split()
-                if tag not in MAIN:  # parts of names count as well, as in cookie-banner
-                    named += [w for name in named for w in re.split("[-_]+", name)]
-                self.noise = (self.noise or kept.get("role") in NOISE_ROLES
-                              or (tag not in FRAME and not NOISE_WORDS.isdisjoint(named))
-                              or (tag not in FRAME and not self.inside and "header" in named))
+                ids = [] if tag in HEADINGS else kept.get("id", "").split()
+                self.noise = self.noise or kept.get("role") in NOISE_ROLES
+                if not self.noise and tag not in FRAME:
+                    def role(names):
+                        if tag in MAIN:
+                            return not NOISE_WORDS.isdisjoint(names)
+                        return any(map(noise_name, names)) or (
+                            not self.inside and any("header" in re.split("[-_]+", n) and noise_name(
+                                n.replace("header", "banner")) for n in names))
+                    if role(named):
+                        parts = {w for n in named for w in re.split("[-_]+", n)}
+                        self.noise, self.named = True, None if parts & COMMENTS else ""
+                    elif role(ids):
+                        self.noise, self.named = True, kept["id"].strip()
         self.key = xxhash.xxh64_intdigest(sign, parent.key if parent else 0)
 
     def line(self):
@@ -102,6 +131,7 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", None, [])
+        self.named: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
@@ -110,6 +140,8 @@ class _Builder(HTMLParser):
             self._close(ENDS[tag], UP_TO[tag])
         node = Node(tag, self.at, attrs)
         self.at.children.append(node)
+        if node.noise and (node.named is not None or tag == "form"):
+            self.named.append(node)
         if tag not in VOID:
             self.at = node
 
@@ -140,9 +172,44 @@ def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
+    if builder.named:
+        _reconsider(builder)
     return builder.root
 
 
+def _read(node: Node, links: bool = False) -> tuple[int, int]:
+    """The characters of readable text in an element, and how many of them are in links."""
+    total, linked, stack = 0, 0, [(node, links)]
+    while stack:
+        at, link = stack.pop()
+        if isinstance(at, str):
+            n = len("".join(at.split()))
+            total, linked = total + n, linked + n * link
+        elif at.tag not in UNREAD:
+            stack.extend((c, link or at.tag == "a") for c in at.children)
+    return total, linked
+
+
+def _reconsider(builder: _Builder) -> None:
+    """Noise that is none after all: sections whose id only repeats their heading, and a form or a
+    named element outside articles that holds most of the page's text, and not as links."""
+    for node in builder.named:
+        if node.named and not COMMENTS.intersection(re.split("[-_]+", node.named)):
+            head = next((c for c in node.children if isinstance(c, Node) and c.tag in HEADINGS), None)
+            if head is not None:
+                own = " ".join(c for c in head.children if isinstance(c, str)).lower()
+                if re.findall(r"\w+", own) == re.findall(r"[^\W_]+", node.named):
+                    node.noise = False
+    whole = None
+    for node in builder.named:
+        if node.noise and (node.tag == "form" or not node.inside) and not (
+                node.named and COMMENTS.intersection(re.split("[-_]+", node.named))):
+            whole = _read(builder.root)[0] if whole is None else whole
+            own, linked = _read(node)
+            if 2 * own > whole and 2 * linked < own:
+                node.noise = False
+
+
 def styles(root: Node):
     """(element, presentation, content) of every element that is not below a declared noise element,
     which goes whatever it holds; content 0 without own text."""
@@ -173,7 +240,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
         under = under or node.noise
         if node.tag in MAIN and not node.noise:
             (hidden if under else tops).append(node)
-        elif node.tag not in NOISE_TAGS:
+        elif node.tag not in NOISE_TAGS or not node.noise:
             stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node))
     tops = tops or hidden
     blocks = _blocks(tops or [root], low)

@@ -199,6 +199,21 @@ def test_html_tree_inside_articles(spark):
     assert all(texts[100 + i] == "One\n\npage" for i in range(30))
 
 
+def test_html_names_of_content():
+    """Parts of names, ids of headings, layout classes and a form around the page hide no content."""
+    text = lambda html: html_text.main_text(html_text.parse(html)).split("\n\n")
+    page = ('<article><h2 id="social-impact">A</h2><section id="market-share"><h2>Market share</h2><p>B</section>'
+            '<section id="cookies"><h2>Cookies</h2><p>C</section><h2 id="related-work">D</h2><p class="notice">E'
+            '<div class="share-buttons">no</div><div id="cookie-banner">no</div>'
+            '<section id="comments"><h2>Comments</h2>no</section></article>')
+    assert text(page) == ["A", "Market share", "B", "Cookies", "C", "D", "E"]
+    assert text('<body><div class="has-sidebar"><p>Text</div><div class="sidebar">no</div>') == ["Text"]
+    assert text('<main><div class="content has-sidebar"><p>Text</div></main>') == ["Text"]
+    assert text("<body><form id=f><nav>no</nav><p>All the text of it</form>") == ["All the text of it"]
+    assert text("<body><form><main><p>Text</main><p>no</form>") == ["Text"]
+    assert text("<body><p>A long text of the page<form>Name</form>") == ["A long text of the page"]
+
+
 def test_html_query(spark, sf):
     """The given pages against a reading of their article alone."""
     import html
