@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +86,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def learn(sample: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
+    """What train makes of all rows of a bounded sample, in one task of an executor.
+
+    Only that result, a model, comes to the driver; the sample never does. An empty sample may have no
+    task at all; then train gets an empty list here.
+    """
+    def run(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(rows))], pa.binary())})
+        del rows
+        give_back()
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return train([]) if found is None else pickle.loads(found[0])
+
+
 def sample_per_class(rows: DataFrame, label: str, key: str, per_class: int,
-                     most_classes: int = 1000) -> DataFrame:
+                     most_classes: int = 1000, most_rows: int = 8000) -> DataFrame:
     """About per_class rows of each class, chosen by a hash of the key; never over twice as many.
 
-    The counts are of all rows; one row per class comes to the driver, and more than most_classes
-    of them is an error. Rows without a label are left out.
+    With many classes fewer of each, so that they are some most_rows together. The counts are of all
+    rows; one row per class comes to the driver, and more than most_classes of them is an error. Rows
+    without a label are left out.
     """
     rows = rows.where(F.col(label).isNotNull())
     counts = rows.groupBy(label).count().limit(most_classes + 1).collect()
@@ -97,6 +116,7 @@ def sample_per_class(rows: DataFrame, label: str, key: str, per_class: int,
         raise ValueError(f"over {most_classes} classes in {label}")
     if not counts:
         return rows.limit(0)
+    per_class = max(1, min(per_class, most_rows // len(counts)))
     share = F.lit(0.0)
     for value, n in counts:
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)

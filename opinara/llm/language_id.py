@@ -2,7 +2,7 @@
 
 A text becomes the mean of the embeddings of its hashed character n-grams (inside words, with word
 edges); a linear layer and a softmax follow. Both are trained together by stochastic gradient
-descent in numpy on a bounded sample. A temperature and a rejection threshold are fitted on a part
+descent in numpy on a bounded sample, in one task of an executor. A temperature and a rejection threshold are fitted on a part
 of the sample that training does not see, and on texts made from it that have no one language: even
 mixtures of two, shuffled letters, and the rows of a class that a second training leaves out. Since
 the layer is linear, embedding and layer fold into one table of class scores per bucket, which is all
@@ -10,6 +10,8 @@ that the executors need.
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; a text whose
 n-grams were never trained gets the most likely class by the bias; equal texts get equal results;
+very long texts are read in windows that end between words (a word of over `CHUNK_CHARS` letters
+counts as several);
 other columns of the input are kept in `predict(..., keep=...)` only when named. With no labelled
 row at all everything is `und`; with one class alone no text that has a letter can be told from it.
 """
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import chunks, give_back, map_batches, sample_per_class, slices
+from opinara.llm.common import chunks, give_back, learn, map_batches, sample_per_class, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -38,6 +40,8 @@ MAJORITY = 0.6
 #: So many classes are left out in turn, each by a training of a part of the steps.
 LEFT_OUT = 4
 LEFT_OUT_STEPS = 3
+#: Training reads a cut of so many characters of a longer text, at a place that the text itself decides.
+SAMPLE_CHARS = 200_000
 SHUFFLED_CHARS = 2000
 _LETTERS: np.ndarray | None = None
 
@@ -95,17 +99,28 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def _cut(text: str, size: int) -> str:
+    """A text of at most that size whole, else so much of it from a place that its hash decides."""
+    rest = len(text) - size
+    return text if rest <= 0 else text[(at := _seed(text) % (rest + 1)):at + size]
+
+
+def _seed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
 def _spans(text: str) -> list[str]:
-    """The whole text and three short cuts of it, so that short texts are learned as well."""
+    """The text (a cut of a very long one) and three short cuts, so that short texts are learned as well."""
+    text = _cut(text, SAMPLE_CHARS)
     n = len(text)
     return [text, *(text[n * k // 4:n * k // 4 + 40 * k] for k in (1, 2, 3) if n > 160)]
 
 
 def _shuffled(text: str) -> str:
-    """The front of a text with its letters in another order, and all else in place."""
-    text = text[:SHUFFLED_CHARS]
+    """A cut of a text with its letters in another order, and all else in place."""
+    text = _cut(text, SHUFFLED_CHARS)
     letters = [c for c in text if c.isalpha()]
-    random.Random(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))).shuffle(letters)
+    random.Random(_seed(text)).shuffle(letters)
     rest = iter(letters)
     return "".join(next(rest) if c.isalpha() else c for c in text)
 
@@ -129,15 +144,20 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
                     out["n"].append(n.astype(np.int32).tobytes())
         return pa.RecordBatch.from_pydict(out)
 
-    got = map_batches(sample, features, "y string, odd boolean, ids binary, n binary").collect()
-    classes = tuple(sorted({r.y for r in got}))
+    found = map_batches(sample, features, "y string, odd boolean, ids binary, n binary")
+    return learn(found, lambda got: _fitted(got, dim, steps, rate, most_errors, seed))
+
+
+def _fitted(got: list[dict], dim: int, steps: int, rate: float, most_errors: float, seed: int) -> Model:
+    """The model of feature rows: class, whether the letters were shuffled, buckets and counts."""
+    classes = tuple(sorted({r["y"] for r in got}))
     if not classes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     data, shuffled = [], []
-    for r in sorted(got, key=lambda r: (r.y, *map(xxhash.xxh64_intdigest, (r.ids, r.n)))):
-        (shuffled if r.odd else data).append(
-            (classes.index(r.y), np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32)))
-    del got
+    got.sort(key=lambda r: (r["y"], *map(xxhash.xxh64_intdigest, (r["ids"], r["n"]))))
+    for r in got:
+        (shuffled if r["odd"] else data).append(
+            (classes.index(r["y"]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held, used = [data[i] for i in order[:len(order) // 5]], [data[i] for i in order[len(order) // 5:]]
@@ -234,20 +254,41 @@ def _threshold(p: np.ndarray, truth: np.ndarray, odd: np.ndarray, most_errors: f
     return max(least, min(want, float(np.quantile(best[~wrong], most_errors))))
 
 
+def _windows(text: str, most: int) -> list[str]:
+    """The text in windows of about that size; n-grams end at word edges, so none is lost or new."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = at + most
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + most
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _sums(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For every text the sum of its n-grams' class scores, and their number."""
+    sums, count = np.zeros((len(texts), len(m.classes))), np.zeros(len(texts))
+    owner, bucket = subwords(texts)
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(edges):
+        np.add.at(sums, owner[edges], np.add.reduceat(m.table[bucket], edges, axis=0, dtype=np.float64))
+        count = np.bincount(owner, minlength=len(texts)).astype(float)
+    return sums, count
+
+
 def classify(m: Model, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
     """The likeliest class of each text and its calibrated probability; None without a letter."""
     best, conf = [None] * len(texts), np.zeros(len(texts))
-    for first, part in chunks(texts, CHUNK_CHARS):
-        sums, count = np.zeros((len(part), len(m.classes))), np.zeros(len(part))
-        if m.classes:
-            owner, bucket = subwords(part)
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            if len(edges):
-                np.add.at(sums, owner[edges],
-                          np.add.reduceat(m.table[bucket], edges, axis=0, dtype=np.float64))
-                count = np.bincount(owner, minlength=len(part)).astype(float)
+    for first, part in chunks(texts, CHUNK_CHARS) if m.classes else ():
+        if len(part) == 1 and len(part[0]) > CHUNK_CHARS:
+            sums, count = map(sum, zip(*(_sums(m, [x]) for x in _windows(part[0], CHUNK_CHARS)),
+                                       strict=True))
+        else:
+            sums, count = _sums(m, part)
         for i in range(len(part)):
-            if m.classes and count[i]:
+            if count[i]:
                 p = _softmax((sums[i] / count[i] + m.bias) / m.temperature)
                 best[first + i], conf[first + i] = m.classes[int(p.argmax())], float(p.max())
     return best, conf

@@ -4,17 +4,19 @@ A document is cut into passages of `WORDS` words; every passage of the whole tex
 of character-class, word and repetition figures, is encoded by a small tanh layer, and gets a
 weight from a gated attention layer, normalised over the document. The weighted sum of the encoded
 passages is scored by a logistic layer. Only document labels are used: the attention learns which
-passages decide. All layers are trained together (Adam, numpy) on a bounded, class-balanced sample;
-the bias is then set back to the class shares of all labelled rows.
+passages decide. All layers are trained together (Adam, numpy) on a bounded, class-balanced sample,
+in one task of an executor; the bias is then set back to the class shares of all labelled rows.
 
 Defined cases: null and empty texts count as one passage without words and get a score like any
-other; very long texts have many passages, all of which are scored; equal texts get equal scores;
-without labelled rows every score is 0.5. Only the columns named in keep are returned besides.
+other; very long texts have many passages, all of which are scored, a window of the text at a time
+(only training keeps to `SAMPLE_PASSAGES` of a document); a passage of over `CHUNK_CHARS` characters
+counts as several; equal texts get equal scores; without labelled rows every score is 0.5. Only the
+columns named in keep are returned besides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import chunks, map_batches, mix, sample_per_class
+from opinara.llm.common import CHUNK_CHARS, chunks, learn, map_batches, mix, sample_per_class
 
 WORDS = 48
 PER_CLASS = 1000
+#: Of a sampled document with more passages, training sees so many, evenly spread.
+SAMPLE_PASSAGES = 512
 #: Kinds of characters: separator within docs, lower, upper, digit, blank, line end, sentence and
 #: clause marks, quotes, brackets, dashes, other ASCII signs, letters and signs beyond ASCII.
 KINDS = 12
 _KIND: np.ndarray | None = None
 N_FEATURES = KINDS * KINDS + 9
+DOC_WORDS = KINDS * KINDS + 5  # the one feature of a passage that needs the whole document
 
 
 def _kinds() -> np.ndarray:
@@ -56,10 +61,11 @@ def _kinds() -> np.ndarray:
     return _KIND
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def passages(texts: list[str], end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     """(text number of every passage, its features), passages in order, one at least for each."""
-    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    points = np.frombuffer(("\n".join(texts) + end).encode("utf-32-le", "replace"), np.uint32)
     lengths = np.array([len(t) + 1 for t in texts])
+    lengths[-1] += len(end) - 1
     owner = np.repeat(np.arange(len(texts)), lengths)
     kind = _kinds()[points]
     blank = (kind == 4) | (kind == 5)
@@ -108,6 +114,43 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return whose, feats
 
 
+def windows(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
+    """The text in windows of at most that size, each with whole passages."""
+    at = 0
+    while len(text) - at > most:
+        kind = _kinds()[np.frombuffer(text[at:at + most].encode("utf-32-le", "replace"), np.uint32)]
+        blank = (kind == 4) | (kind == 5)
+        start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        whole = max(0, len(start) - 1) // WORDS * WORDS
+        end = at + (int(start[whole]) if whole else most)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def long_passages(text: str, most: int = CHUNK_CHARS) -> Iterator[np.ndarray]:
+    """The features of a long text's passages, a window at a time."""
+    n_words, left = sum(_counted(w) for w in windows(text, most)), len(text)
+    for window in windows(text, most):
+        left -= len(window)
+        feats = passages([window], "" if left else "\n")[1]
+        feats[:, DOC_WORDS] = np.log1p(n_words) / 8
+        yield feats
+
+
+def _counted(window: str) -> int:
+    kind = _kinds()[np.frombuffer(window.encode("utf-32-le", "replace"), np.uint32)]
+    blank = (kind == 4) | (kind == 5)
+    return np.count_nonzero(~blank & np.concatenate(([True], blank[:-1])))
+
+
+def _sampled(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """As passages([text]), for a long text, with SAMPLE_PASSAGES of each window at most."""
+    feats = np.concatenate([f[np.linspace(0, len(f) - 1, min(len(f), SAMPLE_PASSAGES)).astype(int)]
+                            for f in long_passages(text)])
+    return np.zeros(len(feats), int), feats
+
+
 @dataclass(frozen=True)
 class Model:
     """Scaling of the features and the weights of the layers; None where nothing was learned."""
@@ -117,14 +160,23 @@ class Model:
     weights: dict[str, np.ndarray] | None
 
 
-def _forward(w, x, whose, n):
-    """Scores of n documents, and what the backward pass needs. x: scaled passages, in order."""
+def _attended(w, x):
+    """Encoded passages, both parts of their gate, and their unnormalised weights."""
     h = np.tanh(x @ w["enc"] + w["enc_b"])
     t, g = np.tanh(h @ w["att"]), 1 / (1 + np.exp(-(h @ w["gate"])))
-    e = np.exp(np.clip((t * g) @ w["pick"], -30, 30))
+    return h, t, g, np.exp(np.clip((t * g) @ w["pick"], -30, 30))
+
+
+def _top(w, z):
+    return 1 / (1 + np.exp(-np.clip(z @ w["top"] + w["top_b"], -30, 30)))
+
+
+def _forward(w, x, whose, n):
+    """Scores of n documents, and what the backward pass needs. x: scaled passages, in order."""
+    h, t, g, e = _attended(w, x)
     a = e / np.bincount(whose, e, n)[whose]
     z = np.stack([np.bincount(whose, a * h[:, j], n) for j in range(h.shape[1])], 1)
-    return 1 / (1 + np.exp(-np.clip(z @ w["top"] + w["top_b"], -30, 30))), (h, t, g, a, z)
+    return _top(w, z), (h, t, g, a, z)
 
 
 def _gradients(w, x, whose, p, y, kept):
@@ -160,20 +212,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         out = {"y": [], "x": []}
         labels = batch["y"].to_pylist()
         for first, part in chunks(batch["t"].to_pylist()):
-            whose, feats = passages(part)
+            long = len(part) == 1 and len(part[0]) > CHUNK_CHARS
+            whose, feats = _sampled(part[0]) if long else passages(part)
             cuts = np.searchsorted(whose, np.arange(len(part) + 1))
             for i in range(len(part)):
+                n = cuts[i + 1] - cuts[i]
+                some = cuts[i] + np.arange(min(n, SAMPLE_PASSAGES)) * n // min(n, SAMPLE_PASSAGES)
                 out["y"].append(labels[first + i])
-                out["x"].append(feats[cuts[i]:cuts[i + 1]].astype(np.float16).tobytes())
+                out["x"].append(feats[some].astype(np.float16).tobytes())
         return pa.RecordBatch.from_pydict({"y": pa.array(out["y"], pa.int32()), "x": out["x"]})
 
-    got = map_batches(texts.join(sample, "k").select("t", "y"), encode,
-                      "y int, x binary").collect()
+    found = map_batches(texts.join(sample, "k").select("t", "y"), encode, "y int, x binary")
+    return learn(found, lambda got: _fitted(got, shares, width, epochs, rate, decay, seed))
+
+
+def _fitted(got: list[dict], shares: dict[int, int], width: int, epochs: int, rate: float,
+            decay: float, seed: int) -> Model:
+    """The model of rows of a label and a document's passages; shares: labelled rows of each label."""
     if not got:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), None)
-    got.sort(key=lambda r: (r.y, bytes(r.x)))
-    bags = [np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in got]
-    y = np.array([r.y for r in got], float)
+    got.sort(key=lambda r: (r["y"], r["x"]))
+    bags = [np.frombuffer(r["x"], np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in got]
+    y = np.array([r["y"] for r in got], float)
     every = np.concatenate(bags)
     mean, scale = every.mean(0), every.std(0) + 0.02
     bags = [(b - mean) / scale for b in bags]
@@ -204,6 +264,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     return Model(mean, scale, w)
 
 
+def _scaled(m: Model, feats: np.ndarray) -> np.ndarray:
+    """Features in half precision, as in training, then scaled."""
+    return (feats.astype(np.float16).astype(float) - m.mean) / m.scale
+
+
+def _long_score(m: Model, text: str) -> tuple[float, int]:
+    """The score of one long text and its number of passages: weighted sums, added up by window."""
+    total, weight, n = 0.0, 0.0, 0
+    for feats in long_passages(text):
+        n += len(feats)
+        if m.weights is not None:
+            h, _, _, e = _attended(m.weights, _scaled(m, feats))
+            total, weight = total + e @ h, weight + e.sum()
+    if m.weights is None:
+        return 0.5, n
+    return round(float(_top(m.weights, (total / weight)[None])[0]), 9), n
+
+
 def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
     """The columns in keep, score (0 to 1, higher: label 1 likelier) and n_passages."""
     names = [f"k{i}" for i in range(len(keep))]
@@ -216,15 +294,18 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text"
     def work(batch):
         m, scores, count = shared.value, [], []
         for _, part in chunks(batch["t"].to_pylist()):
+            if len(part) == 1 and len(part[0]) > CHUNK_CHARS:
+                p, n = _long_score(m, part[0])
+                scores.append(np.array([p]))
+                count.append(np.array([n]))
+                continue
             whose, feats = passages(part)
             count.append(np.bincount(whose, minlength=len(part)))
             if m.weights is None:
                 scores.append(np.full(len(part), 0.5))
             else:
-                # In half precision, as in training, then scaled.
-                x = (feats.astype(np.float16).astype(float) - m.mean) / m.scale
                 # Rounded, since the last bits depend on where in a batch a text stands.
-                scores.append(np.round(_forward(m.weights, x, whose, len(part))[0], 9))
+                scores.append(np.round(_forward(m.weights, _scaled(m, feats), whose, len(part))[0], 9))
         return pa.RecordBatch.from_arrays(
             [*(batch[n] for n in names), pa.array(np.concatenate(scores).astype(float)),
              pa.array(np.concatenate(count).astype(np.int64))], [*names, "score", "n_passages"])

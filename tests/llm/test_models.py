@@ -1,6 +1,9 @@
 """Operators 2, 6, 7, 9, 10 and the pipeline: held-out accuracy, round trips, brute force."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -118,6 +121,64 @@ def test_quality_odd_rows(spark, sf):
     assert {r.score for r in quality.score(odd(spark), none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_windows_of_long_texts_give_the_same():
+    rng = random.Random(4)
+    text = "".join(rng.choice((" ", "  ", "\n")) + "".join(rng.choices("abcÄß.,7", k=rng.randrange(1, 9)))
+                   for _ in range(5000))
+    for t in (text, text + " ", "x" + text):
+        want = quality.passages([t])[1]
+        assert (np.concatenate(list(quality.long_passages(t, 3000))) == want).all()
+        own = np.bincount(language_id.subwords([t])[1], minlength=language_id.BUCKETS)
+        parts = language_id._windows(t, 3000)
+        assert "".join(parts) == t and len(parts) > 5
+        assert (own == sum(np.bincount(language_id.subwords([p])[1], minlength=language_id.BUCKETS)
+                           for p in parts)).all()
+
+
+LONG_TEXT = """
+import resource, sys
+from opinara.llm import language_id, quality
+import numpy as np
+text = "the house and a garden with trees, " * (20_000_000 // 35)
+rng = np.random.default_rng(1)
+width = 24
+w = {"enc": rng.normal(size=(quality.N_FEATURES, width)), "enc_b": np.zeros(width),
+     "att": rng.normal(size=(width, 12)), "gate": rng.normal(size=(width, 12)),
+     "pick": rng.normal(size=12), "top": rng.normal(size=width), "top_b": np.zeros(1)}
+m = quality.Model(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), w)
+score, n = quality._long_score(m, text)
+assert 0 <= score <= 1 and n == -(-len(text.split()) // quality.WORDS)
+table = rng.normal(size=(language_id.BUCKETS, 4)).astype(np.float32)
+m = language_id.Model(tuple("abcd"), table, np.zeros(4), 1.0, 0.3)
+best, conf = language_id.classify(m, [text, "x"])
+assert best[0] is not None and language_id.classify(m, [text[:len(text) // 2]])[0][0] == best[0]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_a_text_of_twenty_million_characters_takes_little_memory():
+    done = subprocess.run([sys.executable, "-c", LONG_TEXT], capture_output=True, text=True, timeout=300,
+                          cwd=Path(__file__).resolve().parents[2], check=True)
+    assert int(done.stdout) < 500
+
+
+def test_only_models_come_to_the_driver(spark, sf, monkeypatch):
+    """What learn() brings back is one row, whose size does not follow the sample."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, fetch = [], type(docs).collect
+
+    def collect(self):
+        rows.append(fetch(self))
+        return rows[-1]
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    for fit, size in ((lambda: quality.fit(docs, labels), 100_000), (lambda: language_id.fit(docs), 2_000_000)):
+        rows.clear()
+        fit()
+        got = [r for part in rows for r in part]
+        assert len(got) <= 10 and max(len(r.model) for r in got if "model" in r) < size
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 256, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     for key in (1, 2):
