@@ -16,6 +16,7 @@ from opinara.llm import (
     licenses,
     pieces,
     quality,
+    quality_rules,
     repeats,
     training_order,
     vectors,
@@ -89,6 +90,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes(1)).alias("base_failed"), quality_rules.passes().alias("kept"), "failed")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -104,6 +112,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_vectors": op10_vectors,
+    "op11_quality_rules": op11_quality_rules,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
@@ -111,4 +120,5 @@ ORACLE: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
     "op4_substring_dedup": repeats.oracle(),
     "op8_ngram_jaccard": jaccard.oracle(3, (90, 100)),
+    "op11_quality_rules": quality_rules.oracle(),
 }
