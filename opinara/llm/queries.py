@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from opinara.llm import (
+    alignment,
     conversations,
     decontaminate,
     html_text,
@@ -24,6 +25,7 @@ from opinara.llm import (
 from opinara.llm.common import fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_MARK = 50256
 
@@ -101,6 +103,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Files.read(BYTE_LEVEL, PIECE_MODEL)
+    return alignment.align(_table(spark, sf_dir, "documents"), files, ["doc_id"])
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -114,6 +121,7 @@ QUERIES = {
     "op10_vectors": op10_vectors,
     "op11_quality_rules": op11_quality_rules,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE: dict[str, str] = {
