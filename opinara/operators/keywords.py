@@ -1,12 +1,15 @@
 """Keyword counts and top-n lists.
 
 ``mentions`` counts occurrences, not reviews, so a share of all reviews can pass
-100 %.  Equal counts are ordered by first occurrence: review order, then position.
+100 %.  Equal counts are ordered by first occurrence: review order (reviews without an ``Id``
+last), then position.  Words that first occur at one place of reviews with one ``Id``, or without
+any, are ordered by the word itself, so a list never depends on how the rows are dealt out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 
 import pyarrow as pa
@@ -23,6 +26,7 @@ STOP_WORD_LIMIT = 10_000  # longer lists are anti-joined instead
 
 _REVIEW = " "  # stands for a review itself; never a word
 _POSITIONS = 2**31  # positions per review; the order key is Id * 2^31 + position
+_NO_ID = Decimal(2**63)  # stands for a missing Id, behind all others
 
 
 def stop_word_table(spark: SparkSession, extra: Iterable[str] = ()) -> DataFrame:
@@ -41,7 +45,8 @@ def _token_rows(scored: DataFrame, words: Column, *keep: str) -> DataFrame:
     The order key is one decimal rather than a pair, because its minimum then fits the
     hash aggregate; a struct would force a sort of every token.
     """
-    base = F.col("Id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(10,0)")
+    review = F.coalesce(F.col("Id").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+    base = review * F.lit(_POSITIONS).cast("decimal(10,0)")
     rows = scored.select(
         *keep,
         base.cast("decimal(38,0)").alias("base"),
@@ -114,7 +119,7 @@ def top_keywords(
     marker = F.col("word") == _REVIEW
     rows = _token_rows(reviews, F.concat(F.array(F.lit(_REVIEW)), words))
     counts = _count(_without_stop_words(rows, stop_words, keep=marker), "word")
-    order = (F.desc(marker), F.desc("mentions"), F.col("first"))
+    order = (F.desc(marker), F.desc("mentions"), F.col("first"), F.col("word"))
     best = counts.orderBy(*order).limit(n + 1)
     everything = Window.orderBy(*order)  # n + 1 rows
     total = F.first("mentions").over(everything)
@@ -142,7 +147,7 @@ def top_words(
     key = F.col("mentions")
     if sentiment is not None:
         key = F.when(F.col("Sentiment") == sentiment, key)
-    order = (F.desc_nulls_last("key"), F.asc("first"))
+    order = (F.desc_nulls_last("key"), F.asc("first"), F.asc("word"))
     best = counts.select("word", key.alias("key"), "first").orderBy(*order).limit(n)
     return best.where(F.col("key").isNotNull()).select(
         F.row_number().over(Window.orderBy(*order)).alias("rank"),  # n rows

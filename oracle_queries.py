@@ -113,22 +113,23 @@ keywords AS (
   SELECT s.Sentiment, w.Id, w.word, w.pos FROM tokens w JOIN scored s ON w.Id = s.Id
   WHERE length(w.word) > 3 AND w.word NOT IN {stop}),
 class_words AS (
-  SELECT Sentiment, word, count(*) AS mentions, min(Id * 10000000 + pos) AS first
+  SELECT Sentiment, word, count(*) AS mentions, 
+    min(CAST(coalesce(Id, 9223372036854775808) AS HUGEINT) * 2147483648 + pos) AS first
   FROM keywords GROUP BY ALL),
 all_words AS (
   SELECT word, sum(mentions) AS mentions, min(first) AS first FROM class_words GROUP BY ALL),
 ranked AS (
   SELECT Sentiment, word, mentions, CAST(row_number() OVER (
-    PARTITION BY Sentiment ORDER BY mentions DESC, first) AS INTEGER) AS rank
+    PARTITION BY Sentiment ORDER BY mentions DESC, first, word) AS INTEGER) AS rank
   FROM class_words),
 complaints AS (SELECT rank, word, mentions FROM ranked
   WHERE Sentiment = 'Negative' AND rank <= 8),
 praise AS (SELECT rank, word, mentions FROM ranked
   WHERE Sentiment = 'Positive' AND rank <= 8),
 common AS (
-  SELECT CAST(row_number() OVER (ORDER BY mentions DESC, first) AS INTEGER) AS rank,
+  SELECT CAST(row_number() OVER (ORDER BY mentions DESC, first, word) AS INTEGER) AS rank,
     word, CAST(mentions AS BIGINT) AS mentions
-  FROM all_words ORDER BY mentions DESC, first LIMIT 8),
+  FROM all_words ORDER BY mentions DESC, first, word LIMIT 8),
 kpi AS (
   SELECT count(*) AS total,
     count(*) FILTER (Sentiment = 'Positive') AS positive,

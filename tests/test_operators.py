@@ -159,6 +159,28 @@ def test_keyword_ties_keep_first_seen_order(spark):
     assert got == ["mango", "zebra", "apple", "quince"]
 
 
+def test_keyword_ties_of_repeated_and_missing_ids(spark):
+    """One list however the rows are dealt out: first occurrence, then the word."""
+    names = [f"word{a}{b}" for a in "qxcmzb" for b in "pkd"]
+    words = random.Random(8).sample(names, len(names))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for ids in ([7] * len(words), [None] * len(words), [None, 3, 3] * 6):
+        rows = [(i, "a", 1, month(0), "", f"awful {w}") for i, w in zip(ids, words, strict=True)]
+        rows += [(i, "a", 1, month(0), "", f"well {w}".translate(letters)) for i, w in zip(ids, words, strict=True)]
+        found, known = set(), {i: [] for i in (3, 7, None)}
+        for i, w in zip(ids, words, strict=True):
+            known[i].append(w)
+        for parts in (1, 3, 8):
+            scored = sentiment.score(reviews(spark, rows).repartition(parts), LEXICON)
+            lists = [keywords.top_keywords(scored, n) for n in (None, "Negative")]
+            lists.append(keywords.top_words(keywords.over_all_classes(keywords.keyword_counts(scored))))
+            found.add(tuple(tuple(r.word for r in x.orderBy("rank").collect()) for x in lists))
+        assert len(found) == 1
+        (tied,) = found
+        want = sorted(known[3]) + sorted(known[7]) + sorted(known[None])
+        assert [w for w in tied[1] if w in want] == [w for w in want if w in tied[1]]
+
+
 def test_stop_words_as_table(spark, scored):
     table = keywords.stop_word_table(spark, ["bread"])
     listed = keywords.keyword_counts(scored, keywords.STOP_WORDS | {"bread"})
