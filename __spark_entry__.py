@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import sys
 from collections.abc import Callable
 from functools import reduce
@@ -55,15 +54,18 @@ IMPACTS = v.IMPACT_BY_KEYWORD | {
     "hehely": "Stand-in impact for hehely.",
 }
 
-# The operators for training data and their pipeline are optional: without their folder, and without
-# the file of the pipeline, everything else still works.
-_spec = importlib.util.find_spec("opinara.llm")
-_LLM = _spec is not None and _spec.origin is not None
-_PIPELINE = _LLM and importlib.util.find_spec("corpus_pipeline") is not None
-if _LLM:
+# The operators for training data and their pipeline are optional: without their folder, without a
+# package that they need, and without the file of the pipeline, everything else still works.
+try:
     from opinara.llm import queries as llm_queries  # noqa: E402
-if _PIPELINE:
+except ImportError:
+    llm_queries = None
+try:
     import corpus_pipeline  # noqa: E402
+except ImportError:
+    corpus_pipeline = None
+_LLM = llm_queries is not None
+_PIPELINE = _LLM and corpus_pipeline is not None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,15 +75,17 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.load_reviews(_raw(spark, sf_dir))
+    """The reviews; a session may ask openly for them to be dealt out to so many tasks."""
+    spread = spark.conf.get("spark.opinara.spread", None)
+    return source.load_reviews(_raw(spark, sf_dir), spread=spread and int(spread))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.score(_reviews(spark, sf_dir), LEXICON)
 
 
-def _marts(spark: SparkSession, sf_dir: str, store: bool = True) -> Marts:
-    return Marts.build(_scored(spark, sf_dir), impact.impact_table(spark, IMPACTS), store=store)
+def _marts(spark: SparkSession, sf_dir: str) -> Marts:
+    return Marts.build(_scored(spark, sf_dir), impact.impact_table(spark, IMPACTS))
 
 
 def _user_turns(conversations: DataFrame) -> DataFrame:
@@ -278,10 +282,11 @@ def _chart_tables(spark, d):
     def back(name, label, value):
         schema = tables[name].schema
         return spark.read.schema(schema).parquet(f"{folder}/{name}").select(
-            F.lit(name).alias("chart"), F.col(label).cast("string").alias("label"),
+            F.lit(name).alias("chart"), F.concat_ws(" ", *label.split()).alias("label"),
             F.col(value).cast("double").alias("value"))
 
     parts = [back("kpi_cards", "label", "value"), back("sentiment_bars", "Sentiment", "n"),
+             back("sentiment_share", "Sentiment", "pct"), back("sentiment_trend", "series point_date", "value"),
              back("star_histogram", "Score", "n"), back("complaint_words", "word", "mentions"),
              back("praise_words", "word", "mentions"), back("complaint_impact", "word", "pct"),
              back("yearly_sentiment", "year", "positive_pct")]
@@ -352,8 +357,7 @@ def queries() -> dict[str, Query]:
         "longest_review": _lengths(lengths.longest_review),
         "star_quotes": _star_quotes,
         "class_quotes": _class_quotes,
-        # Two passes over the texts either way, so nothing needs to be stored for the report.
-        "report": lambda s, d: headline.report(_marts(s, d, store=False)),
+        "report": lambda s, d: headline.report(_marts(s, d)),
         "route_questions": lambda s, d: ask.route(_questions(s, d)),
         "answers": _answers,
         "answers_without_columns": _answers_without_columns,

@@ -100,6 +100,35 @@ def keyword_counts(
     return _count(_without_stop_words(words, stop_words), *keep, "word")
 
 
+REVIEWS, WORDS = "reviews", "words"
+
+
+def review_counts(
+    scored: DataFrame, stop_words: Iterable[str] | DataFrame = STOP_WORDS
+) -> DataFrame:
+    """Words per class and reviews per month, star and class, from one pass over the texts.
+
+    Each review adds its words and one marker, which alone carries month and star.  One
+    aggregate counts both, in each task first; ``kind`` tells them apart.
+    """
+    keys = [c for c in ("YearMonth", "Score") if c in scored.columns]
+    words = F.concat(F.array(F.lit(_REVIEW)), text.words(_plain(scored)))
+    marker = F.col("word") == _REVIEW
+    rows = _without_stop_words(_token_rows(scored, words, "Sentiment", *keys), stop_words, keep=marker)
+    rows = rows.select(
+        "Sentiment", "word", "first", *[F.when(marker, F.col(c)).alias(c) for c in keys])
+    kind = F.when(marker, REVIEWS).otherwise(WORDS).alias("kind")
+    return _count(rows, "Sentiment", "word", *keys).select("*", kind)
+
+
+def cube_and_words(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The class cube (``n`` reviews) and the keyword counts within :func:`review_counts`."""
+    keys = [c for c in ("YearMonth", "Score") if c in counts.columns]
+    cube = counts.where(F.col("kind") == REVIEWS).select(*keys, "Sentiment", F.col("mentions").alias("n"))
+    words = counts.where(F.col("kind") == WORDS).select("Sentiment", "word", "mentions", "first")
+    return cube, words
+
+
 def top_keywords(
     reviews: DataFrame,
     sentiment: str | None = None,
@@ -164,6 +193,25 @@ def top_words_by_class(
     ])
 
 
+def top_lists(counts: DataFrame, overall: str, n: int = v.KEYWORDS_PER_LIST) -> DataFrame:
+    """``Sentiment, rank, word, mentions``: the first words of each class and of all reviews.
+
+    The counts are read once: a word's counts in all classes meet in one row, which goes to each
+    list that it stands in.  Tasks keep ``n`` rows per list before the lists meet.
+    """
+    per_class = [F.struct(
+        F.lit(c).alias("Sentiment"),
+        F.sum(F.when(F.col("Sentiment") == c, F.col("mentions"))).alias("mentions"),
+        F.min(F.when(F.col("Sentiment") == c, F.col("first"))).alias("first")) for c in v.CLASSES]
+    everything = F.struct(F.lit(overall).alias("Sentiment"), F.sum("mentions").alias("mentions"),
+                          F.min("first").alias("first"))
+    rows = counts.groupBy("word").agg(F.array(*per_class, everything).alias("lists")).select(
+        "word", F.inline("lists")).where(F.col("mentions").isNotNull())
+    order = Window.partitionBy("Sentiment").orderBy(F.desc("mentions"), "first", "word")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(
+        "Sentiment", "rank", "word", "mentions")
+
+
 def word_lists(tops: DataFrame, n: int) -> DataFrame:
     """Per class, the first ``n`` words as one comma-separated string."""
     return tops.where(F.col("rank") <= n).groupBy("Sentiment").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
 from opinara.functions import bands
-from opinara.functions.numbers import fixed, grouped, percent
+from opinara.functions.numbers import fixed, grouped, percent, round_exact
 
 CUBE_KEYS = ("YearMonth", "Score", "Sentiment")
 
@@ -42,6 +42,10 @@ def avg_rating() -> Column:
     return F.try_divide(F.sum(F.col("Score").cast("decimal(18,6)") * F.col("n")).cast("double"), F.sum("n"))
 
 
+def rounded_share(part: Column, total: Column) -> Column:
+    return round_exact(percent(part, total), 1)
+
+
 def total_reviews(cube: DataFrame) -> DataFrame:
     return cube.agg(_sum_where().alias("total"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import fixed_values as v
@@ -45,3 +45,25 @@ def complained_products(stats: DataFrame, n: int = v.COMPLAINED_PRODUCTS) -> Dat
         F.row_number().over(Window.orderBy(*order)).alias("rank"),
         "ProductId", "negative", "avg_rating",
     )
+
+
+def product_lists(stats: DataFrame) -> DataFrame:
+    """Both lists in one value from one read of the products: ``most`` and ``worst``.
+
+    Each product stands for both lists; tasks keep a list's first rows before they meet.
+    """
+    lists = F.array(
+        F.struct(F.lit("most").alias("list"), F.col("reviews").alias("by")),
+        F.struct(F.lit("worst").alias("list"),
+                 F.when(F.col("negative") > 0, F.col("negative")).alias("by")))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("by"), "ProductId"))
+    rows = stats.select("*", F.inline(lists)).where(F.col("by").isNotNull())
+    first = rows.withColumn("rank", place).where(F.col("rank") <= max(v.TOP_PRODUCTS, v.COMPLAINED_PRODUCTS))
+    entry = F.struct("rank", "ProductId", "reviews", "negative", "avg_rating",
+                     percent(F.col("positive"), F.col("reviews")).alias("positive_pct"))
+
+    def of(name: str, n: int) -> Column:
+        mine = (F.col("list") == name) & (F.col("rank") <= n)
+        return F.array_sort(F.collect_list(F.when(mine, entry))).alias(name)
+
+    return first.agg(F.struct(of("most", v.TOP_PRODUCTS), of("worst", v.COMPLAINED_PRODUCTS)).alias("products"))

@@ -64,29 +64,38 @@ def trend_fit(monthly: DataFrame) -> DataFrame:
     )
 
 
+def forecast_step(
+    step: Column, slope: Column, intercept: Column, last_t: Column, last_month: Column
+) -> Column:
+    """``step, month, label, neg_pct, risk`` of one month ahead."""
+    line = slope * (last_t + step) + intercept
+    month = F.add_months(last_month, step)
+    predicted = round_scaled(clamp(line, 0.0, 100.0), 1)
+    return F.struct(
+        step.alias("step"), month.alias("month"), month_label(month).alias("label"),
+        predicted.alias("neg_pct"), bands.forecast_risk(predicted).alias("risk"),
+    )
+
+
 def forecast(fit: DataFrame, months: int = v.FORECAST_MONTHS) -> DataFrame:
     """Predicted negative share of the next months.
 
     The line runs over observed months, the labels over calendar months.
     """
-    steps = fit.select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("step")
+    ahead = F.transform(
+        F.sequence(F.lit(1), F.lit(months)),
+        lambda step: forecast_step(step, F.col("slope"), F.col("intercept"), F.col("last_t"),
+                                   F.col("last_month")),
     )
-    line = F.col("slope") * (F.col("last_t") + F.col("step")) + F.col("intercept")
-    month = F.add_months("last_month", F.col("step"))
-    predicted = round_scaled(clamp(line, 0.0, 100.0), 1)
-    return steps.select(
-        "step", month.alias("month"), month_label(month).alias("label"),
-        predicted.alias("neg_pct"), bands.forecast_risk(predicted).alias("risk"),
-        "direction", "slope_rounded",
+    return fit.select(
+        F.inline(ahead), "direction", "slope_rounded",
         bands.trend_advice(F.col("slope_rounded")).alias("advice"),
     ).orderBy("step")
 
 
-def scenarios(predicted: DataFrame, months: int = v.FORECAST_MONTHS) -> DataFrame:
-    """Best, base and worst case from the last forecast month."""
-    last = F.col("neg_pct")
-    cases = F.array(
+def cases(last: Column) -> Column:
+    """Best, base and worst case from the last forecast share: array of ``ord, scenario, neg_pct``."""
+    return F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("best").alias("scenario"),
                  F.greatest(F.lit(0.0), last - 3).alias("neg_pct")),
         F.struct(F.lit(2).alias("ord"), F.lit("base").alias("scenario"),
@@ -94,10 +103,14 @@ def scenarios(predicted: DataFrame, months: int = v.FORECAST_MONTHS) -> DataFram
         F.struct(F.lit(3).alias("ord"), F.lit("worst").alias("scenario"),
                  F.least(F.lit(100.0), last + 5).alias("neg_pct")),
     )
+
+
+def scenarios(predicted: DataFrame, months: int = v.FORECAST_MONTHS) -> DataFrame:
+    """Best, base and worst case from the last forecast month."""
     action = bands.scenario_action(F.col("slope_rounded"))
     return (
         predicted.where(F.col("step") == months)
-        .select(action.alias("action"), F.inline(cases))
+        .select(action.alias("action"), F.inline(cases(F.col("neg_pct"))))
         .select("ord", "scenario", "neg_pct", "action")
     )
 

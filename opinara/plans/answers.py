@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from opinara import fixed_values as v
 from opinara.functions import bands
 from opinara.functions.dates import month_label
-from opinara.functions.numbers import fixed, grouped
+from opinara.functions.numbers import fixed, grouped, percent
 from opinara.functions.text import joined_lines, star_glyphs
-from opinara.operators import keywords, metrics, products, trend
+from opinara.operators import lengths, products, trend
 from opinara.plans import answer_texts as t
+from opinara.plans.figures import figures, insights
 from opinara.plans.marts import Marts
 from opinara.plans.questions import route
 from opinara.sources.sampling import quote_lists
@@ -36,45 +37,45 @@ def fill(template: str, **columns: Column | str) -> Column:
     return F.format_string(pattern, *used) if used else F.lit(template)
 
 
-def number(name: str, places: int) -> Column:
-    return F.coalesce(fixed(F.col(name), places), F.lit(_NONE))
+def number(value: Column | str, places: int) -> Column:
+    return F.coalesce(fixed(_column(value), places), F.lit(_NONE))
 
 
-def count(name: str) -> Column:
-    return F.coalesce(grouped(F.col(name)), F.lit(_NONE))
+def count(value: Column | str) -> Column:
+    return F.coalesce(grouped(_column(value)), F.lit(_NONE))
 
 
-def _lines(df: DataFrame, order: str, line: Column) -> Column:
-    """The lines of a short ranked table as one scalar text."""
-    lines = df.select(F.col(order).alias("ord"), line.alias("line"))
-    return lines.agg(joined_lines(F.col("ord"), F.col("line"))).scalar()
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
 
 
-def _one(df: DataFrame, text: Column) -> Column:
-    """The text made from a table of at most one row."""
-    return df.select(text.alias("text")).agg(F.max("text")).scalar()
+def _lines(rows: Column, template: str, separator: str = "\n", **columns: Callable[[Column], Column]) -> Column:
+    """One line for each struct of a short array; a name not passed is the field of that name."""
+    names = [name for _, name, _, _ in Formatter().parse(template) if name]
 
+    def line(row: Column) -> Column:
+        return fill(template, **{n: columns[n](row) if n in columns else row[n] for n in names})
 
-def _quotes(reviews: DataFrame, lists: Mapping[str, Column]) -> dict[str, Column]:
-    """The quotes of every list as one text each, from one pass."""
+    return F.coalesce(F.array_join(F.transform(rows, line), separator), F.lit(""))
+
+
+def _quotes(reviews: DataFrame, lists: Mapping[str, Column]) -> Column:
+    """The quotes of every list as one text each, by name, from one pass."""
     if "Summary" not in reviews.columns:
-        return {name: F.lit("") for name in lists}
+        return F.create_map(F.lit(""), F.lit(""))
     summary = F.coalesce("Summary", F.lit(""))
     line = fill(t.QUOTE, stars=star_glyphs(F.col("Score")), summary=summary)
     texts = quote_lists(reviews, lists).groupBy("list").agg(
         joined_lines(F.col("ord"), line).alias("text"))
-    found = texts.agg(F.map_from_entries(F.collect_list(F.struct("list", "text")))).scalar()
-    return {name: F.coalesce(found[name], F.lit("")) for name in lists}
+    return texts.agg(F.map_from_entries(F.collect_list(F.struct("list", "text")))).scalar()
 
 
-def _word_list(top: DataFrame, n: int) -> Column:
-    first = top.where(F.col("rank") <= n)
-    return first.agg(joined_lines(F.col("rank"), F.col("word"), ", ")).scalar()
+def _word_list(top: Column, n: int) -> Column:
+    return _lines(F.slice(top, 1, n), "{word}", ", ")
 
 
-def _words(top: DataFrame, total: Column, template: str) -> Column:
-    line = fill(template, pct=number("pct", 1))
-    return _lines(keywords.with_share(top, total), "rank", line)
+def _words(top: Column, template: str) -> Column:
+    return _lines(top, template, pct=lambda w: number(percent(w["mentions"], F.col("total")), 1))
 
 
 def _forecast_texts(marts: Marts) -> tuple[Column, Column, Column]:
@@ -83,73 +84,69 @@ def _forecast_texts(marts: Marts) -> tuple[Column, Column, Column]:
         return F.lit(t.NO_TIME), F.lit(t.NO_FORECAST), F.lit("")
     months = {name: month_label(F.col(f"{name}_month"))
               for name in ("first", "last", "worst", "best")}
-    summary = _one(trend.trend_summary(marts.monthly), fill(t.TREND, **months))
-
-    step = fill(t.FORECAST_STEP, pct=number("neg_pct", 1))
-    ahead = (
-        marts.forecast.select("*", step.alias("line"))
-        .groupBy("direction", "advice", "slope_rounded")
-        .agg(joined_lines(F.col("step"), F.col("line")).alias("steps"))
-    )
-    case = fill(t.SCENARIO, pct=number("neg_pct", 1))
-    cases = (
-        trend.scenarios(marts.forecast).select("*", case.alias("line"))
-        .groupBy("action")
-        .agg(joined_lines(F.col("ord"), F.col("line")).alias("cases"))
-    )
+    steps = _lines(F.col("ahead"), t.FORECAST_STEP, pct=lambda s: number(s["neg_pct"], 1))
+    slope, known = F.col("slope_rounded"), F.col("ahead").isNotNull()
+    cases = trend.cases(F.element_at("ahead", v.FORECAST_MONTHS)["neg_pct"])
     scenarios = F.concat(
-        _one(ahead, fill(t.FORECAST)), _one(cases, fill(t.SCENARIOS))
-    )
-    outlook = fill(
-        t.OUTLOOK, direction=F.lower("direction"),
-        note=bands.recommendation_note(F.col("slope_rounded")),
-    )
+        fill(t.FORECAST, steps=steps),
+        fill(t.SCENARIOS, cases=_lines(cases, t.SCENARIO, pct=lambda c: number(c["neg_pct"], 1)),
+             action=bands.scenario_action(slope)))
+    outlook = fill(t.OUTLOOK, direction=F.lower("direction"), note=bands.recommendation_note(slope))
+    ahead = fill(t.TREND_OUTLOOK, steps=steps, advice=bands.trend_advice(slope))
     return (
-        F.concat(summary, F.coalesce(_one(ahead, fill(t.TREND_OUTLOOK)), F.lit(""))),
-        F.coalesce(scenarios, F.lit(t.NO_FORECAST)),
-        F.coalesce(_one(ahead, outlook), F.lit("")),
+        F.concat(fill(t.TREND, **months), F.when(known, ahead).otherwise("")),
+        F.when(known, scenarios).otherwise(t.NO_FORECAST),
+        F.when(known, outlook).otherwise(""),
     )
 
 
 def _product_texts(marts: Marts) -> tuple[Column, Column]:
     if not marts.has_products:
         return F.lit(t.NO_PRODUCTS), F.lit(t.NO_PRODUCTS)
-    stats, rating = marts.products, number("avg_rating", 1)
-    most = fill(t.PRODUCT, product="ProductId", rating=rating, pct=number("positive_pct", 0))
-    worst = fill(t.COMPLAINED_PRODUCT, product="ProductId", rating=rating)
-    return (
-        F.concat(F.lit("Products by number of reviews:\n"),
-                 _lines(products.top_products(stats), "rank", most)),
-        F.concat(F.lit("Products by negative reviews:\n"),
-                 _lines(products.complained_products(stats), "rank", worst)),
-    )
+    rating = {"rating": lambda p: number(p["avg_rating"], 1), "product": lambda p: p["ProductId"]}
+    most = _lines(F.col("products")["most"], t.PRODUCT, **rating,
+                  pct=lambda p: number(p["positive_pct"], 0))
+    worst = _lines(F.col("products")["worst"], t.COMPLAINED_PRODUCT, **rating)
+    return (F.concat(F.lit("Products by number of reviews:\n"), most),
+            F.concat(F.lit("Products by negative reviews:\n"), worst))
 
 
 def _years(marts: Marts) -> Column:
     if not marts.has_time:
         return F.lit(t.NO_YEARS)
-    line = fill(t.YEAR, rating=number("avg_rating", 1), pos=number("positive_pct", 1),
-                neg=number("negative_pct", 1))
-    return F.concat(F.lit("Year by year:\n"), _lines(marts.yearly, "year", line))
+    return F.concat(F.lit("Year by year:\n"), _lines(
+        F.col("years"), t.YEAR, rating=lambda y: number(y["avg_rating"], 1),
+        pos=lambda y: number(y["positive_pct"], 1), neg=lambda y: number(y["negative_pct"], 1)))
 
 
 def _figures(marts: Marts) -> DataFrame:
-    """One row with every text and number that a template names."""
-    facts, total, kpi = marts.facts, marts.total, metrics.kpi(marts.cube)
-    stars = metrics.star_breakdown(marts.cube)
-    star_line = fill(t.STAR, stars=star_glyphs(F.col("star")), n=count("n"),
-                     pct=number("pct", 1))
+    """One row with every text and number that a template names.
 
-    def star_text(star: int, template: str) -> Column:
-        row = stars.where(F.col("star") == star)
-        return _one(row, fill(template, n=count("n"), pct=number("pct", 1)))
+    Cube and words are read once each, the facts three times: for quotes, products and lengths.
+    """
+    quotes = _quotes(marts.facts, {
+        "quotes_pos": F.col("Sentiment") == v.POSITIVE,
+        "quotes_neg": F.col("Sentiment") == v.NEGATIVE,
+        "quotes_top": F.col("Score") == 5,
+        "quotes_low": F.col("Score") == 1,
+    })
+    known = {"found_quotes": quotes, "lengths": lengths.length_figures(marts.facts).scalar()}
+    if marts.has_products:
+        known["products"] = products.product_lists(marts.products).scalar()
+    row = figures(marts).select("*", *[c.alias(n) for n, c in known.items()])
 
     def count_share(name: str) -> Column:
         return fill("{n} ({pct}%)", n=count(name), pct=number(f"{name}_pct", 1))
 
+    def star(k: int) -> dict[str, Column]:
+        found = F.element_at("stars", k)
+        return {"n": count(found["n"]), "pct": number(found["pct"], 1)}
+
     trend_text, scenario_text, outlook = _forecast_texts(marts)
     most_reviewed, most_complained = _product_texts(marts)
     rating, negative = F.col("avg_rating"), F.col("negative_pct")
+    complaints, praise = F.col("words")["complaints"], F.col("words")["praise"]
+    size = F.col("lengths")
     texts = {
         "total": count("total"),
         "pos": count_share("positive"),
@@ -169,38 +166,32 @@ def _figures(marts: Marts) -> DataFrame:
         "retention": bands.retention_note(rating),
         "urgency": bands.urgency(negative),
         "urgency_note": bands.urgency_note(negative),
-        **_quotes(facts, {
-            "quotes_pos": F.col("Sentiment") == v.POSITIVE,
-            "quotes_neg": F.col("Sentiment") == v.NEGATIVE,
-            "quotes_top": F.col("Score") == 5,
-            "quotes_low": F.col("Score") == 1,
-        }),
-        "five_star": star_text(5, "{n} ({pct}%)"),
-        "one_star": star_text(1, "{n} ({pct}%)"),
-        "five_pct": star_text(5, "{pct}"),
-        "one_pct": star_text(1, "{pct}"),
-        "star_lines": _lines(stars, "star", star_line),
-        "complaint_lines": _lines(marts.insights, "rank", fill(t.COMPLAINT)),
-        "complaint_list": _word_list(marts.complaints, 3),
-        "praise_lines": _words(
-            marts.praise.where(F.col("rank") <= v.INSIGHT_LINES), total, t.PRAISE),
-        "praise_list": _word_list(marts.praise, 3),
-        "first_praise": _word_list(marts.praise, 1),
-        "common_lines": _words(marts.common_words, total, t.COMMON_WORD),
+        **{name: F.coalesce(F.col("found_quotes")[name], F.lit(""))
+           for name in ("quotes_pos", "quotes_neg", "quotes_top", "quotes_low")},
+        "five_star": fill("{n} ({pct}%)", **star(5)),
+        "one_star": fill("{n} ({pct}%)", **star(1)),
+        "five_pct": star(5)["pct"],
+        "one_pct": star(1)["pct"],
+        "star_lines": _lines(F.col("stars"), t.STAR, stars=lambda s: star_glyphs(s["star"]),
+                             n=lambda s: count(s["n"]), pct=lambda s: number(s["pct"], 1)),
+        "complaint_lines": _lines(insights(complaints, F.col("total")), t.COMPLAINT),
+        "complaint_list": _word_list(complaints, 3),
+        "praise_lines": _words(F.slice(praise, 1, v.INSIGHT_LINES), t.PRAISE),
+        "praise_list": _word_list(praise, 3),
+        "first_praise": _word_list(praise, 1),
+        "common_lines": _words(F.col("words")["common"], t.COMMON_WORD),
         "trend": trend_text,
         "scenarios": scenario_text,
         "outlook": outlook,
         "most_reviewed": most_reviewed,
         "most_complained": most_complained,
         "years": _years(marts),
-        "lengths": _one(marts.lengths, fill(
-            t.LENGTHS, average=number("avg_words", 0), short=count("short_reviews"),
-            long=count("long_reviews"))),
-        "longest": F.coalesce(
-            _one(marts.longest, fill(t.LONGEST, words="ReviewLen", score="Score")),
-            F.lit(_NONE)),
+        "lengths": fill(t.LENGTHS, average=number(size["avg_words"], 0), short=count(size["short_reviews"]),
+                        long=count(size["long_reviews"])),
+        "longest": F.coalesce(F.when(size["longest"].isNotNull(), fill(
+            t.LONGEST, words=size["longest"]["ReviewLen"], score=size["longest"]["Score"])), F.lit(_NONE)),
     }
-    return kpi.select(*[text.alias(name) for name, text in texts.items()])
+    return row.select(*[text.alias(name) for name, text in texts.items()])
 
 
 def answer_table(marts: Marts) -> DataFrame:

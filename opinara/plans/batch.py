@@ -38,9 +38,10 @@ def run(
     out: str,
     sample_size: int | None = None,
     impact_table: DataFrame | None = None,
+    spread: int | None = None,
 ) -> Marts:
     """Two passes over the texts, then every table under ``out``; returns the marts."""
-    scored = sentiment.score(load_reviews(raw, sample_size), lexicon)
+    scored = sentiment.score(load_reviews(raw, sample_size, spread=spread), lexicon)
     marts = Marts.build(scored, impact_table)
     write_marts(all_marts(marts), out)
     return marts

@@ -12,24 +12,24 @@ from opinara import fixed_values as v
 from opinara.operators import impact, keywords, lengths, metrics, products, sentiment, trend
 from opinara.sources.sinks import stored
 
-_OVERALL = "All"
+OVERALL = "All"
 
 
 @dataclass(frozen=True)
 class Marts:
-    """``facts``: one narrow row per review; ``cube``: review counts per month, star
-    and class; ``words``: mentions per class and word; ``tops``: the first words of each
-    class and of all reviews.
+    """``cube``: review counts per month, star and class; ``words``: mentions per class and
+    word; ``facts``: one narrow row per review.
 
-    Facts and words take one pass over the texts each.  Every other table is derived
-    from these, so nothing reads or scores a text again.
+    Cube and words come out of one pass over the texts, facts out of another that only runs when
+    something needs single reviews (quotes, products, lengths).  Every other table is
+    derived from these, so nothing else reads or scores a text.
     """
 
-    facts: DataFrame
+    scored: DataFrame
     cube: DataFrame
     words: DataFrame
-    tops: DataFrame
     impact: DataFrame
+    store: bool
 
     @classmethod
     def build(
@@ -40,31 +40,34 @@ class Marts:
         store: bool = True,
     ) -> Marts:
         """From scored reviews; ``store`` writes the tables to the shared folder."""
-
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            return stored(df, name) if store else df
-
-        facts = keep(sentiment.review_facts(scored), "facts")
-        cube = keep(metrics.class_cube(facts).repartition(1), "cube")
-        words = keep(keywords.keyword_counts(scored, stop_words), "words")
-        overall = keywords.top_words(keywords.over_all_classes(words))
-        tops = keywords.top_words_by_class(words).unionByName(
-            overall.withColumn("Sentiment", F.lit(_OVERALL))
-        )
+        counts = keywords.review_counts(scored, stop_words)
+        if store:
+            counts = stored(counts, "counts", ("kind",))
+        cube, words = keywords.cube_and_words(counts)
         if impact_table is None:
             impact_table = impact.impact_table(scored.sparkSession)
-        return cls(facts, cube, words, keep(tops, "tops"), impact_table)
-
-    def top(self, name: str) -> DataFrame:
-        return self.tops.where(F.col("Sentiment") == name).drop("Sentiment")
+        return cls(scored, cube, words, impact_table, store)
 
     @property
     def has_time(self) -> bool:
-        return "YearMonth" in self.facts.columns
+        return "YearMonth" in self.scored.columns
 
     @property
     def has_products(self) -> bool:
-        return "ProductId" in self.facts.columns
+        return "ProductId" in self.scored.columns
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        facts = sentiment.review_facts(self.scored)
+        return stored(facts, "facts") if self.store else facts
+
+    @cached_property
+    def tops(self) -> DataFrame:
+        """``Sentiment, rank, word, mentions``: the first words of each class and of all reviews."""
+        return keywords.top_lists(self.words, OVERALL)
+
+    def top(self, name: str) -> DataFrame:
+        return self.tops.where(F.col("Sentiment") == name).drop("Sentiment")
 
     @cached_property
     def total(self) -> Column:
@@ -80,7 +83,7 @@ class Marts:
 
     @cached_property
     def common_words(self) -> DataFrame:
-        return self.top(_OVERALL)
+        return self.top(OVERALL)
 
     @cached_property
     def insights(self) -> DataFrame:

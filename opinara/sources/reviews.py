@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +18,42 @@ from opinara.sources.sinks import stored
 
 _TYPES = {"Id": "bigint", "ProductId": "string", "Score": "double", "Time": "bigint",
           "Summary": "string", "Text": "string"}
+HEADER_THREADS = 16
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     null_tokens: Sequence[str] = v.CSV_NULL_TOKENS,
 ) -> DataFrame:
     """Review CSV with a header, quoted fields and doubled quotes.
 
     Columns are found by name, so extra columns and any order are fine; files that are read
-    together must have the same header, and one with another is refused.  With
-    ``multi_line`` (needed when a quoted field holds a line break) Spark gives each
-    file to one task: store a large collection as many files, or convert it once
-    with :func:`opinara.sources.sinks.write_table`.  Files without such breaks should
-    be read with ``multi_line=False``, which splits them.
+    together must have the same header, which is compared before anything else is read.
+    Files are split among tasks unless quoted fields hold line breaks: then each file must go
+    to one task.  Which of the two it is, a pass over the lines counts, and a warning says so;
+    ``multi_line`` given as True or False saves that pass.  Store a large collection with such
+    breaks as many files, or convert it once with :func:`opinara.sources.sinks.write_table`.
     """
-    reader = (
-        spark.read.option("header", True)
+    header = csv_header(spark, path)
+    if multi_line is None:
+        broken = open_lines(spark, path)
+        multi_line = broken > 0
+        if multi_line:
+            warnings.warn(f"{broken} lines end inside a quoted field: each file is read by one task",
+                          stacklevel=2)
+    schema = StructType([StructField(c, StringType()) for c in header])
+    raw = (
+        spark.read.schema(schema)
+        .option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
+        .option("enforceSchema", False)
+        .csv(path)
     )
-    header = reader.csv(path).columns  # of one file
-    schema = StructType([StructField(c, StringType()) for c in header])
-    raw = reader.schema(schema).option("enforceSchema", False).csv(path)
     present = [c for c in v.REVIEW_COLUMNS if c in raw.columns]
     tokens = list(null_tokens)
 
@@ -51,6 +63,41 @@ def read_csv(
     return typed(raw.select(*[value(c) for c in present]))
 
 
+def csv_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The column names that all files share, from the first line of each; another is refused.
+
+    A few bytes of every file come to the driver, several files at a time.
+    """
+    files = spark.read.text(path).inputFiles()
+    hadoop, settings = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(settings)
+
+    def first_line(file: str) -> str:
+        at = hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        opened = at.getFileSystem(settings).open(at)
+        codec = codecs.getCodec(at)
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(
+            opened if codec is None else codec.createInputStream(opened), "UTF-8"))
+        try:
+            return (reader.readLine() or "").removeprefix("\ufeff")
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        lines = {line: file for file, line in zip(files, pool.map(first_line, files), strict=True) if line}
+    headers = {tuple(next(csv.reader([line]))): file for line, file in lines.items()}
+    if len(headers) > 1:
+        (one, a), (other, b) = list(headers.items())[:2]
+        raise ValueError(f"different headers: {list(one)} in {a}, {list(other)} in {b}")
+    return list(next(iter(headers), ()))
+
+
+def open_lines(spark: SparkSession, path: str | Sequence[str]) -> int:
+    """Lines with an odd number of quotes: those that a quoted line break begins or ends."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).count()
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Known, present columns in their types; a value that does not fit is null.
 
@@ -97,11 +144,16 @@ def with_dates(df: DataFrame) -> DataFrame:
 
 
 def load_reviews(
-    raw: DataFrame, sample_size: int | None = None, seed: int = v.SAMPLE_SEED
+    raw: DataFrame,
+    sample_size: int | None = None,
+    seed: int = v.SAMPLE_SEED,
+    spread: int | None = None,
 ) -> DataFrame:
     """Sample (only when asked), prune, drop incomplete rows, add dates.
 
-    Sampling comes before the null drop, so a sample may end up with fewer rows.
+    Sampling comes before the null drop, so a sample may end up with fewer rows.  ``spread`` deals
+    the rows out to so many tasks first: it shuffles the texts once, which pays for input in fewer
+    parts than there are cores, such as one file with one row group, and for nothing else.
     Without an ``Id`` column the reading order becomes the row key; such a table is stored
     once, so that every later pass sees the same keys.
     """
@@ -110,7 +162,8 @@ def load_reviews(
         df = stored(df.withColumn("Id", F.monotonically_increasing_id()), "reviews")
     if sample_size is not None:
         df = sample_rows(df, sample_size, seed)
-    return with_dates(drop_incomplete(df))
+    df = drop_incomplete(df)
+    return with_dates(df if spread is None else df.repartition(spread))
 
 
 def load_stats(

@@ -35,8 +35,17 @@ def write_marts(marts: Mapping[str, DataFrame], path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it, or else its warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder all executors share, as the session names it, or else its warehouse.
+
+    A warehouse on the machine's own disk will do for a local session only.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        own = folder.startswith("file:") or "://" not in folder
+        if own and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -44,16 +53,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; columns to part by come last.
 
     For an intermediate that several results read: its lineage ends here, it survives
     lost executors, and each reader scans only the columns it needs.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df, path, partition_by)
+    columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    return spark.read.schema(df.select(columns).schema).parquet(path)
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

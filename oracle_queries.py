@@ -364,8 +364,16 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
     few_answers = f"{base}, {figure_row} " + " UNION ALL ".join(
         f"SELECT {i} AS intent, {filled(template, **few_figures)} AS answer FROM figures"
         for i, template in t.TEMPLATES.items())
+    trend_points = " UNION ALL ".join([
+        *(f"SELECT '{c}' AS series, month AS point_date, CAST(\"{c}\" AS DOUBLE) AS value,"
+          " 'reviews' AS unit FROM by_class" for c in v.CLASSES),
+        "SELECT 'Forecast', last_month, last_neg_pct, 'percent' FROM fit",
+        "SELECT 'Forecast', last_day(month), neg_pct, 'percent' FROM forecast"])
     chart_rows = [
         ("sentiment_bars", "Sentiment", "count(*)", "scored GROUP BY Sentiment"),
+        ("sentiment_share", "Sentiment", "count(*) / (SELECT total FROM totals) * 100",
+         "scored GROUP BY Sentiment"),
+        ("sentiment_trend", "concat_ws(' ', series, point_date)", "value", f"({trend_points})"),
         ("star_histogram", "Score", "count(*)", "dated GROUP BY Score"),
         ("complaint_words", "word", "mentions", "complaints"),
         ("praise_words", "word", "mentions", "praise"),
@@ -482,12 +490,7 @@ named AS (SELECT r.*, name AS intent_name FROM routed r
         "scenarios": f"{base} SELECT * FROM scenarios",
         "spike_months": f"{base} SELECT month, reviews, negative, neg_pct FROM monthly"
                         " WHERE neg_pct > 20",
-        "trend_chart":
-            base + " UNION ALL ".join(
-                f"SELECT '{c}' AS series, month AS point_date, CAST(\"{c}\" AS DOUBLE) AS value,"
-                " 'reviews' AS unit FROM by_class" for c in v.CLASSES)
-            + " UNION ALL SELECT 'Forecast', last_month, last_neg_pct, 'percent' FROM fit"
-            " UNION ALL SELECT 'Forecast', last_day(month), neg_pct, 'percent' FROM forecast",
+        "trend_chart": base + trend_points,
         "yearly": f"{base} SELECT * FROM yearly",
         "yearly_bars": f"{base} SELECT year, positive_pct, negative_pct, reviews FROM yearly",
         "top_products": f"{base} SELECT * FROM top_products",

@@ -4,6 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from opinara.operators import metrics, sentiment
+from opinara.plans.answers import answer_table
+from opinara.plans.marts import Marts
+from opinara.plans.report import report
 from opinara.sources import reviews as source
 
 QUERIES = entry.queries()
@@ -62,3 +65,15 @@ def test_word_joins_send_the_word_list_not_the_tokens(spark, sf):
     for name in ("sentiment_joined", "stop_words_joined"):
         plan = final_plan(QUERIES[name](spark, sf))
         assert "BroadcastHashJoin [word#" in plan and "BuildRight" in plan
+
+
+def test_answers_read_each_mart_once(spark, sf):
+    raw = source.reviews_from_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    marts = Marts.build(sentiment.score(source.load_reviews(raw), entry.LEXICON))
+    plans = {name: table(marts)._jdf.queryExecution().optimizedPlan().toString()
+             for name, table in (("answers", answer_table), ("report", report))}
+    reads = {name: [line for line in plan.splitlines() if "Relation [" in line and "parquet" in line]
+             for name, plan in plans.items()}
+    facts = [line for line in reads["answers"] if "ReviewLen" in line or "[Id#" in line]
+    assert len(facts) <= 3 and len(reads["answers"]) - len(facts) == 2
+    assert len(reads["report"]) == 2 and not any("n_chars" in plan for plan in plans.values())

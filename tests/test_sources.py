@@ -1,12 +1,13 @@
 """CSV dialect and loading stages."""
 
 import datetime as dt
+import gzip
 
 import pytest
 
 from opinara.operators import metrics, sentiment
 from opinara.sources import reviews as source
-from opinara.sources.sinks import table_stream
+from opinara.sources.sinks import shared_folder, table_stream
 
 CSV = '''Id,ProductId,UserId,Score,Time,Summary,Text
 1,B1,U1,5,1350777600,"Said ""wow""","Two
@@ -18,10 +19,10 @@ lines, one field"
 '''
 
 
-def load(spark, tmp_path, content=CSV, **options):
+def load(spark, tmp_path, content=CSV, multi_line=True, **options):
     path = tmp_path / "reviews.csv"
     path.write_text(content)
-    return source.read_csv(spark, str(path), **options)
+    return source.read_csv(spark, str(path), multi_line, **options)
 
 
 def test_csv_dialect(spark, tmp_path):
@@ -65,8 +66,50 @@ def test_files_with_another_header_are_refused(spark, tmp_path):
     (folder / "b.csv").write_text("Id,Score,Text\n2,4,second\n")
     assert sorted(r.Text for r in source.read_csv(spark, str(folder)).collect()) == ["first", "second"]
     (folder / "b.csv").write_text("Text,Id,Score\nsecond,2,4\n")
-    with pytest.raises(Exception, match="CSV header"):
-        source.read_csv(spark, str(folder)).collect()
+    with pytest.raises(ValueError, match="different headers"):  # before any row is read
+        source.read_csv(spark, str(folder), multi_line=False)
+    (folder / "b.csv").unlink()
+    with gzip.open(folder / "c.csv.gz", "wt") as f:
+        f.write("Id,Score,Text\n3,4,third\n")
+    assert sorted(r.Text for r in source.read_csv(spark, str(folder)).collect()) == ["first", "third"]
+
+
+def test_files_are_split_unless_a_quoted_field_holds_a_line_break(spark, tmp_path, recwarn):
+    plain = tmp_path / "plain.csv"
+    plain.write_text("Id,Score,Text\n" + "".join(f'{i},5,"text ""{i}"", and so on"\n' for i in range(5000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = source.read_csv(spark, str(plain))
+        assert got.rdd.getNumPartitions() > 4 and not recwarn.list
+        assert got.where("Text = 'text \"77\", and so on'").count() == 1 and got.count() == 5000
+        plain.write_text(plain.read_text() + '5000,1,"two\nlines"\n')
+        with pytest.warns(UserWarning, match="2 lines end inside a quoted field"):
+            got = source.read_csv(spark, str(plain))
+        assert got.rdd.getNumPartitions() == 1 and got.where("Text = 'two\nlines'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_reviews_are_dealt_out_only_when_asked(spark, sf):
+    raw = source.reviews_from_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    plain, dealt = source.load_reviews(raw), source.load_reviews(raw, spread=5)
+    assert plain.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 5
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster(spark):
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = conf
+
+    unset = {"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("spark://host:7077", **unset))
+    assert shared_folder(Session("local[2]", **unset)) == "file:/home/x/spark-warehouse"
+    assert shared_folder(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_folder(Session("yarn", **unset, **{"spark.checkpoint.dir": "file:/nfs/a"})) == "file:/nfs/a"
 
 
 def test_stars_keep_their_fractions(spark, tmp_path):
