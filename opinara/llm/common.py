@@ -13,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.sources import sinks
+
 CHUNK_CHARS = 1_000_000
 BATCH_ROWS = 2048
 WHOLE_BATCH = 1 << 30  # for work that aggregates what a batch holds
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the folder that all executors share."""
+    return f"{sinks.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
