@@ -1,22 +1,25 @@
 """HTML extraction by a site style tree.
 
-The DOM trees of all pages of a host are merged: an element of the tree is a path of tags with
-their class and id, and collects the presentations it has on the pages (the sequence of its
-children's tags) and the contents of its own text. An element's own importance is the larger of the
-entropy of its presentations and the spread of its contents: what looks the same and says the same
-on most pages of a host has neither. A branch is as important as the most important element in it,
-so noise is a branch in which nothing is important; such branches are removed from each page.
-
-Entropy says little about a host with few pages or with menus that change from page to page, so the
-declared role of an element comes first: what is declared as menu, footer, form, advert, comment and
-so on always goes, and a page with an article or main gives only that, else its body. In both the tree
-then removes the branches in which nothing is important, but never the article itself. Elements without
-content are not branches, and inline elements in a line of text go only with their line. An article of
-which nothing would be left (the same page at many addresses) is kept.
-
-Counting is pre-aggregated in each task, and the tree itself is made by grouping, so a host with a
-third of all pages is not gathered anywhere; its few noisy elements are joined back to its pages,
-which are dealt out in parts.
+The DOM trees of all pages of a host are merged. An element of the tree has presentations, the sequences
+of its children's tags that pages show (a run of equal tags counts once), and each presentation has its
+own children, by place: run, and number in the run or last of it. So an element stands for what
+pages show at one place, and collects the presentations and the own texts seen there. Its importance is the
+larger of the entropy of its presentations and the spread of its texts: what looks the same and says the
+same on most pages of a host has neither. From each page go the branches in which no element is
+important and no text is the page's own.
+
+Copies of one article must not make its text look like noise: what only pages with the same text
+throughout show counts as seen on one page. And entropy says little about a place that few pages share
+(`LEAST_PAGES`, and `LEAST_SHARE` of the pages that show the element around it), so the declared role of an
+element comes first: what is declared as menu, footer, form, advert, comment and so on always goes, and a
+page with an article or main gives only that, else its body. In both the tree then removes its branches,
+but never the article itself, and nothing from an article that would lose half of its text: that is one
+article at several addresses. Elements without content are not branches, and inline elements in a line
+of text go only with their line.
+
+Counting is pre-aggregated in each task, and the tree is made by grouping (host, element), so a host with
+a third of all pages is not gathered anywhere. The noise lists are broadcast after a check of their
+size, so pages stay where they are; larger lists are joined, where Spark splits a host that is too large.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes;
 equal pages give equal texts; a null url is a host of its own; extra columns are kept when named.
@@ -25,7 +28,8 @@ equal pages give equal texts; a null url is a host of its own; extra columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import WHOLE_BATCH, map_batches
+from opinara.llm.common import WHOLE_BATCH, map_batches, stored
 
-#: A branch goes when its importance is lower and it was seen on so many pages.
+#: An element is noise when its importance is lower and so many pages show something at its place.
 LEAST_IMPORTANCE = 0.25
-LEAST_PAGES = 8
-PARTS = 64
+LEAST_PAGES = 4
+LEAST_SHARE = 0.25
+#: Noise lists up to this size are broadcast.
+LIST_BYTES = 32_000_000
 
 # HTML's elements without content, inline elements, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,11 +55,18 @@ INLINE = frozenset(
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Tags that an equal or listed start tag ends.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
-        "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-UP_TO = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",),
-         "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Tags that a start tag of the kind ends, and those beyond which it ends none.
+_ENDINGS = {
+    "p": (("p",), ("article", "body", "div", "section", "td", "li", "blockquote")),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
+_RULES = tuple(_ENDINGS)
+_KIND = {"dd": "dt", "th": "td"} | {r: r for r in _RULES if r != "p"}
+#: For each tag, the kinds of ending that meet it on their way up.
+_MET = {tag: tuple(i for i, r in enumerate(_RULES) if tag in _ENDINGS[r][0] + _ENDINGS[r][1])
+        for r in _RULES for tag in _ENDINGS[r][0] + _ENDINGS[r][1]}
 
 # Roles by tag, ARIA role, and words of class and id.
 MAIN = frozenset(("article", "main"))
@@ -90,12 +103,17 @@ def noise_name(name: str) -> bool:
 
 
 class Node:
-    """An element: tag, path key, children (nodes and strings), role and kind of presentation."""
+    """An element: tag, place in the style tree, children (nodes and strings), role."""
 
-    __slots__ = ("children", "inside", "key", "named", "noise", "parent", "tag")
+    __slots__ = ("children", "gone", "inside", "key", "looks", "named", "near", "noise", "parent", "said", "sign",
+                 "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list[tuple[str, str | None]]):
-        self.tag, self.parent, self.children, sign = tag, parent, [], tag
+        self.tag, self.parent, self.children, sign, self.gone = tag, parent, [], tag, False
+        # For each kind of ending, the nearest element from here up that it meets.
+        near = parent.near if parent else (None,) * len(_RULES)
+        met = _MET.get(tag, ())
+        self.near = tuple(self if i in met else n for i, n in enumerate(near)) if met else near
         self.inside = parent is not None and (parent.inside or parent.tag in MAIN)
         self.noise = tag in NOISE_TAGS or (tag == "header" and not self.inside)
         self.named = None  # the id, where nothing else makes the element noise; "" for a class
@@ -118,52 +136,89 @@ class Node:
                         self.noise, self.named = True, None if parts & COMMENTS else ""
                     elif role(ids):
                         self.noise, self.named = True, kept["id"].strip()
-        self.key = xxhash.xxh64_intdigest(sign, parent.key if parent else 0)
-
-    def line(self):
-        node = self
-        while node is not None:
-            yield node
-            node = node.parent
+        self.sign = sign
 
 
 class _Builder(HTMLParser):
+    """Builds the tree in linear time: no walk up passes an element twice without closing it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", None, [])
         self.named: list[Node] = []
+        self.open: dict[str, list[Node]] = {}
+        self.closing, self.open_comments, self.lasts = False, set(), {}
+
+    def close(self):
+        self.closing = True
+        super().close()
+
+    # What has no end further on is found to have none once, not at each of its beginnings.
+
+    def _ends(self, i, sign=">"):
+        """Whether the sign stands anywhere behind place i."""
+        known = len(self.rawdata), sign
+        if known not in self.lasts:
+            self.lasts[known] = self.rawdata.rfind(sign)
+        return self.lasts[known] >= i
+
+    def check_for_whole_start_tag(self, i):
+        return super().check_for_whole_start_tag(i) if self._ends(i) else -1
+
+    def parse_pi(self, i):
+        return super().parse_pi(i) if self._ends(i) else -1
+
+    def parse_comment(self, i, report=1):
+        """An open comment takes the rest of the page."""
+        if len(self.rawdata) not in self.open_comments:
+            end = super().parse_comment(i, report)
+            if end >= 0:
+                return end
+            self.open_comments.add(len(self.rawdata))
+        return len(self.rawdata) if self.closing else -1
+
+    def parse_html_declaration(self, i):
+        section = self.rawdata.startswith("<![", i)
+        return super().parse_html_declaration(i) if self._ends(i) and (
+            not section or self._ends(i, "]>")) else -1
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
-            self._close(("p",), ("article", "body", "div", "section", "td", "li", "blockquote"))
-        if tag in ENDS:
-            self._close(ENDS[tag], UP_TO[tag])
+            self._end("p")
+        if tag in _KIND:
+            self._end(_KIND[tag])
         node = Node(tag, self.at, attrs)
         self.at.children.append(node)
         if node.noise and (node.named is not None or tag == "form"):
             self.named.append(node)
         if tag not in VOID:
             self.at = node
+            self.open.setdefault(tag, []).append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:  # a slash means nothing in HTML, except in foreign content
             if tag in ("script", "style"):
                 self.clear_cdata_mode()
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
-        self._close((tag,), ())
+        if self.open.get(tag):
+            self._leave(self.open[tag][-1])
 
     def handle_data(self, data):
         self.at.children.append(data)
 
-    def _close(self, tags, limits):
-        for node in self.at.line():
-            if node.tag in tags:
-                self.at = node.parent or self.root
-                return
-            if node.tag in limits:
+    def _end(self, kind):
+        node = self.at.near[_RULES.index(kind)]
+        if node is not None and node.tag in _ENDINGS[kind][0]:
+            self._leave(node)
+
+    def _leave(self, node):
+        while True:
+            last, self.at = self.at, self.at.parent
+            self.open[last.tag].pop()
+            if last is node:
                 return
 
 
@@ -174,9 +229,35 @@ def parse(html: str | None) -> Node:
     builder.close()
     if builder.named:
         _reconsider(builder)
+    _place(builder.root)
     return builder.root
 
 
+def _place(root: Node) -> None:
+    """Looks, own text and key of every element: its key is made of that of its parent, the parent's
+    looks and its place in them."""
+    root.key, stack = xxhash.xxh64_intdigest(root.sign), [root]
+    while stack:
+        node = stack.pop()
+        runs: list[list[Node]] = []
+        own = []
+        for child in node.children:
+            if isinstance(child, str):
+                own.append(child)
+            elif runs and runs[-1][0].tag == child.tag:
+                runs[-1].append(child)
+            else:
+                runs.append([child])
+        node.looks = xxhash.xxh64_intdigest(" ".join(run[0].tag for run in runs))
+        text = " ".join(" ".join(own).split()) if own else ""
+        node.said = xxhash.xxh64_intdigest(text) if text else 0
+        for number, run in enumerate(runs):
+            for i, child in enumerate(run):
+                place = "last" if 0 < i == len(run) - 1 else i
+                child.key = xxhash.xxh64_intdigest(f"{node.key} {node.looks} {number} {place} {child.sign}")
+                stack.append(child)
+
+
 def _read(node: Node, links: bool = False) -> tuple[int, int]:
     """The characters of readable text in an element, and how many of them are in links."""
     total, linked, stack = 0, 0, [(node, links)]
@@ -210,28 +291,33 @@ def _reconsider(builder: _Builder) -> None:
                 node.noise = False
 
 
-def styles(root: Node):
-    """(element, presentation, content) of every element that is not below a declared noise element,
-    which goes whatever it holds; content 0 without own text."""
+def styles(root: Node) -> Iterator[Node]:
+    """Every element that is not below a declared noise element, which goes whatever it holds."""
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.noise:
-            continue
-        tags, last, own = [], None, []
-        for child in node.children:
-            if isinstance(child, str):
-                own.append(child)
-            else:
-                if child.tag != last:
-                    tags.append(child.tag)
-                last = child.tag
-                stack.append(child)
-        text = " ".join(" ".join(own).split()) if own else ""
-        yield node, xxhash.xxh64_intdigest(" ".join(tags)), xxhash.xxh64_intdigest(text) if text else 0
+        if not node.noise:
+            yield node
+            stack.extend(c for c in node.children if isinstance(c, Node))
+
+
+@dataclass(frozen=True)
+class Noise:
+    """The elements of a host that are noise, and the texts that several pages show in them."""
+
+    nodes: frozenset[int]
+    said: frozenset[tuple[int, int]]
+
 
+def mark(root: Node, noise: Noise) -> None:
+    """Sets gone on the branches that go: all elements are noise, and no text is the page's own."""
+    order = list(styles(root))
+    for node in reversed(order):
+        node.gone = (node.key in noise.nodes and (not node.said or (node.key, node.said) in noise.said)
+                     and all(c.noise or c.gone for c in node.children if isinstance(c, Node)))
 
-def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
+
+def main_text(root: Node, low: Noise | None = None) -> str:
     """The blocks of the main text, in page order."""
     # The outermost articles; under elements declared as noise only where there is no other.
     tops, hidden, stack = [], [], [(root, False)]
@@ -243,17 +329,18 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
         elif node.tag not in NOISE_TAGS or not node.noise:
             stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node))
     tops = tops or hidden
-    blocks = _blocks(tops or [root], low)
-    return "\n\n".join(blocks or (_blocks(tops, frozenset()) if low else ()))
-
-
-def _in_line(node: Node) -> bool:
-    """Whether an inline element stands in a line of text."""
-    return node.tag in INLINE and any(isinstance(c, str) and c.strip() for c in node.parent.children)
-
-
-def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
-    """The blocks of text of the elements, without noise and without the branches in low."""
+    blocks = _blocks(tops or [root], False)
+    if low:
+        mark(root, low)
+        left = _blocks(tops or [root], True)
+        # An article that loses half of its text is one that stands at several addresses.
+        if left and (not tops or 2 * sum(map(len, left)) > sum(map(len, blocks))):
+            blocks = left
+    return "\n\n".join(blocks)
+
+
+def _blocks(tops: list[Node], cut: bool) -> list[str]:
+    """The blocks of text of the elements, without noise and, if cut, without the branches that go."""
     blocks, run = [], []
 
     def end():
@@ -271,7 +358,8 @@ def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
             elif over:
                 end()
             elif node is not top and (node.noise or (
-                    node.key in low and node.tag not in VOID and not _in_line(node))):
+                    cut and node.gone and node.tag not in VOID
+                    and not (node.tag in INLINE and node.parent.said))):  # inline in a line of text
                 end()
             else:
                 inline = node.tag in INLINE
@@ -285,8 +373,8 @@ def _blocks(tops: list[Node], low: frozenset[int]) -> list[str]:
     return blocks
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _unsigned(x: int) -> int:
+    return x % (1 << 64)
 
 
 def _host(url: str):
@@ -295,74 +383,92 @@ def _host(url: str):
 
 
 def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, node, n_pages, importance: one row for each element of each host's style tree."""
+    """Stored rows host, node, parent, kind (0 looks, 1 text), value, n: what is seen at each element of a
+    host's style tree on n pages; value is null for all that one page alone (or copies of one) shows, n
+    then counts such pages."""
     narrow = pages.select(_host(url).alias("h"), F.col(html).cast("string").alias("t"))
 
     def count(batch):
-        seen: dict[tuple, int] = {}
-        lines: dict[int, list[int]] = {}
+        seen: dict[tuple, list[int]] = {}
         for host, t in zip(batch["h"].to_pylist(), batch["t"].to_pylist(), strict=True):
-            own = set()  # a page counts once for an element with the same looks and text
-            for node, looks, text in styles(parse(t)):
-                if node.key not in lines:
-                    lines[node.key] = [_signed(n.key) for n in node.line()][::-1]
-                own.add((host, node.key, 0, looks))
-                if text:
-                    own.add((host, node.key, 1, text))
-            for k in own:
-                seen[k] = seen.get(k, 0) + 1
-        hosts, nodes, kinds, values = zip(*seen, strict=True)
+            nodes = list(styles(parse(t)))
+            page = xxhash.xxh64_intdigest(np.array([n.said for n in nodes], np.uint64).tobytes()) >> 1
+            for node in nodes:
+                parent = node.parent.key if node.parent else 0
+                for kind, value in ((0, node.looks), (1, node.said)):
+                    if kind == 0 or value:
+                        own = seen.setdefault((host, node.key, parent, kind, value), [0, page, page])
+                        own[0] += 1
+                        own[1], own[2] = min(own[1], page), max(own[2], page)
+        hosts, nodes, parents, kinds, values = zip(*seen, strict=True)
+        n, low, high = zip(*seen.values(), strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array([lines[k] for k in nodes], pa.list_(pa.int64())),
-             *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, values)),
-             pa.array(kinds, pa.int32()), pa.array(seen.values(), pa.int64())],
-            ["host", "line", "node", "value", "kind", "n"])
-
-    rows = map_batches(narrow, count, "host string, line array<bigint>, node bigint, value bigint,"
-                                      " kind int, n bigint", WHOLE_BATCH)
-    things = rows.groupBy("host", "node", "kind", "value").agg(
-        F.sum("n").alias("n"), F.first("line").alias("line"))
+            [pa.array(hosts, pa.string()),
+             *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, parents, values)),
+             pa.array(kinds, pa.int32()), *(pa.array(x, pa.int64()) for x in (n, low, high))],
+            ["host", "node", "parent", "value", "kind", "n", "low", "high"])
+
+    rows = map_batches(narrow, count, "host string, node bigint, parent bigint, value bigint, kind int, n bigint,"
+                                      " low bigint, high bigint", WHOLE_BATCH)
+    keys = ["host", "node", "parent", "kind"]
+    things = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("many"))
+    shared = F.when(F.col("many") | (F.col("kind") == 0) & (F.col("n") > 1), F.col("value")).alias("value")
+    return stored(things.groupBy(*keys, shared).agg(F.sum("n").alias("n")), "style-tree")
+
+
+def importance(tree: DataFrame) -> DataFrame:
+    """host, node, parent, n_pages, importance of every element of the style trees."""
     looks, said, n = F.col("kind") == 0, F.col("kind") == 1, F.col("n")
-    totals = things.groupBy("host", "node").agg(
-        F.sum(F.when(looks, n)).alias("m"), F.sum(F.when(looks, n * F.log("n"))).alias("s"),
-        F.sum(F.when(said, n)).alias("mt"), F.sum(F.when(said, n * F.log("n"))).alias("st"),
-        F.first("line").alias("line"))
+    own = F.when(F.col("value").isNotNull(), n * F.log("n")).otherwise(0.0)
+    totals = tree.groupBy("host", "node", "parent").agg(
+        F.sum(F.when(looks, n)).alias("m"), F.sum(F.when(looks, own)).alias("s"),
+        F.sum(F.when(said, n)).alias("mt"), F.sum(F.when(said, own)).alias("st"))
     # The entropy of the looks in base m (their number), and one less the mean commonness of a
     # text, which is log_m n for one that n of m show. Seen once means important.
-    one = totals.select(
-        "host", "node", "line", F.col("m").alias("n_pages"),
-        F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / F.col("m") / F.log("m")))
-        .otherwise(1.0).alias("looks"),
-        F.when(F.col("mt") > 1, 1 - F.col("st") / F.col("mt") / F.log("mt"))
-        .when(F.col("mt") == 1, 1.0).alias("said"))
-    one = one.withColumn("own", F.greatest(F.col("looks"), F.coalesce("said", F.lit(0.0))))
-    # Every element counts for itself and for those above it.
-    up = one.select("host", "own", "n_pages", F.size("line").alias("depth"),
-                    F.posexplode("line").alias("at", "above"))
-    return up.groupBy("host", F.col("above").alias("node")).agg(
-        F.max(F.when(F.col("depth") == F.col("at") + 1, F.col("n_pages"))).alias("n_pages"),
-        F.max("own").alias("importance"))
+    return totals.select(
+        "host", "node", "parent", F.col("m").alias("n_pages"), F.greatest(
+            F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0),
+            F.when(F.col("mt") > 1, 1 - F.col("st") / F.col("mt") / F.log("mt"))
+            .when(F.col("mt") == 1, 1.0).otherwise(0.0)).alias("importance"))
+
+
+def noise_lists(tree: DataFrame, least: float, least_pages: int, least_share: float = LEAST_SHARE) -> DataFrame:
+    """Stored rows host, nodes, said: the elements of low importance, and what several pages say there."""
+    every = importance(tree)
+    around = every.select("host", F.col("node").alias("parent"), F.col("n_pages").alias("around"))
+    low = every.where((F.col("importance") < least) & (F.col("n_pages") >= least_pages)).join(
+        around, ["host", "parent"], "left").where(
+        F.col("around").isNull() | (F.col("n_pages") >= least_share * F.col("around")))
+    texts = tree.where("kind = 1 AND value IS NOT NULL").select("host", "node", "value")
+    found = low.select("host", "node").join(texts, ["host", "node"], "left").groupBy("host").agg(
+        F.collect_set("node").alias("nodes"),
+        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("node", "value"))).alias("said"))
+    return stored(found, "noise-lists")
 
 
 def extract(pages: DataFrame, keep: Sequence[str], url: str = "url", html: str = "html",
-            least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+            least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES,
+            list_bytes: int = LIST_BYTES) -> DataFrame:
     """The columns in keep, text (main text, empty if none) and n_chars (its code points)."""
-    tree = site_tree(pages, url, html)
-    low = (tree.where((F.col("importance") < least) & (F.col("n_pages") >= least_pages))
-           .groupBy("host").agg(F.collect_set("node").alias("low")))
+    lists = noise_lists(site_tree(pages, url, html), least, least_pages)
+    size = lists.agg(F.sum(F.octet_length("host") + 64 + 8 * F.size("nodes") + 32 * F.size("said"))).first()[0]
     names = [f"k{i}" for i in range(len(keep))]
     cols = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
-    # The pages of a host are dealt out by their address, and its noise list is repeated for each part.
-    part = F.pmod(F.xxhash64(F.col(url)), F.lit(PARTS)).cast("int")
-    narrow = pages.select(*cols, _host(url).alias("host"), part.alias("part"),
-                          F.col(html).cast("string").alias("t"))
+    narrow = pages.select(*cols, _host(url).alias("host"), F.col(html).cast("string").alias("t"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    low = low.select("host", "low", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    joined = narrow.join(low, ["host", "part"], "left").select(*names, "t", "low")
+    lists = F.broadcast(lists) if (size or 0) <= list_bytes else lists
+    joined = narrow.join(lists, "host", "left").select(*names, "host", "t", "nodes", "said")
 
     def work(batch):
-        texts = [main_text(parse(t), frozenset(x % (1 << 64) for x in few or ()))
-                 for t, few in zip(batch["t"].to_pylist(), batch["low"].to_pylist(), strict=True)]
+        known: dict[str, Noise | None] = {}
+        texts = []
+        for i, (host, t) in enumerate(zip(batch["host"].to_pylist(), batch["t"].to_pylist(), strict=True)):
+            if host not in known:
+                nodes, said = batch["nodes"][i].as_py(), batch["said"][i].as_py()
+                known[host] = nodes and Noise(
+                    frozenset(_unsigned(x) for x in nodes),
+                    frozenset((_unsigned(x["node"]), _unsigned(x["value"])) for x in said))
+            texts.append(main_text(parse(t), known[host]))
         return pa.RecordBatch.from_arrays(
             [*(batch[n] for n in names), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])

@@ -1,8 +1,12 @@
 """Operators 2, 6, 7, 9, 10 and the pipeline: held-out accuracy, round trips, brute force."""
 
+import itertools
+import math
 import random
 import subprocess
 import sys
+import time
+from collections import Counter
 from pathlib import Path
 
 import brute
@@ -230,10 +234,10 @@ def test_html(spark):
     pages += [(6, None, '<body class="has-sidebar"><div class="site-header">Top</div><div class="with-sidebar">'
                '<article class="post"><p class="lead">In</p><div id="cookie-banner">Ok</div></article></div>'
                '<section class="reader-comments"><article class="comment">No</article></section></body>')]
-    # A host whose pages all show the same frame, declared by nothing: the tree finds it.
+    # A host whose pages all show the same frame and the same last lines, declared by nothing: the tree finds them.
     for i in range(30):
         pages.append((100 + i, f"http://c.org/{i}", f"<body><div><p>Same frame</p></div><center><p>Text {i}"
-                      f" of its own</p>{'<p>And more</p>' * (i % 4)}</center></body>"))
+                      f" of its own</p>{'<p>And more</p>' * (i % 3)}</center></body>"))
     df = spark.createDataFrame([(*p, "x", 1) for p in pages],
                                "page_id bigint, url string, html string, t string, host int")
     got = html_text.extract(df, ["page_id", "url", "host"])
@@ -243,7 +247,7 @@ def test_html(spark):
     assert (texts[2].text, texts[3].text, texts[2].n_chars) == ("", "", 0)
     assert texts[4].text == "plain &am\n\na\n\nb" and texts[5].text == "cut off here"
     assert texts[6].text == "In"
-    assert texts[102].text == "Text 2 of its own\n\nAnd more\n\nAnd more" and got.count() == len(pages)
+    assert all(texts[100 + i].text == f"Text {i} of its own" for i in range(30)) and got.count() == len(pages)
     assert texts[102].n_chars == len(texts[102].text)
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
 
@@ -254,10 +258,150 @@ def test_html_tree_inside_articles(spark):
               f'<div class="box"><p>Join us today</p></div><p>End {i * i}</p></main>') for i in range(30)]
     # The same page at many addresses is no noise.
     pages += [(100 + i, f"http://e.org/{i}", "<article><h1>One</h1><p>page</p></article>") for i in range(30)]
+    # A plain last paragraph, on few pages, behind any number of others; one page says something else there.
+    pages += [(200 + i, f"http://f.org/{i}", f"<main><h1>Title {i}</h1>" + f"<p>own {i}</p>" * (2 + i % 3)
+               + f"<p>{'Join us today' if i else 'A last word'}</p></main>") for i in range(9)]
+    # Copies of one long article among others: what only they show is theirs.
+    pages += [(300 + i, f"http://g.org/{i}", f"<main><h1>Title {min(i, 6)}</h1>"
+               + "".join(f"<p>{min(i, 6)} says {k}</p>" for k in range(4 if i < 6 else 20)) + "</main>")
+              for i in range(16)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    texts = {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
-    assert all(texts[i] == f"Title {i}\n\nNote text {i} of its own\n\nEnd {i * i}" for i in range(30))
-    assert all(texts[100 + i] == "One\n\npage" for i in range(30))
+    for bound in (html_text.LIST_BYTES, 0):  # the lists broadcast, or joined
+        texts = {r.page_id: r.text for r in html_text.extract(df, ["page_id"], list_bytes=bound).collect()}
+        assert all(texts[i] == f"Title {i}\n\nNote text {i} of its own\n\nEnd {i * i}" for i in range(30))
+        assert all(texts[100 + i] == "One\n\npage" for i in range(30))
+        for i in range(9):
+            own = [f"Title {i}"] + [f"own {i}"] * (2 + i % 3) + ["A last word"] * (i == 0)
+            assert texts[200 + i].split("\n\n") == own
+        assert all(len(texts[300 + i].split("\n\n")) == (5 if i < 6 else 21) for i in range(16))
+
+
+def random_host(rng, number):
+    """Pages of one host as trees of (tag, children): a frame that pages share, with parts of their own."""
+    def frame(depth):
+        return [rng.choice(["div", "section", "ul"] if depth else ["p", "h2", "div"]), [rng.choice(["own", "same", "often", None, *([frame(depth - 1)] * 3 if depth else [])])
+                                   for _ in range(rng.randrange(1, 4))], rng.randrange(10**6)]
+
+    frames = [frame(3) for _ in range(rng.randrange(2, 5))]
+
+    def shown(part, page):
+        tag, children, key = part
+        out = []
+        for k, child in enumerate(children):
+            if isinstance(child, list):
+                if key % 7 or page % 2:
+                    out.append(shown(child, page))
+            elif child:
+                said = {"own": f"page {page}", "same": "all", "often": "most" if page % 9 else f"but {page}"}[child]
+                out.append(f" {said} {key % 100} {k} ")
+        return (tag, out)
+
+    return [("main", [shown(f, page) for f in frames]) for page in range(rng.randrange(3, 25))]
+
+
+def as_html(tree):
+    tag, children = tree
+    return f"<{tag}>" + "".join(c if isinstance(c, str) else as_html(c) for c in children) + f"</{tag}>"
+
+
+def plain_style_tree(pages):
+    """For every page the blocks that are left, by a style tree of nested dicts."""
+    tree = {}
+
+    def own(node):
+        return " ".join(" ".join(c for c in node[1] if isinstance(c, str)).split())
+
+    def said(node):
+        return [own(node)] + [x for c in node[1] if not isinstance(c, str) for x in said(c)]
+
+    def places(node, path):
+        runs = [list(g) for _, g in itertools.groupby((c for c in node[1] if not isinstance(c, str)), lambda c: c[0])]
+        looks = tuple(r[0][0] for r in runs)
+        yield node, path, looks
+        for number, run in enumerate(runs):
+            for i, child in enumerate(run):
+                place = "last" if 0 < i == len(run) - 1 else i
+                yield from places(child, (*path, looks, number, place, child[0]))
+
+    for page in pages:
+        texts = tuple(said(page))
+        for node, path, looks in places(page, ()):
+            seen = tree.setdefault(path, ([], []))
+            seen[0].append((looks, texts))
+            if own(node):
+                seen[1].append((own(node), texts))
+
+    def entropy(values):
+        if len(values) < 2:
+            return 1.0
+        again = [n for v, n in Counter(v for v, _ in values).items()
+                 if n > 1 and len({t for x, t in values if x == v}) > 1]
+        return 1 - sum(n * math.log(n) for n in again) / len(values) / math.log(len(values))
+
+    def looks_entropy(values):
+        if len(values) < 2:
+            return 1.0
+        return 1 - sum(n * math.log(n) for n in Counter(v for v, _ in values).values()) / len(values) / math.log(
+            len(values))
+
+    def noise(path):
+        looks, texts = tree[path]
+        above = tree[path[:-4]][0] if path else looks
+        return (len(looks) >= html_text.LEAST_PAGES and len(looks) >= html_text.LEAST_SHARE * len(above)
+                and looks_entropy(looks) < html_text.LEAST_IMPORTANCE
+                and (not texts or entropy(texts) < html_text.LEAST_IMPORTANCE))
+
+    def shared(path, text):
+        return len({t for x, t in tree[path][1] if x == text}) > 1
+
+    for page in pages:
+        where = {id(node): path for node, path, _ in places(page, ())}
+
+        def goes(node, where=where):
+            path, text = where[id(node)], own(node)
+            return noise(path) and (not text or shared(path, text)) and all(
+                goes(c) for c in node[1] if not isinstance(c, str))
+
+        def blocks(node, cut, top=True):
+            if not top and cut and goes(node):
+                return
+            run = ""
+            for child in node[1]:
+                if isinstance(child, str):
+                    run += child
+                else:
+                    yield " ".join(run.split())
+                    run = ""
+                    yield from blocks(child, cut, False)
+            yield " ".join(run.split())
+
+        every, left = ([b for b in blocks(page, cut) if b] for cut in (False, True))
+        yield left if left and 2 * sum(map(len, left)) > sum(map(len, every)) else every
+
+
+def test_html_same_as_a_plain_style_tree(spark):
+    rng = random.Random(11)
+    hosts = [random_host(rng, n) for n in range(20)]
+    rows = [(h * 100 + i, f"http://h{h}.org/{i}", as_html(p)) for h, pages in enumerate(hosts) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
+    want, cut = {}, 0
+    for h, pages in enumerate(hosts):
+        for i, blocks in enumerate(plain_style_tree(pages)):
+            want[h * 100 + i] = "\n\n".join(blocks)
+            cut += want[h * 100 + i] != html_text.main_text(html_text.parse(as_html(pages[i])))
+    assert got == want and cut > 20
+
+
+@pytest.mark.parametrize("markup", [
+    "<div>" * 100_000 + "x", "<i>" * 100_000 + "</b>" * 100_000, "<p><div>" + "<i>" * 50_000 + "<hr>" * 50_000,
+    "<ul><li>" * 50_000, "<table><tr><td>" * 30_000, "<a " * 50_000, "<!--" * 50_000, "<![CDATA[" * 50_000,
+    "<p>" + "<i>a</i>" * 50_000])
+def test_html_deep_and_open_markup(markup):
+    begin = time.monotonic()
+    root = html_text.parse(markup)
+    html_text.main_text(root, html_text.Noise(frozenset([root.key]), frozenset()))
+    assert time.monotonic() - begin < 20
 
 
 def test_html_names_of_content():
