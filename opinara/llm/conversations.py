@@ -70,42 +70,53 @@ def damaged(conversations: DataFrame) -> DataFrame:
                                 F.when(kind != 0, text).alias("text"), copies.alias("copies"))
 
 
-def put(cost: int, letter: str, weight: int | None, width: int) -> int | None:
-    """The weight of a path that begins with one more edit; weight: of the rest, None for no path."""
-    if weight is None:
-        return None
-    high = weight >> (_BITS * width)
-    low = weight - (high << (_BITS * width))
-    return (((high + cost) << (_BITS * width)) + (_DIGIT[letter] << (_BITS * (width - 1)))
-            + (low >> _BITS))
+@dataclass(frozen=True)
+class Scale:
+    """How weights of audits of at most so many letters are written."""
+
+    width: int
+
+    def edit(self, cost: int, letter: str) -> int:
+        """What an edit adds to the weight of the path behind it, once that has made place for its letter."""
+        return (cost << (_BITS * self.width)) + (_DIGIT[letter] << (_BITS * (self.width - 1)))
 
+    def later(self, weight: int | None, places: int = 1) -> int | None:
+        """The same cost with all letters so many places later; None, no path, stays None."""
+        if weight is None:
+            return None
+        low = weight & ((1 << (_BITS * self.width)) - 1)
+        return weight - low + (low >> (_BITS * places))
 
-def _least(weights: Iterator[int | None]) -> int | None:
-    return min((w for w in weights if w is not None), default=None)
 
+def _least(a: int | None, b: int | None) -> int | None:
+    return b if a is None or (b is not None and b < a) else a
 
-def inserted(own: list[int | None], width: int) -> list[int | None]:
+
+def inserted(own: list[int | None], scale: Scale) -> list[int | None]:
     """The least weights from each state when rows may be inserted first; a third brings nothing new."""
-    now = own
+    now, insert = own, scale.edit(INSERT, "I")
     for _ in range(2):
-        now = [_least(iter((own[s], put(INSERT, "I", now[_WANTED[s]], width)))) for s in STATES]
+        after = {s: scale.later(now[s]) for s in (_USER, _ASSISTANT)}
+        after = {s: None if w is None else w + insert for s, w in after.items()}
+        now = [_least(own[s], after[_WANTED[s]]) for s in STATES]
     return now
 
 
-def weigh(rows: Sequence[tuple[str, str]], ends: list[int | None], width: int) -> list[int | None]:
+def weigh(rows: Sequence[tuple[str, str]], ends: list[int | None], scale: Scale) -> list[int | None]:
     """The least weight from each state over rows of (initial of the role, fault) to the ends given."""
-    now = ends
+    now, delete = ends, scale.edit(DELETE, "D")
+    stay = {more: (scale.edit(REROLE + more, "R"), scale.edit(KEEP + more, "K")) for more in (0, TRUNCATED)}
     for initial, fault in reversed(rows):
-        own = []
-        for s in STATES:
-            paths = [put(DELETE, "D", now[s], width)]
-            if fault not in ("blank", "duplicate"):
-                more = TRUNCATED if fault == "truncated" else 0
-                paths.append(put(REROLE + more, "R", now[_WANTED[s]], width))
-                if initial in _AFTER[s]:
-                    paths.append(put(KEEP + more, "K", now[_AFTER[s][initial]], width))
-            own.append(_least(iter(paths)))
-        now = inserted(own, width)
+        after = [scale.later(w) for w in now]
+        own = [None if w is None else w + delete for w in after]
+        if fault not in ("blank", "duplicate"):
+            rerole, keep = stay[TRUNCATED if fault == "truncated" else 0]
+            for s in STATES:
+                if (w := after[_WANTED[s]]) is not None:
+                    own[s] = _least(own[s], w + rerole)
+                if initial in _AFTER[s] and (w := after[_AFTER[s][initial]]) is not None:
+                    own[s] = _least(own[s], w + keep)
+        now = inserted(own, scale)
     return now
 
 
@@ -127,8 +138,8 @@ def letters(weight: int, width: int) -> str:
 
 def matrix(rows: Sequence[tuple[str, str]]) -> list[list[int | None]]:
     """For each end state the least weights of a block from every state."""
-    width = width_of(len(rows))
-    return [weigh(rows, [0 if s == t else None for s in STATES], width) for t in STATES]
+    scale = Scale(width_of(len(rows)))
+    return [weigh(rows, [0 if s == t else None for s in STATES], scale) for t in STATES]
 
 
 def edited(audit: str, state: int, rows: Sequence[tuple[str, str]]) -> tuple[list[tuple], int]:
@@ -258,13 +269,14 @@ def solve(blocks: Sequence[dict]) -> Solution:
         flat = [None if w is None else int.from_bytes(w, "big") for w in b["weights"]]
         weights.append([flat[i:i + len(STATES)] for i in range(0, len(flat), len(STATES))])
     width = sum(widths) + 2
-    now = inserted([0 if s in _ENDS else None for s in STATES], width)
+    scale = Scale(width)
+    now = inserted([0 if s in _ENDS else None for s in STATES], scale)
     tails, choices = list(now), []
     for own, ends in zip(reversed(widths), reversed(weights), strict=True):
         best, choice = [None] * 4, [0] * 4
         for s in STATES:
             for t in STATES:
-                joined = _joined(ends[t][s], own, now[t], width)
+                joined = _joined(ends[t][s], own, now[t], scale)
                 if joined is not None and (best[s] is None or joined < best[s]):
                     best[s], choice[s] = joined, t
         now = best
@@ -289,16 +301,14 @@ def solve(blocks: Sequence[dict]) -> Solution:
     return Solution(figures, audits, states, tail)
 
 
-def _joined(block: int | None, own: int, rest: int | None, width: int) -> int | None:
+def _joined(block: int | None, own: int, rest: int | None, scale: Scale) -> int | None:
     """The weight of a block's path and then the rest: costs add up, the letters follow."""
     if block is None or rest is None:
         return None
     cost, digits = block >> (_BITS * own), block & ((1 << (_BITS * own)) - 1)
     used = own - ((digits & -digits).bit_length() - 1) // _BITS if digits else 0
-    high = rest >> (_BITS * width)
-    low = rest - (high << (_BITS * width))
-    return (((high + cost) << (_BITS * width)) + (digits << (_BITS * (width - own)))
-            + (low >> (_BITS * used)))
+    return ((cost << (_BITS * scale.width)) + (digits << (_BITS * (scale.width - own)))
+            + scale.later(rest, used))
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -330,7 +340,7 @@ def _dealt(rows: DataFrame, block_rows: int) -> DataFrame:
     counted = plain.groupBy(*own).agg(F.sum("copies").cast("int").alias("copies")).withColumn(
         "body", F.md5(F.concat_ws("\u0001", F.octet_length("role").cast("string"), "role", "text").cast("binary")))
     place = F.coalesce(F.col("turn").cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
-    seen = counted.where(F.col("role").isNotNull()).groupBy("conv_id", "body").agg(
+    seen = counted.groupBy("conv_id", "body").agg(
         F.min(place).alias("first"), F.max(place).alias("last"), F.sum("copies").alias("all"))
     # The number of all copies only keeps both readers of the counted rows alike, so they share a shuffle.
     seen = seen.where((F.col("first") < F.col("last")) & (F.col("all") > 1)).select(
