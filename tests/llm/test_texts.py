@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import brute
 import compare
@@ -159,7 +160,7 @@ def test_license_blocks(spark):
             (7, "the license under mit was released"), (8, "all rights reserved, cc by")]
     got = {r.doc_id: r for r in licenses.scan(table(spark, rows), ["doc_id", "t", "score"][:1]).collect()}
     assert (got[1].labels, got[1].score, got[1].n_base, got[1].first_word) == ("apache-2.0", 1.0, 0, None)
-    assert (got[2].labels, got[3].labels, got[7].labels) == ("mit", "", "mit")
+    assert (got[2].labels, got[3].labels, got[7].labels) == ("mit", "mit", "mit")
     assert (got[4].n_base, got[4].first_word, got[4].last_word, got[4].base_labels) == (2, 0, 2, "cc-by")
     assert (got[5].n_words, got[5].labels, got[5].score, got[6].n_words) == (0, "", 0.0, 0)
     assert (got[8].base_labels, got[8].first_word, got[8].last_word) == ("cc-by,reserved", 0, 3)
@@ -167,6 +168,82 @@ def test_license_blocks(spark):
     assert licenses.scan(table(spark, rows).limit(0), ["doc_id"]).count() == 0
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def notice(label, at=-1):
+    return [t for name, _, t in licenses.TEMPLATES if name == label][at]
+
+
+#: (text, labels by hand)
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3.0,gpl"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1", "gpl,lgpl-2.1"),
+    ("Licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+    ("licensed under the GNU\nGeneral Public\nLicense version 2", "gpl,gpl-2.0"),
+    ("First of all.\n\nReleased under the\n\nMIT License.\nAnd more.", "mit"),
+    (wrapped(notice("mit"), 60, " * "), "mit"),
+    ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrapped(notice("mit"), 78), "mit"),
+    (wrapped(notice("bsd-3-clause") + " " + notice("bsd-2-clause").split("distribution. ")[1], 70, "# "), "bsd-3-clause"),
+    (wrapped(notice("bsd-2-clause"), 70, "# "), "bsd-2-clause"),
+    (wrapped(notice("bsd"), 40), "bsd"),
+    (wrapped(notice("apache-2.0"), 50).replace("at\n", "at\n http://www.apache.org/licenses/LICENSE-2.0 \n"), "apache-2.0"),
+    (wrapped(notice("lgpl-2.1", 1), 72), "gpl,lgpl-2.1"),
+    (wrapped(notice("gpl-3.0"), 72), "gpl,gpl-3.0"),
+    (wrapped(notice("agpl-3.0"), 72), "agpl-3.0,gpl"),
+    (wrapped(notice("zlib"), 66), "zlib"),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+    ("CC BY-NC 4.0 was licensed under other terms.\nLicensed under CC BY 4.0", "cc-by,cc-by-4.0,cc-by-nc-4.0"),
+    # Words that stand scattered over a long text are no notice.
+    ("\n".join(f"word{i} {w} other{i}" for i, w in enumerate("released under the mit license".split())
+               for _ in range(9)), ""),
+    ("the house is under the hill", ""),
+]
+
+
+def test_license_notices_by_hand(spark):
+    docs = table(spark, [(i, t) for i, (t, _) in enumerate(NOTICES)])
+    got = {r.doc_id: r.labels for r in licenses.scan(docs, ["doc_id"]).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(NOTICES)}
+
+
+def test_license_blocks_same_as_all_pairs():
+    """The filters lose nothing: against every block and every template, for random words and lines."""
+    rng = random.Random(6)
+    templates = [(f"l{i}", " ".join(w[:i % 3]), " ".join(w)) for i in range(12)
+                 for w in [rng.sample([f"t{k}" for k in range(14)], rng.randrange(1, 9))]]
+    for _ in range(400):
+        index = licenses.Index(templates, {f"t{k}".encode(): rng.randrange(5) for k in range(14)}, (3, 4))
+        lines = [[f"t{rng.randrange(20)}".encode() for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(8))]
+        want, hits = {}, {}
+        for start in range(len(lines)):
+            for label, needs, text in templates:
+                words, block = text.encode().split(), list(lines[start])
+                for line in lines[start + 1:]:
+                    if len(block) + len(line) > licenses.SLACK * len(words):
+                        break
+                    block += line
+                share = len(set(words) & set(block)) / len(set(words))
+                if 4 * len(set(words) & set(block)) >= 3 * len(set(words)) and set(needs.encode().split()) <= set(block):
+                    hits.setdefault(start, []).append((label, set(needs.split()), share))
+        for found in hits.values():
+            for label, needs, share in found:
+                if not any(needs < other for _, other, _ in found):
+                    want[label] = max(want.get(label, 0), share)
+        assert index.matches(lines) == want
+
+
+def test_no_affero_without_the_word(spark):
+    rows = queries.op3_licenses(spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
+    assert any("gpl-3.0" in r.labels.split(",") for r in rows)
+    assert all("affero" in r.text.lower() for r in rows if "agpl" in r.labels)
+
+
 def test_pieces_without_dropout_are_the_models_own(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["  two  blanks ", "\n\n", " ", "a", "", "é漢\t字", "w" * 200, "\U0001f600\x7f", "word " * 9]
