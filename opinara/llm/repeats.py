@@ -10,10 +10,12 @@ Choosing the groups. Every passage holds a word group of `GRAM` words with the l
 and equal passages have equal anchors. (1) The anchors of each document are counted; only those in
 two documents or more can belong to a repeat, which leaves most of the corpus out before any text
 is moved. (2) Suffixes are grouped by the anchor, and neighbouring suffixes with one anchor travel
-as one piece of text. (3) An anchor with more than `SPLIT_ROWS` pieces gets a longer prefix: its
-suffixes are grouped by their first `LONG_PREFIX` words instead. Equal pieces are merged in each
-task before the shuffle, keeping the smallest and largest document, so a group of copies of any size
-arrives as a few rows; which document a piece was cut from is joined back by the piece's digest.
+as one piece of text. (3) An anchor whose pieces hold more than `TREE_WORDS` words together gets the
+longest prefix there is, the whole passage: then a group is a node of its own, and all that is asked of
+it, the smallest and largest document, is an aggregate that never lists its suffixes. So no task holds more
+than twice `TREE_WORDS` words of a tree. Equal pieces are merged in each task before the shuffle, keeping
+the smallest and largest document, so a group of copies of any size arrives as a few rows; which
+document a piece was cut from is joined back by the piece's digest.
 
 Defined cases: null texts have no words; documents with fewer words than the window keep all; rows
 with a null key keep all and do not count as a document; rows that repeat a key are one document,
@@ -35,10 +37,8 @@ from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, mix,
 
 WINDOW = 50
 GRAM = 10
-LONG_PREFIX = 30
-SPLIT_ROWS = 50_000
 MOST_WINDOWS = 256
-TREE_WORDS = 1_000_000
+TREE_WORDS = 250_000
 
 
 def _bytes(texts: list[str]) -> list[bytes]:
@@ -111,27 +111,24 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def _pieces(texts: list[str | None], anchors, large, window: int):
-    """(row, first word, windows, route, text of the piece) for the windows with a listed anchor."""
+    """(row, first word, windows, anchor, text of the piece) for the windows with a listed anchor; those
+    of a large anchor one by one."""
     for first, part in chunks(texts):
         raw = _bytes(part)
-        (whose, place, count, anchor), (owner, at, h) = anchored_runs(raw, window)
+        (whose, place, count, anchor), (owner, at, _) = anchored_runs(raw, window)
         if not len(whose):
             continue
         joined = b"\n".join(raw) + b"\n"
         starts = np.searchsorted(owner, np.arange(len(part)))
-        long = grams(h, min(LONG_PREFIX, window))
         ends = np.append(at[1:], len(joined))
         for w, p, n, a in zip(whose.tolist(), place.tolist(), count.tolist(), anchor.tolist(), strict=True):
             row = first + w
             if a in anchors[row]:
                 own = p - int(starts[w])
-                if a in large[row]:
-                    for i in range(n):
-                        text = joined[at[p + i]:ends[p + i + window - 1]]
-                        yield row, own + i, 1, int(long[p + i].view(np.int64)), b" ".join(text.split())
-                else:
-                    text = joined[at[p]:ends[p + n - 1 + window - 1]]
-                    yield row, own, n, a, b" ".join(text.split())
+                step = 1 if a in large[row] else n
+                for i in range(0, n, step):
+                    text = joined[at[p + i]:ends[p + i + step - 1 + window - 1]]
+                    yield row, own + i, step, a, b" ".join(text.split())
 
 
 def deep_nodes(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -180,35 +177,39 @@ def subtree(rows: list[tuple[bytes, int, int]], window: int) -> Iterator[tuple]:
 
 
 def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW,
-                 split_rows: int = SPLIT_ROWS) -> DataFrame:
+                 tree_words: int = TREE_WORDS) -> DataFrame:
     """doc, sign (hash of the text), spans: array of (first word, words) whose windows also start in
     a document with a smaller key; one row for each document with any."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("sign"),
                        F.col(text).cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
 
     def anchors(batch):
-        ids, out_doc, out_anchor = batch["doc"].to_numpy(), [], []
+        ids, out_doc, out_anchor, out_words = batch["doc"].to_numpy(), [], [], []
         for first, part in chunks(batch["t"].to_pylist()):
-            (whose, _, _, anchor), _ = anchored_runs(_bytes(part), window)
+            (whose, _, count, anchor), _ = anchored_runs(_bytes(part), window)
             out_doc.append(ids[first + whose])
             out_anchor.append(anchor)
+            out_words.append(count + window - 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_anchor)), pa.array(np.concatenate(out_doc))], ["anchor", "doc"])
+            [pa.array(np.concatenate(x)) for x in (out_anchor, out_doc, out_words)], ["anchor", "doc", "words"])
 
-    found = stored(map_batches(rows.select("doc", "t"), anchors, "anchor bigint, doc bigint"), "anchors")
+    found = stored(map_batches(rows.select("doc", "t"), anchors, "anchor bigint, doc bigint, words bigint"), "anchors")
     again = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"),
-                                        F.count("*").alias("n")).where("a < b")
-    marks = found.join(again.select("anchor", (F.col("n") > split_rows).alias("large")), "anchor")
+                                        F.sum("words").alias("words")).where("a < b")
+    marks = found.join(again.select("anchor", (F.col("words") > tree_words).alias("large")), "anchor")
     marks = marks.groupBy("doc").agg(
         F.collect_set("anchor").alias("anchors"),
         F.collect_set(F.when(F.col("large"), F.col("anchor"))).alias("large"))
     some = stored(rows.join(marks, "doc"), "repeating")
 
+    def sets(batch):
+        return [[set(x) for x in batch[c].to_pylist()] for c in ("anchors", "large")]
+
     def cut(batch):
-        ids = batch["doc"].to_pylist()
-        sets = [[set(x) for x in batch[c].to_pylist()] for c in ("anchors", "large")]
-        merged: dict[tuple, list[int]] = {}
-        for row, _, _, route, piece in _pieces(batch["t"].to_pylist(), *sets, window):
+        ids, merged = batch["doc"].to_pylist(), {}
+        listed, large = sets(batch)
+        small = [x - y for x, y in zip(listed, large, strict=True)]
+        for row, _, _, route, piece in _pieces(batch["t"].to_pylist(), small, large, window):
             own = merged.setdefault((route, piece), [ids[row], ids[row]])
             own[0], own[1] = min(own[0], ids[row]), max(own[1], ids[row])
         if not merged:
@@ -218,8 +219,24 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
              pa.array([v[0] for v in merged.values()]), pa.array([v[1] for v in merged.values()])],
             ["route", "piece", "low", "high"])
 
+    def whole(batch):
+        ids, merged = batch["doc"].to_pylist(), {}
+        large = sets(batch)[1]
+        for row, _, _, _, piece in _pieces(batch["t"].to_pylist(), large, large, window):
+            own = merged.setdefault(_digest(piece), [ids[row], ids[row]])
+            own[0], own[1] = min(own[0], ids[row]), max(own[1], ids[row])
+        if not merged:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in merged]), pa.array([k[1] for k in merged]),
+             pa.array([v[0] for v in merged.values()]), pa.array([v[1] for v in merged.values()])],
+            ["s1", "s2", "low", "high"])
+
     groups = map_batches(some, cut, "route bigint, piece binary, low bigint, high bigint", WHOLE_BATCH)
     groups = groups.repartition("route").sortWithinPartitions("route")
+    passages = map_batches(some.where(F.size("large") > 0), whole, "s1 bigint, s2 bigint, low bigint, high bigint",
+                           WHOLE_BATCH).groupBy("s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    none = F.array().cast("array<int>")
 
     def trees(batches):
         held, words, last = [], 0, None
@@ -235,7 +252,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
         for batch in batches:
             for route, *row in zip(*(batch[c].to_pylist() for c in ("route", "piece", "low", "high")),
                                    strict=True):
-                if route != last and words >= TREE_WORDS:
+                if route != last and words >= tree_words:
                     yield from grow()
                     held, words = [], 0
                 held.append(row)
@@ -247,11 +264,12 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
 
     nodes = groups.mapInArrow(
         trees, "s1 bigint, s2 bigint, low bigint, offsets array<int>, lengths array<int>")
+    nodes = nodes.unionAll(passages.where("low < high").select(
+        "s1", "s2", "low", none.alias("offsets"), none.alias("lengths")))
 
     def occurrences(batch):
-        sets = [[set(x) for x in batch[c].to_pylist()] for c in ("anchors", "large")]
         out = [(*_digest(piece), row, own, n)
-               for row, own, n, _, piece in _pieces(batch["t"].to_pylist(), *sets, window)]
+               for row, own, n, _, piece in _pieces(batch["t"].to_pylist(), *sets(batch), window)]
         if not out:
             return None
         s1, s2, row, own, n = zip(*out, strict=True)

@@ -46,17 +46,30 @@ def passages(seed, n_docs, n_shared, length, vocabulary=300):
     return rows
 
 
-@pytest.mark.parametrize("split_rows", [50_000, 1])
-def test_repeats(spark, split_rows):
+@pytest.mark.parametrize("tree_words", [repeats.TREE_WORDS, 1])
+def test_repeats(spark, tree_words):
     rows = passages(1, 60, 5, 40) + [(100, "a b " * 60), (101, "a b " * 50), (102, "b a " * 50)]
     want = brute.stripped(rows, 12)
     docs = table(spark, rows).repartition(5)
-    spans = repeats.find_repeats(docs, window=12, split_rows=split_rows)
+    spans = repeats.find_repeats(docs, window=12, tree_words=tree_words)
     got = repeats.strip(docs, spans).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
     assert any(n for _, n, _ in want.values())
 
 
+def test_repeats_with_one_header_in_a_third_of_all_documents(spark):
+    """Headers shorter than the window, each followed by a text of its own: nothing of it merges."""
+    rng = random.Random(12)
+    for length in (10, 11):
+        header = [f"h{k}" for k in range(length)]
+        rows = [(i, " ".join((header if i % 3 == 0 else []) + [f"w{rng.randrange(10**6)}" for _ in range(14)]))
+                for i in range(3000)]
+        rows += [(9000 + i, rows[i][1]) for i in range(6)]
+        docs = table(spark, rows)
+        got = repeats.strip(docs, repeats.find_repeats(docs, window=12, tree_words=3000)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute.stripped(rows, 12)
+
+
 def test_repeats_odd_rows(spark):
     docs = table(spark, [*ODD, ODD[6]])
     got = repeats.strip(docs, repeats.find_repeats(docs))
