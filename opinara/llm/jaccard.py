@@ -13,8 +13,10 @@ the most common is the centre, and each other set is joined to it alone. That lo
 counts for the classes: if a and b share no difference from the centre c (nothing both added or both
 lack), then J(a, b) <= min(J(a, c), J(b, c)), so a linked pair is linked through c already. Sets not
 linked to the centre are compared with those that share a difference, by an index of the differences
-inside the group. A group with more than `HELD` differences is not held in one task: it is dealt out
-again by its single differences, of which linked sets share one within a prefix.
+inside the group. A group of more than `PART` sets is dealt out in parts, each with a copy of the centre;
+what is not linked to the centre there (and nothing else: two sets that are need no link of their own) then
+looks for its partners by a join on single differences, the rarest of its own first, as many as linked
+sets must share one of. Neither a part nor a join holds a group's sets in one task.
 
 Verification uses whole sets, so every link reported is exact up to 64-bit hashes, and classes are
 the connected components of all links.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, slices, stored
@@ -42,7 +44,7 @@ CELLS = 1 << 20
 BLOCK = 1 << 12
 MOST_MATCHES = 5
 SMALL = 16
-HELD = 4_000_000
+PART = 256
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -288,13 +290,25 @@ def cross(ids: list[int], sizes: np.ndarray, lacks: np.ndarray, deltas: list[np.
                 yield ids[i], ids[j]
 
 
-def compare(groups: DataFrame, n: int, threshold: tuple[int, int], held: int = HELD) -> DataFrame:
-    """Compares the members of each centre. groups: c1, c2, kind (0: the centre itself, 1: to be
-    compared with it alone, 2: with the other members too), rep, t. Gives a, b for links; and for
-    groups too large for one task, rows with centre, a, size, lacks and deltas instead."""
+def dealt(members: DataFrame, part: int) -> DataFrame:
+    """c1, c2, part, split, b1, b2, kind: the members of large groups in parts, the centre (kind 0) in each."""
+    sizes = members.groupBy("c1", "c2").count()
+    large = sizes.where(F.col("count") > part).select("c1", "c2", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    rows = members.join(large, ["c1", "c2"], "left")
+    own = F.array(F.pmod(F.xxhash64("b1", "b2"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    put = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("kind") == 0, every).otherwise(own)
+    return rows.select("c1", "c2", F.explode(put).alias("part"), F.col("parts").isNotNull().alias("split"),
+                       "b1", "b2", "kind")
+
+
+def compare(groups: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Compares the members of each centre. groups: c1, c2, part, split, kind (0: the centre itself, 1: to
+    be compared with it alone, 2: with the other members too), rep, t. Gives a, b for links; and for the
+    groups that are split, rows with centre, a, size, lacks, near and deltas instead of inner links."""
     def run(batches):
-        now, centre, rep, members, weight, over, out, rest = None, None, None, [], 0, False, [], []
-        batches = slices(batches)
+        now, centre, rep, members, out, rest = None, None, None, [], [], []
+        batches = slices(batches, 256)
 
         def finish():
             if members:
@@ -304,45 +318,36 @@ def compare(groups: DataFrame, n: int, threshold: tuple[int, int], held: int = H
 
         def batch_of():
             k, m = len(out), len(rest)
-            r = list(zip(*rest, strict=True)) or [[]] * 6
+            r = list(zip(*rest, strict=True)) or [[]] * 7
             made = pa.RecordBatch.from_arrays(
                 [pa.array([*(x[0] for x in out), *r[1]], pa.int64()),
                  pa.array([*(x[1] for x in out), *[None] * m], pa.int64()),
-                 pa.array([*[None] * k, *r[0]], pa.int64()), pa.array([*[None] * k, *r[2]], pa.int64()),
-                 pa.array([*[None] * k, *r[3]], pa.int64()), pa.array([*[None] * k, *r[4]], pa.int64()),
-                 pa.array([*[None] * k, *map(bool, r[5])], pa.bool_()),
-                 pa.array([*[None] * k, *(x[6] for x in rest)], pa.list_(pa.int64()))],
+                 *(pa.array([*[None] * k, *r[i]], pa.int64()) for i in (0, 2, 3, 4)),
+                 pa.array([*[None] * k, *r[5]], pa.bool_()),
+                 pa.array([*[None] * k, *r[6]], pa.list_(pa.int64()))],
                 ["a", "b", "centre", "size", "lacks", "centre_size", "near", "deltas"])
             out.clear()
             rest.clear()
             return made
 
-        def spill(m):
-            rest.append((rep, m[0], m[1], m[2], len(centre), m[4], m[3].view(np.int64).tolist()))
-
         for batch in batches:
             sets = shingle_sets(batch["t"].to_pylist(), n)
-            cols = [batch[c].to_pylist() for c in ("c1", "c2", "kind", "rep")]
-            for c1, c2, kind, own, s in zip(*cols, sets, strict=True):
-                if (c1, c2) != now:
+            cols = [batch[c].to_pylist() for c in ("c1", "c2", "part", "split", "kind", "rep")]
+            for c1, c2, part, split, kind, own, s in zip(*cols, sets, strict=True):
+                if (c1, c2, part) != now:
                     finish()
-                    now, centre, rep, members, weight, over = (c1, c2), s, own, [], 0, False
+                    now, centre, rep, members = (c1, c2, part), s, own, []
                     continue  # kind 0 comes first
                 overlap = len(np.intersect1d(s, centre, assume_unique=True))
                 near = bool(linked(overlap, len(s), len(centre), threshold))
                 if near:
                     out.append((rep, own))
                 if kind == 2:
-                    delta = np.setxor1d(s, centre, assume_unique=True)
-                    m = (own, len(s), len(centre) - overlap, delta, near)
-                    weight += len(delta) + 8
-                    if over or weight > held:
-                        for x in members:
-                            spill(x)
-                        members, over = [], True
-                        spill(m)
+                    delta, lacks = np.setxor1d(s, centre, assume_unique=True), len(centre) - overlap
+                    if split:
+                        rest.append((rep, own, len(s), lacks, len(centre), near, delta.view(np.int64).tolist()))
                     else:
-                        members.append(m)
+                        members.append((own, len(s), lacks, delta, near))
             if out or rest:
                 yield batch_of()
         finish()
@@ -350,50 +355,44 @@ def compare(groups: DataFrame, n: int, threshold: tuple[int, int], held: int = H
             yield batch_of()
         give_back()
 
-    order = groups.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "kind")
+    order = groups.repartition("c1", "c2", "part").sortWithinPartitions("c1", "c2", "part", "kind")
     return order.mapInArrow(run, "a bigint, b bigint, centre bigint, size bigint, lacks bigint,"
                                  " centre_size bigint, near boolean, deltas array<bigint>")
 
 
 def compare_rest(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The links inside the groups too large for one task: members meet by a difference from their
-    centre that both have within a prefix of their differences."""
+    """The links inside the groups that are split: every member not linked to the centre meets those
+    with one of its rarest differences from the centre, then whole lists decide."""
+    lonely = rest.where(~F.col("near"))
+    rest = rest.join(lonely.select("centre").distinct(), "centre", "left_semi")
+    single = rest.select("centre", "a", F.explode("deltas").alias("d"))
+    counts = single.groupBy("centre", "d").agg(F.count("*").alias("n")).where("n > 1")
     need = F.ceil(F.col("size") * threshold[0] / threshold[1])
-    asked = F.greatest(F.lit(1), need - F.col("centre_size") + F.col("lacks"))
-    keys = F.slice(F.array_sort(F.transform("deltas", lambda d: F.struct(F.xxhash64(d), d.alias("d")))),
-                   F.lit(1), F.greatest(F.lit(0), F.size("deltas") - asked + 1).cast("int"))
-    rows = rest.select("*", F.explode(keys).alias("k")).withColumn("k", F.col("k.d"))
-
-    def run(batches):
-        now, members = None, []
-
-        def finish():
-            if len(members) < 2:
-                return None
-            ids, sizes, lacks, deltas, near, size = zip(*members, strict=True)
-            found = list(cross(list(ids), np.array(sizes), np.array(lacks), list(deltas),
-                               np.array(near), size[0], threshold))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            cols = [batch[c].to_pylist() for c in
-                    ("centre", "k", "a", "size", "lacks", "deltas", "near", "centre_size")]
-            for c, k, a, size, lacks, deltas, near, centre_size in zip(*cols, strict=True):
-                if (c, k) != now:
-                    if (made := finish()) is not None:
-                        yield made
-                    now, members = (c, k), []
-                members.append((a, size, lacks, np.array(deltas, np.int64), near, centre_size))
-        if (made := finish()) is not None:
-            yield made
-
-    order = rows.repartition("centre", "k").sortWithinPartitions("centre", "k")
-    return order.mapInArrow(run, "a bigint, b bigint")
+    # Linked sets share so many differences, so one of the rarest size - asked + 1 is shared; those
+    # that nobody else has are the rarest of all.
+    asked = F.greatest(F.lit(1), need - F.col("centre_size") + F.col("lacks")).cast("int")
+    own = lonely.select("centre", "a", F.size("deltas").alias("all"), asked.alias("asked"),
+                        F.explode("deltas").alias("d")).join(counts, ["centre", "d"])
+    known = Window.partitionBy("centre", "a")
+    place = F.row_number().over(known.orderBy(F.desc("n"), F.xxhash64("d")))  # from the commonest
+    keys = own.withColumn("place", place).where(F.col("place") >= F.col("asked")).select(
+        "centre", "d", F.col("a").alias("x"))
+    pairs = keys.join(single, ["centre", "d"]).where("x != a").select(
+        "centre", F.least("x", "a").alias("x"), F.greatest("x", "a").alias("y")).distinct()
+
+    def side(name: str) -> DataFrame:
+        return rest.select("centre", "centre_size", F.col("a").alias(name), F.col("size").alias(f"{name}_size"),
+                           F.col("lacks").alias(f"{name}_lacks"), F.col("deltas").alias(f"{name}_deltas"))
+
+    both = pairs.join(side("x"), ["centre", "x"]).join(side("y").drop("centre_size"), ["centre", "y"])
+    common = F.size(F.array_intersect("x_deltas", "y_deltas"))
+    overlap = F.col("centre_size") - F.col("x_lacks") - F.col("y_lacks") + common
+    return both.where(linked(overlap, F.col("x_size"), F.col("y_size"), threshold)).select(
+        F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100),
-                    text: str = "text", key: str = "doc_id", held: int = HELD) -> DataFrame:
+                    text: str = "text", key: str = "doc_id", part: int = PART) -> DataFrame:
     """doc, body (xxhash64 of the text), n_shingles, component (least doc of its class): one row for
     each row of docs. threshold: links need threshold[1] * intersection >= threshold[0] * union."""
     parts = survey(docs, n, text, key)
@@ -405,18 +404,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     met = stored(meetings(prefixes(docs, counts, n, threshold, text, key), threshold), "meetings")
     members = met.select("c1", "c2", "b1", "b2", (F.col("star") + 1).alias("kind")).unionAll(
         met.select("c1", "c2", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(0)).distinct())
+    members = stored(dealt(members, part), "members")
     wanted = members.select(F.col("b1").alias("s1"), F.col("b2").alias("s2")).distinct()
     reps = classes.join(wanted, ["s1", "s2"], "left_semi")
     texts = docs.select(F.col(key).cast("bigint").alias("rep"), F.xxhash64(text).alias("body"),
                         F.col(text).cast("string").alias("t"))
     found = reps.join(texts, ["rep", "body"]).select("s1", "s2", "rep", "t").dropDuplicates(["s1", "s2"])
     groups = members.join(found.withColumnsRenamed({"s1": "b1", "s2": "b2"}), ["b1", "b2"]).select(
-        "c1", "c2", "kind", "rep", "t")
-    compared = stored(compare(groups, n, threshold, held), "compared")
+        "c1", "c2", "part", "split", "kind", "rep", "t")
+    compared = stored(compare(groups, n, threshold), "compared")
     edges = compared.where("centre IS NULL").select("a", "b").unionAll(
         compare_rest(compared.where("centre IS NOT NULL"), threshold))
-    part = components(edges, "a", "b").withColumnRenamed("node", "rep")
-    ids = classes.select("s1", "s2", "rep").join(part, "rep", "left").select(
+    linked_to = components(edges, "a", "b").withColumnRenamed("node", "rep")
+    ids = classes.select("s1", "s2", "rep").join(linked_to, "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component"))
     searched = F.when((F.col("size") > 0) & F.col("doc").isNotNull(), F.col("s1"))
     return (sets.withColumn("s1", searched).join(ids, ["s1", "s2"], "left")

@@ -97,16 +97,54 @@ def near_copies(seed, groups, copies, length, edits):
     return rows
 
 
-@pytest.mark.parametrize(("n", "num", "held"), [(3, 90, 4_000_000), (3, 90, 10), (5, 80, 4_000_000),
-                                                (5, 80, 10)])
-def test_jaccard(spark, n, num, held):
+@pytest.mark.parametrize(("n", "num", "part"), [(3, 90, jaccard.PART), (3, 90, 4), (5, 80, jaccard.PART), (5, 80, 4)])
+def test_jaccard(spark, n, num, part):
     rows = near_copies(2, 3, 45, 120, 5) + [(1000 + i, t) for i, t in passages(3, 40, 4, 40)]
     want = brute.jaccard_classes(rows, n, num, 100)
-    found = jaccard.near_duplicates(table(spark, rows).repartition(6), n, (num, 100), held=held)
+    found = jaccard.near_duplicates(table(spark, rows).repartition(6), n, (num, 100), part=part)
     assert {r.doc: (r.n_shingles, r.component) for r in found.collect()} == want
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def classes_by_matrix(rows, n, num):
+    """{id: smallest id reachable}, from the overlaps of all pairs as one matrix product."""
+    sets = [brute.shingles(t, n) for _, t in rows]
+    number = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    hits = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        hits[i, [number[x] for x in s]] = 1
+    size, overlap = hits.sum(1), hits @ hits.T
+    linked = 100 * overlap >= num * (size[:, None] + size[None] - overlap)
+    best = np.arange(len(sets))
+    while True:
+        now = np.where(linked, best[None], len(sets)).min(1)
+        if (now == best).all():
+            return {i: rows[b][0] for (i, _), b in zip(rows, best.tolist(), strict=True)}
+        best = now
+
+
+def test_jaccard_of_many_near_copies(spark):
+    """Near copies with edits of their own: right classes, and no part of more than some hundred rows."""
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(3000):
+        text = list(base)
+        for _ in range(1 + (i % 10 == 0) * rng.randrange(9)):
+            text[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    docs = table(spark, rows).repartition(8)
+    got = {r.doc: r.component for r in jaccard.near_duplicates(docs, 3, (90, 100)).collect()}
+    want = classes_by_matrix(rows, 3, 90)
+    assert got == want and len(set(want.values())) > 100
+    entries = [(c, 0, b, 0, kind) for c in range(3) for b, kind in [(c, 0), *((100 + k, 2) for k in range(3000 * c))]]
+    members = spark.createDataFrame(entries, "c1 bigint, c2 int, b1 bigint, b2 int, kind int")
+    parts = jaccard.dealt(members, 256).groupBy("c1", "part").agg({"kind": "count"}).collect()
+    assert max(r[2] for r in parts) < 2 * 256
+    dealt = jaccard.dealt(members, 256)
+    assert dealt.where("kind = 2").count() == 9000 and dealt.where("kind = 0").count() == len(parts)
+
+
 def test_jaccard_odd_rows(spark):
     docs = table(spark, [*ODD, ODD[3]])
     got = [(r.doc, r.n_shingles, r.component) for r in jaccard.near_duplicates(docs, 3).collect()]
