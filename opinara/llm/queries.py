@@ -22,7 +22,7 @@ from opinara.llm import (
     training_order,
     vectors,
 )
-from opinara.llm.common import fold
+from opinara.llm.common import fold, shared_folder, stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,9 +65,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return training_order.materialise(docs, training_order.read_ranks(RANKS),
+    """The shards are written to the shared folder, and read back for their digests."""
+    rows = training_order.materialise(_table(spark, sf_dir, "documents"), training_order.read_ranks(RANKS),
                                       public_tokenizers.PATTERN, END_MARK)
+    folder = shared_folder(spark, "shards")
+    return training_order.read_back(stored(training_order.write_shards(rows, folder), "manifest"), folder)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

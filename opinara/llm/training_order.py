@@ -5,12 +5,13 @@ Every document is tokenised with a public vocabulary and an end mark, and cut in
 counts, summed up, and a running number in each task). A Feistel network under a key permutes the
 next power of four of indices; results beyond the number of sequences are permuted again until they
 fall inside (cycle-walking), so every sequence gets its own slot and every slot is used. Rows are
-then dealt to partitions by ranges of slots: equal ranges of known borders, so neither sampling nor
-sorting across partitions is needed, and no key can be hot.
+then dealt to partitions by ranges of slots, `SHARDS_PER_TASK` shards each: equal ranges of known
+borders, so neither sampling nor sorting across partitions is needed, and no key can be hot.
 
 A shard holds `shard_size` sequences of `stride` bytes each (uint16 ids, little-endian), so slot s
 stands in shard s // shard_size at byte (s % shard_size) * stride, and reading can resume at any slot.
-The index follows the layout of the input (its splits), so the order is repeatable for equal input
+Shards are written under a temporary name and then renamed, so a task that is run again leaves the same
+files. The index follows the layout of the input (its splits), so the order is repeatable for equal input
 files and settings; the tokens are stored before they are counted, so a lost executor changes nothing.
 
 Defined cases: a null text counts as empty; an empty text is one sequence of end marks with no
@@ -21,10 +22,12 @@ not returned.
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ from opinara.llm.common import give_back, slices, stored
 
 SEQ_LEN = 256
 SHARD_SIZE = 8192
+SHARDS_PER_TASK = 16
 ROUNDS = 4
 _WORKER: dict = {}
 
@@ -43,7 +47,7 @@ def read_ranks(path: str) -> bytes:
 
 
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
-    key = (len(ranks), pattern)
+    key = (xxhash.xxh128_digest(ranks), pattern)
     if key not in _WORKER:
         pairs = (line.split() for line in ranks.splitlines() if line)
         _WORKER[key] = tiktoken.Encoding("file", pat_str=pattern, special_tokens={},
@@ -113,7 +117,7 @@ def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, orde
         base[row.task] = n
         n += row.n
     shards = -(-n // shard_size)
-    partitions = max(1, min(shards, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = max(1, min(shards, partitions or -(-shards // SHARDS_PER_TASK)))
     stride, shared = seq_len * 2, spark.sparkContext.broadcast(base)
 
     def place(batches):
@@ -151,14 +155,21 @@ def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, orde
                     "doc_id", "part", "n_tokens", "tokens"))
 
 
+def _system(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
+
+
 def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     """Writes one file for each shard under a folder that all executors reach (any URI that Arrow's
     file systems know), each under a temporary name first, and returns shard, file, n_sequences.
 
     A task that is run again writes the same bytes to the same names."""
     def run(batches):
-        from pyarrow import fs
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = _system(folder)
         system.create_dir(root, recursive=True)
         now, out, count = None, None, 0
         name = lambda s: f"{root}/shard-{s:08d}.bin"
@@ -185,11 +196,35 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("shard", "tokens").mapInArrow(run, "shard bigint, file string, n_sequences bigint")
 
 
+def read_back(manifest: DataFrame, folder: str, seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """shard, file, first_slot, n_sequences, n_bytes, sha256 of the files as they stand in the folder;
+    manifest: shard and file of each."""
+    def run(batches):
+        system, root = _system(folder)
+        for batch in batches:
+            sizes, digests = [], []
+            for name in batch["file"].to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(f"{root}/{name}") as f:
+                    while data := f.read(1 << 20):
+                        digest.update(data)
+                        size += len(data)
+                sizes.append(size)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch["shard"], batch["file"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
+                ["shard", "file", "n_bytes", "sha256"])
+
+    found = manifest.select("shard", "file").repartition("shard").mapInArrow(
+        run, "shard bigint, file string, n_bytes bigint, sha256 string")
+    return found.select("shard", "file", (F.col("shard") * shard_size).alias("first_slot"),
+                        F.floor(F.col("n_bytes") / (2 * seq_len)).cast("bigint").alias("n_sequences"), "n_bytes", "sha256")
+
+
 def read_slots(folder: str, first: int, count: int, seq_len: int = SEQ_LEN,
                shard_size: int = SHARD_SIZE) -> np.ndarray:
     """count sequences from slot first on, read in order from the shards."""
-    from pyarrow import fs
-    system, root = fs.FileSystem.from_uri(folder)
+    system, root = _system(folder)
     out, stride = [], seq_len * 2
     while count > 0:
         shard, at = divmod(first, shard_size)

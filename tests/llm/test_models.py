@@ -1,6 +1,8 @@
 """Operators 2, 6, 7, 9, 10 and the pipeline: held-out accuracy, round trips, brute force."""
 
+import base64
 import functools
+import hashlib
 import itertools
 import math
 import random
@@ -220,6 +222,49 @@ def test_training_order(spark, sf, tmp_path):
     assert training_order.materialise(docs.limit(0), ranks, public_tokenizers.PATTERN, 50256).count() == 0
 
 
+def test_training_order_query(spark, sf):
+    """The files that the query read back, against shards made by plain loops."""
+    enc = training_order._encoding(training_order.read_ranks(RANKS), public_tokenizers.PATTERN)
+    sequences = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():  # one split, so in this order
+        ids = [*enc.encode_ordinary(r.text or ""), queries.END_MARK]
+        ids += [queries.END_MARK] * (-len(ids) % training_order.SEQ_LEN)
+        sequences += [ids[i:i + training_order.SEQ_LEN] for i in range(0, len(ids), training_order.SEQ_LEN)]
+    slots = training_order.feistel(np.arange(len(sequences)), len(sequences), 1)
+    data = np.empty((len(sequences), training_order.SEQ_LEN), "<u2")
+    data[slots] = sequences
+    size = training_order.SHARD_SIZE
+    want = [(k, k * size, len(part), part.nbytes, hashlib.sha256(part.tobytes()).hexdigest())
+            for k, part in enumerate(data[i:i + size] for i in range(0, len(data), size))]
+    got = queries.op6_training_order(spark, sf).orderBy("shard").collect()
+    assert [(r.shard, r.first_slot, r.n_sequences, r.n_bytes, r.sha256) for r in got] == want
+
+
+def test_shards_written_again_are_the_same(spark, sf, tmp_path):
+    ranks = training_order.read_ranks(RANKS)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = f"file://{tmp_path}/shards"
+    rows = training_order.materialise(docs, ranks, public_tokenizers.PATTERN, 50256, shard_size=20, partitions=4)
+    found = []
+    for _ in range(2):
+        manifest = training_order.write_shards(rows, folder)
+        manifest.collect()
+        found.append(sorted(training_order.read_back(manifest, folder, shard_size=20).collect()))
+    assert found[0] == found[1] and len(found[0]) > 4
+    assert {p.name for p in (tmp_path / "shards").iterdir()} == {r.file for r in found[0]}
+
+
+def test_encoders_are_told_apart_by_their_ranks():
+    lines = training_order.read_ranks(RANKS).splitlines()
+    at = [i for i, line in enumerate(lines) if len(line) == len(lines[5000])][:2000:1999]
+    swapped = list(lines)
+    one, two = (lines[i].split() for i in at)
+    swapped[at[0]], swapped[at[1]] = one[0] + b" " + two[1], two[0] + b" " + one[1]
+    a, b = (training_order._encoding(b"\n".join(x), public_tokenizers.PATTERN) for x in (lines, swapped))
+    word = base64.b64decode(one[0])
+    assert a.encode_single_token(word) == int(one[1]) != b.encode_single_token(word) == int(two[1])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
 <body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie notice">Ok?</div>
 <article><h1>Head &amp; more</h1><p>One <b>bold</b>
