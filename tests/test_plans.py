@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from opinara.operators import metrics, sentiment
+from opinara.operators import keywords, metrics, sentiment
 from opinara.plans.answers import answer_table
 from opinara.plans.marts import Marts
 from opinara.plans.report import report
@@ -77,3 +77,10 @@ def test_answers_read_each_mart_once(spark, sf):
     facts = [line for line in reads["answers"] if "ReviewLen" in line or "[Id#" in line]
     assert len(facts) <= 3 and len(reads["answers"]) - len(facts) == 2
     assert len(reads["report"]) == 2 and not any("n_chars" in plan for plan in plans.values())
+
+
+def test_cube_and_words_come_from_one_pass(spark, sf):
+    raw = source.reviews_from_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = final_plan(keywords.review_counts(sentiment.score(source.load_reviews(raw), entry.LEXICON)))
+    assert plan.count("FileScan") == 1 and plan.count(SCORING) == 1
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
