@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import decontaminate, jaccard, language_id, pieces, repeats
-from opinara.llm.common import fold, stored
+from opinara.llm.common import fold, replaced
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what each gives is stored before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents; what each gives is stored before the next one reads it, and removed when
+    that one's result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = before = replaced(stage(spark, docs, sf_dir), name, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, before: DataFrame | None) -> DataFrame:
+    """As stored; the folder of the stored table before it, which nothing else may read, is removed."""
+    now = stored(df, name)
+    if before is not None:
+        spark = df.sparkSession
+        for file in before.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return now
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; null keys count as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts

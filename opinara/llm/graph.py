@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import stored
+from opinara.llm.common import replaced, stored
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
 
     Each step links nodes to the smallest neighbour, keeping all connections; neighbours are only
     ever aggregated to a minimum, so a node with very many edges is not gathered anywhere. Every
-    round is written to the shared folder, which cuts the lineage. One row of totals per round comes
-    to the driver, to see whether anything changed.
+    round is written to the shared folder, which cuts the lineage; the round before it is removed. One
+    row of totals per round comes to the driver, to see whether anything changed.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                  .where("u != v").distinct(), "edges")
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = stored(small, "edges")
+        now = replaced(small, "edges", now)
         total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if total == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -111,9 +112,11 @@ class Node:
     def __init__(self, tag: str, parent: Node | None, attrs: list[tuple[str, str | None]]):
         self.tag, self.parent, self.children, sign, self.gone = tag, parent, [], tag, False
         # For each kind of ending, the nearest element from here up that it meets.
-        near = parent.near if parent else (None,) * len(_RULES)
-        met = _MET.get(tag, ())
-        self.near = tuple(self if i in met else n for i, n in enumerate(near)) if met else near
+        self.near = parent.near if parent else [None] * len(_RULES)
+        if tag in _MET:
+            self.near = self.near.copy()
+            for i in _MET[tag]:
+                self.near[i] = self
         self.inside = parent is not None and (parent.inside or parent.tag in MAIN)
         self.noise = tag in NOISE_TAGS or (tag == "header" and not self.inside)
         self.named = None  # the id, where nothing else makes the element noise; "" for a class
@@ -153,6 +156,9 @@ class _Builder(HTMLParser):
         self.closing = True
         super().close()
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not asked for
+
     # What has no end further on is found to have none once, not at each of its beginnings.
 
     def _ends(self, i, sign=">"):
@@ -229,33 +235,44 @@ def parse(html: str | None) -> Node:
     builder.close()
     if builder.named:
         _reconsider(builder)
-    _place(builder.root)
     return builder.root
 
 
-def _place(root: Node) -> None:
-    """Looks, own text and key of every element: its key is made of that of its parent, the parent's
+def place(root: Node) -> None:
+    """Sets looks, own text and key of every element: its key is made of that of its parent, the parent's
     looks and its place in them."""
-    root.key, stack = xxhash.xxh64_intdigest(root.sign), [root]
+    root.key, stack = 0, [root]
     while stack:
         node = stack.pop()
-        runs: list[list[Node]] = []
+        tags: list[str] = []
+        children: list[tuple[Node, int]] = []  # and number in its run
         own = []
         for child in node.children:
             if isinstance(child, str):
                 own.append(child)
-            elif runs and runs[-1][0].tag == child.tag:
-                runs[-1].append(child)
+            elif tags and tags[-1] == child.tag:
+                children.append((child, children[-1][1] + 1))
             else:
-                runs.append([child])
-        node.looks = xxhash.xxh64_intdigest(" ".join(run[0].tag for run in runs))
+                tags.append(child.tag)
+                children.append((child, 0))
+        node.looks = _number(" ".join(tags))
         text = " ".join(" ".join(own).split()) if own else ""
         node.said = xxhash.xxh64_intdigest(text) if text else 0
-        for number, run in enumerate(runs):
-            for i, child in enumerate(run):
-                place = "last" if 0 < i == len(run) - 1 else i
-                child.key = xxhash.xxh64_intdigest(f"{node.key} {node.looks} {number} {place} {child.sign}")
-                stack.append(child)
+        run = -1
+        for at, (child, i) in enumerate(children):
+            run += i == 0
+            last = 0 < i and (at + 1 == len(children) or children[at + 1][1] == 0)
+            # Hashes of tuples of numbers are the same in every process.
+            child.key = hash((node.key, node.looks, run, -1 if last else i, _number(child.sign))) & _MASK
+            stack.append(child)
+
+
+_MASK = (1 << 63) - 1
+
+
+@lru_cache(1 << 16)
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
 
 
 def _read(node: Node, links: bool = False) -> tuple[int, int]:
@@ -311,8 +328,8 @@ class Noise:
 
 def mark(root: Node, noise: Noise) -> None:
     """Sets gone on the branches that go: all elements are noise, and no text is the page's own."""
-    order = list(styles(root))
-    for node in reversed(order):
+    place(root)
+    for node in reversed(list(styles(root))):
         node.gone = (node.key in noise.nodes and (not node.said or (node.key, node.said) in noise.said)
                      and all(c.noise or c.gone for c in node.children if isinstance(c, Node)))
 
@@ -330,7 +347,7 @@ def main_text(root: Node, low: Noise | None = None) -> str:
             stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node))
     tops = tops or hidden
     blocks = _blocks(tops or [root], False)
-    if low:
+    if low and low.said:
         mark(root, low)
         left = _blocks(tops or [root], True)
         # An article that loses half of its text is one that stands at several addresses.
@@ -391,7 +408,9 @@ def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     def count(batch):
         seen: dict[tuple, list[int]] = {}
         for host, t in zip(batch["h"].to_pylist(), batch["t"].to_pylist(), strict=True):
-            nodes = list(styles(parse(t)))
+            root = parse(t)
+            place(root)
+            nodes = list(styles(root))
             page = xxhash.xxh64_intdigest(np.array([n.said for n in nodes], np.uint64).tobytes()) >> 1
             for node in nodes:
                 parent = node.parent.key if node.parent else 0
@@ -433,7 +452,8 @@ def importance(tree: DataFrame) -> DataFrame:
 
 
 def noise_lists(tree: DataFrame, least: float, least_pages: int, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Stored rows host, nodes, said: the elements of low importance, and what several pages say there."""
+    """Stored rows host, nodes, said: the elements of low importance, and what several pages say there;
+    a host where that is nothing has no row, as no text would go."""
     every = importance(tree)
     around = every.select("host", F.col("node").alias("parent"), F.col("n_pages").alias("around"))
     low = every.where((F.col("importance") < least) & (F.col("n_pages") >= least_pages)).join(
@@ -443,7 +463,7 @@ def noise_lists(tree: DataFrame, least: float, least_pages: int, least_share: fl
     found = low.select("host", "node").join(texts, ["host", "node"], "left").groupBy("host").agg(
         F.collect_set("node").alias("nodes"),
         F.collect_list(F.when(F.col("value").isNotNull(), F.struct("node", "value"))).alias("said"))
-    return stored(found, "noise-lists")
+    return stored(found.where(F.size("said") > 0), "noise-lists")
 
 
 def extract(pages: DataFrame, keep: Sequence[str], url: str = "url", html: str = "html",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from opinara.llm import (
     decontaminate,
+    graph,
     html_text,
     language_id,
     quality,
@@ -28,6 +29,7 @@ from opinara.llm import (
     training_order,
     vectors,
 )
+from opinara.sources import sinks
 
 DATA = "/root/testdata"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -581,6 +583,16 @@ def test_vectors_odd_rows(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_leave_one_round_behind(spark, tmp_path, monkeypatch):
+    """A long path and a star: right components, and no folders of the rounds before the last."""
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
+    monkeypatch.setattr(sinks, "shared_folder", lambda spark: str(tmp_path))
+    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+    assert len(list(tmp_path.iterdir())) == 1
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the one before kept, against plain Python."""
     names = [n for n, _ in corpus_pipeline.STAGES]
