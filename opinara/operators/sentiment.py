@@ -14,13 +14,16 @@ from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import bands, text
+from opinara.sources.sinks import stored
+from opinara.sources.tables import small_table
 
 UNIT = 1_000_000  # polarities are counted in millionths
-LEXICON_BYTES = 16_000_000  # of words in a lexicon that every task gets; see score_by_join
+LEXICON_BYTES = 2_000_000  # of words in a lexicon that is a constant in the plan; larger ones are joined
 
 Lexicon = Mapping[str, "Decimal | float | str"] | DataFrame
 
@@ -39,23 +42,31 @@ def score(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Add PlainText, CleanText, SentimentScore, Sentiment and ExpectedSentiment.
 
     The lexicon becomes a constant inside the scoring expression: no shuffle, no join.  One
-    given as a table is fetched for that, after a check of its size; a lexicon too large for
-    every task is refused here, and scored alike by :func:`score_by_join`.
+    given as a table is fetched for that, after a check of its size.  A larger one is joined by
+    :func:`score_by_join`, and its scores are joined to the reviews by a row number, with the
+    same result; the reviews are stored for that, so that the numbers hold.
     """
     if isinstance(lexicon, DataFrame):
+        if _bytes(lexicon) > LEXICON_BYTES:
+            return _score_joined(reviews, lexicon)
         lexicon = _fetched(lexicon)
-    if sum(len(w.encode()) + 8 for w in lexicon) > LEXICON_BYTES:
-        raise ValueError(f"lexicon of over {LEXICON_BYTES} bytes: use score_by_join")
+    elif sum(len(w.encode()) + 8 for w in lexicon) > LEXICON_BYTES:
+        for value in lexicon.values():
+            _millionths(value)
+        schema = pa.schema([("word", pa.string()), ("polarity", pa.string())])
+        rows = [(w, str(p)) for w, p in lexicon.items()]
+        return _score_joined(reviews, small_table(reviews.sparkSession, rows, schema))
     cleaned = with_clean_text(reviews)
     words = text.words(F.col("PlainText"))
     return _labelled(cleaned.withColumn("SentimentScore", polarity(words, lexicon)))
 
 
+def _bytes(lexicon: DataFrame) -> int:
+    return lexicon.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+
+
 def _fetched(lexicon: DataFrame) -> dict[str, Decimal]:
-    """A lexicon table as a mapping, once its size is known to be within the bound."""
-    size = lexicon.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
-    if size > LEXICON_BYTES:
-        raise ValueError(f"lexicon of over {LEXICON_BYTES} bytes: use score_by_join")
+    """A lexicon table as a mapping; its size is known to be within the bound."""
     found: dict[str, Decimal] = {}
     for word, value in lexicon.select("word", F.col("polarity").cast("string")).collect():
         if found.setdefault(word, Decimal(value)) != Decimal(value):
@@ -63,6 +74,12 @@ def _fetched(lexicon: DataFrame) -> dict[str, Decimal]:
     return found
 
 
+def _score_joined(reviews: DataFrame, lexicon: DataFrame) -> DataFrame:
+    rows = stored(reviews.withColumn("_review", F.monotonically_increasing_id()), "reviews")
+    scores = score_by_join(rows, lexicon, ("_review",)).select("_review", "SentimentScore")
+    return _labelled(with_clean_text(rows).join(scores, "_review").drop("_review"))
+
+
 def score_with(reviews: DataFrame, scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """As :func:`score`, with the caller's own ``Series[str] -> Series[float]``."""
 

@@ -86,6 +86,22 @@ def test_lexicon_kinds_agree(spark):
     assert labelled.columns == ["Id", "ProductId", "SentimentScore", "Sentiment", "ExpectedSentiment"]
 
 
+def test_a_lexicon_too_large_for_the_plan_gives_the_same(spark, monkeypatch):
+    """As a mapping or a table, with the same columns, so that all marts can be built on it."""
+    rows = [*ROWS[:60], *ROWS[:10], *((None, *r[1:]) for r in ROWS[:10])]
+    base = reviews(spark, rows)
+    table = spark.createDataFrame([(w, str(p)) for w, p in LEXICON.items()], "word string, polarity string")
+    plain = sentiment.score(base, LEXICON)
+    want = Counter(map(str, plain.collect()))
+    monkeypatch.setattr(sentiment, "LEXICON_BYTES", 10)
+    for lexicon in (LEXICON, table):
+        joined = sentiment.score(base, lexicon)
+        assert joined.columns == plain.columns and Counter(map(str, joined.collect())) == want
+    assert len(answer_table(Marts.build(joined)).collect()) == 25
+    with pytest.raises(ValueError):
+        sentiment.score(base, LEXICON | {"x": 2})
+
+
 def test_a_word_with_two_values_is_refused(spark):
     table = spark.createDataFrame([("fine", "0.8"), ("fine", "0.2")], "word string, polarity string")
     with pytest.raises(ValueError, match="two polarities"):
