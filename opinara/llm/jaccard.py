@@ -15,8 +15,8 @@ lack), then J(a, b) <= min(J(a, c), J(b, c)), so a linked pair is linked through
 linked to the centre are compared with those that share a difference, by an index of the differences
 inside the group. A group of more than `PART` sets is dealt out in parts, each with a copy of the centre;
 what is not linked to the centre there (and nothing else: two sets that are need no link of their own) then
-looks for its partners by a join on single differences, the rarest of its own first, as many as linked
-sets must share one of. Neither a part nor a join holds a group's sets in one task.
+goes to every part and meets the members there in such an index. No task holds more of a group than a part,
+and of the links found in a part only those are given that join what was not joined there.
 
 Verification uses whole sets, so every link reported is exact up to 64-bit hashes, and classes are
 the connected components of all links.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, slices, stored
@@ -360,35 +360,64 @@ def compare(groups: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
                                  " centre_size bigint, near boolean, deltas array<bigint>")
 
 
-def compare_rest(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The links inside the groups that are split: every member not linked to the centre meets those
-    with one of its rarest differences from the centre, then whole lists decide."""
+def compare_rest(rest: DataFrame, threshold: tuple[int, int], part: int) -> DataFrame:
+    """The links inside the groups that are split: each member not linked to the centre is sent to every
+    part of its group, where an index of the members' differences counts what they share with it."""
     lonely = rest.where(~F.col("near"))
-    rest = rest.join(lonely.select("centre").distinct(), "centre", "left_semi")
-    single = rest.select("centre", "a", F.explode("deltas").alias("d"))
-    counts = single.groupBy("centre", "d").agg(F.count("*").alias("n")).where("n > 1")
-    need = F.ceil(F.col("size") * threshold[0] / threshold[1])
-    # Linked sets share so many differences, so one of the rarest size - asked + 1 is shared; those
-    # that nobody else has are the rarest of all.
-    asked = F.greatest(F.lit(1), need - F.col("centre_size") + F.col("lacks")).cast("int")
-    own = lonely.select("centre", "a", F.size("deltas").alias("all"), asked.alias("asked"),
-                        F.explode("deltas").alias("d")).join(counts, ["centre", "d"])
-    known = Window.partitionBy("centre", "a")
-    place = F.row_number().over(known.orderBy(F.desc("n"), F.xxhash64("d")))  # from the commonest
-    keys = own.withColumn("place", place).where(F.col("place") >= F.col("asked")).select(
-        "centre", "d", F.col("a").alias("x"))
-    pairs = keys.join(single, ["centre", "d"]).where("x != a").select(
-        "centre", F.least("x", "a").alias("x"), F.greatest("x", "a").alias("y")).distinct()
-
-    def side(name: str) -> DataFrame:
-        return rest.select("centre", "centre_size", F.col("a").alias(name), F.col("size").alias(f"{name}_size"),
-                           F.col("lacks").alias(f"{name}_lacks"), F.col("deltas").alias(f"{name}_deltas"))
-
-    both = pairs.join(side("x"), ["centre", "x"]).join(side("y").drop("centre_size"), ["centre", "y"])
-    common = F.size(F.array_intersect("x_deltas", "y_deltas"))
-    overlap = F.col("centre_size") - F.col("x_lacks") - F.col("y_lacks") + common
-    return both.where(linked(overlap, F.col("x_size"), F.col("y_size"), threshold)).select(
-        F.col("x").alias("a"), F.col("y").alias("b"))
+    asked = lonely.select("centre").distinct()
+    parts = rest.join(asked, "centre", "left_semi").groupBy("centre").agg(
+        F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    members = rest.join(parts, "centre").withColumns({"part": own, "kind": F.lit(0)})
+    queries = lonely.join(parts, "centre").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(1))
+    columns = ["centre", "part", "kind", "a", "size", "lacks", "centre_size", "deltas"]
+
+    def run(batches):
+        now, held, index, out = None, [], None, []
+
+        def built():
+            """The members' ids, sizes and lacks, and their differences in order, with whose they are."""
+            ids, sizes, lacks, deltas = zip(*held, strict=True)
+            flat = np.concatenate(deltas)
+            whose = np.repeat(np.arange(len(ids)), [len(d) for d in deltas])
+            by = np.argsort(flat, kind="stable")
+            number = {x: i for i, x in enumerate(ids)}
+            return ids, np.array(sizes), np.array(lacks), flat[by], whose[by], number, Forest(len(ids))
+
+        def links(a, size, lacks, centre_size, deltas):
+            ids, sizes, their, flat, whose, number, forest = index
+            lo, hi = np.searchsorted(flat, deltas), np.searchsorted(flat, deltas, "right")
+            met = np.concatenate([whose[i:j] for i, j in zip(lo, hi, strict=True)] or [whose[:0]])
+            common = np.bincount(met, minlength=len(ids))
+            near = (common > 0) & linked(centre_size - lacks - their + common, size, sizes, threshold)
+            # One link to each tree of the part joins all that are linked to it.
+            first = number.get(a)
+            for j in np.flatnonzero(near).tolist():
+                if ids[j] != a and (first is None or forest.join(first, j)):
+                    first = j if first is None else first
+                    yield a, ids[j]
+
+        for batch in batches:
+            for c, p, kind, a, size, lacks, centre_size, deltas in zip(
+                    *(batch[n].to_pylist() for n in columns), strict=True):
+                if (c, p) != now:
+                    now, held, index = (c, p), [], None
+                deltas = np.array(deltas, np.int64)
+                if kind == 0:  # members come first
+                    held.append((a, size, lacks, deltas))
+                elif held:
+                    index = index or built()
+                    out.extend(links(a, size, lacks, centre_size, deltas))
+            if out:
+                x, y = zip(*out, strict=True)
+                out = []
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        give_back()
+
+    rows = members.select(columns).unionAll(queries.select(columns))
+    return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "kind").mapInArrow(
+        run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100),
@@ -414,7 +443,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
         "c1", "c2", "part", "split", "kind", "rep", "t")
     compared = stored(compare(groups, n, threshold), "compared")
     edges = compared.where("centre IS NULL").select("a", "b").unionAll(
-        compare_rest(compared.where("centre IS NOT NULL"), threshold))
+        compare_rest(compared.where("centre IS NOT NULL"), threshold, part))
     linked_to = components(edges, "a", "b").withColumnRenamed("node", "rep")
     ids = classes.select("s1", "s2", "rep").join(linked_to, "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component"))
