@@ -10,7 +10,7 @@ Choosing the groups. Every passage holds a word group of `GRAM` words with the l
 and equal passages have equal anchors. (1) The anchors of each document are counted; only those in
 two documents or more can belong to a repeat, which leaves most of the corpus out before any text
 is moved. (2) Suffixes are grouped by the anchor, and neighbouring suffixes with one anchor travel
-as one piece of text. (3) An anchor whose pieces hold more than `TREE_WORDS` words together gets the
+as one piece of text. (3) An anchor whose different pieces hold more than `TREE_WORDS` words together gets the
 longest prefix there is, the whole passage: then a group is a node of its own, and all that is asked of
 it, the smallest and largest document, is an aggregate that never lists its suffixes. So no task holds more
 than twice `TREE_WORDS` words of a tree. Equal pieces are merged in each task before the shuffle, keeping
@@ -38,7 +38,7 @@ from opinara.llm.common import WHOLE_BATCH, chunks, give_back, map_batches, mix,
 WINDOW = 50
 GRAM = 10
 MOST_WINDOWS = 256
-TREE_WORDS = 250_000
+TREE_WORDS = 500_000
 
 
 def _bytes(texts: list[str]) -> list[bytes]:
@@ -184,19 +184,24 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
                        F.col(text).cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
 
     def anchors(batch):
-        ids, out_doc, out_anchor, out_words = batch["doc"].to_numpy(), [], [], []
+        ids, out = batch["doc"].to_numpy(), [[], [], [], []]
         for first, part in chunks(batch["t"].to_pylist()):
-            (whose, _, count, anchor), _ = anchored_runs(_bytes(part), window)
-            out_doc.append(ids[first + whose])
-            out_anchor.append(anchor)
-            out_words.append(count + window - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in (out_anchor, out_doc, out_words)], ["anchor", "doc", "words"])
-
-    found = stored(map_batches(rows.select("doc", "t"), anchors, "anchor bigint, doc bigint, words bigint"), "anchors")
-    again = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"),
-                                        F.sum("words").alias("words")).where("a < b")
-    marks = found.join(again.select("anchor", (F.col("words") > tree_words).alias("large")), "anchor")
+            (whose, place, count, anchor), (_, _, h) = anchored_runs(_bytes(part), window)
+            words = count + window - 1
+            same = [xxhash.xxh64_intdigest(h[p:p + n]) for p, n in zip(place.tolist(), words.tolist(), strict=True)]
+            for x, y in zip(out, (anchor, ids[first + whose], words, np.array(same, np.uint64).view(np.int64)),
+                            strict=True):
+                x.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "doc", "words", "piece"])
+
+    marked = map_batches(rows.select("doc", "t"), anchors, "anchor bigint, doc bigint, words bigint, piece bigint")
+    found = stored(marked, "anchors")
+    # Copies of a piece are merged before they meet, so they count once.
+    pieces = found.groupBy("anchor", "piece").agg(F.min("doc").alias("a"), F.max("doc").alias("b"),
+                                                  F.max("words").alias("words"))
+    again = pieces.groupBy("anchor").agg(F.min("a").alias("a"), F.max("b").alias("b"),
+                                         F.sum("words").alias("words")).where("a < b")
+    marks = found.select("anchor", "doc").join(again.select("anchor", (F.col("words") > tree_words).alias("large")), "anchor")
     marks = marks.groupBy("doc").agg(
         F.collect_set("anchor").alias("anchors"),
         F.collect_set(F.when(F.col("large"), F.col("anchor"))).alias("large"))
@@ -235,7 +240,8 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
     groups = map_batches(some, cut, "route bigint, piece binary, low bigint, high bigint", WHOLE_BATCH)
     groups = groups.repartition("route").sortWithinPartitions("route")
     passages = map_batches(some.where(F.size("large") > 0), whole, "s1 bigint, s2 bigint, low bigint, high bigint",
-                           WHOLE_BATCH).groupBy("s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+                           WHOLE_BATCH)
+    passages = passages.groupBy("s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     none = F.array().cast("array<int>")
 
     def trees(batches):
