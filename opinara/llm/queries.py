@@ -66,10 +66,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards are written to the shared folder, and read back for their digests."""
-    rows = training_order.materialise(_table(spark, sf_dir, "documents"), training_order.read_ranks(RANKS),
-                                      public_tokenizers.PATTERN, END_MARK)
     folder = shared_folder(spark, "shards")
-    return training_order.read_back(stored(training_order.write_shards(rows, folder), "manifest"), folder)
+    manifest = training_order.write_shards(_table(spark, sf_dir, "documents"), folder,
+                                           training_order.read_ranks(RANKS), public_tokenizers.PATTERN, END_MARK)
+    return training_order.read_back(stored(manifest, "manifest"), folder)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

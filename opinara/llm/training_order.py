@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +103,18 @@ def tokens(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, seq_len:
         run, "doc_id bigint, task int, first bigint, tokens binary")
 
 
-def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, order_key: int = 1,
-                seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE, partitions: int | None = None,
-                text: str = "text", key: str = "doc_id") -> DataFrame:
-    """slot, shard, byte_offset, doc_id, part (number of the sequence in its document), n_tokens,
-    tokens (stride bytes): partitions are ranges of slots, sorted by slot, and hold whole shards."""
+@dataclass(frozen=True)
+class Order:
+    """The stored tokens, how many sequences they make, and the first index of every task's."""
+
+    kept: DataFrame
+    n: int
+    base: dict[int, int]
+
+
+def ordered(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, seq_len: int, text: str, key: str) -> Order:
     if end_mark >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    spark = docs.sparkSession
     kept = stored(tokens(docs, ranks, pattern, end_mark, seq_len, text, key), "tokens")
     length = F.length("tokens") / 2
     per_task = kept.groupBy("task").agg(F.sum(F.ceil(length / seq_len)).alias("n")).collect()
@@ -116,40 +122,50 @@ def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, orde
     for row in sorted(per_task):  # one row for each split of the input
         base[row.task] = n
         n += row.n
-    shards = -(-n // shard_size)
-    partitions = max(1, min(shards, partitions or -(-shards // SHARDS_PER_TASK)))
-    stride, shared = seq_len * 2, spark.sparkContext.broadcast(base)
+    return Order(kept, n, base)
+
+
+def sequences(batch: pa.RecordBatch, base: dict[int, int], n: int, order_key: int, seq_len: int,
+              end_mark: int) -> tuple[np.ndarray, ...]:
+    """Slot, row of the batch, number in the document, tokens of the text, and ids of every sequence."""
+    data = [np.frombuffer(x, "<u2") for x in batch["tokens"].to_pylist()]
+    size = np.array([len(x) for x in data])
+    count = -(-size // seq_len)
+    part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.array([base[t] for t in batch["task"].to_pylist()]) + batch["first"].to_numpy()
+    slot = feistel(np.repeat(begin, count) + part, n, order_key)
+    flat = np.full((int(count.sum()), seq_len), end_mark, "<u2")
+    at = np.repeat((np.cumsum(count) - count) * seq_len - (np.cumsum(size) - size), size)
+    flat.reshape(-1)[np.arange(size.sum()) + at] = np.concatenate(data)
+    # The end mark is no token of the text; the last sequence may hold nothing else.
+    real = np.minimum(seq_len, np.repeat(size - 1, count) - part * seq_len)
+    return slot, np.repeat(np.arange(len(count)), count), part, real.astype(np.int64), flat
+
+
+def materialise(docs: DataFrame, ranks: bytes, pattern: str, end_mark: int, order_key: int = 1,
+                seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE, per_task: int = SHARDS_PER_TASK,
+                text: str = "text", key: str = "doc_id") -> DataFrame:
+    """slot, shard, byte_offset, doc_id, part (number of the sequence in its document), n_tokens,
+    tokens (stride bytes): partitions are ranges of slots, sorted by slot, and hold whole shards."""
+    order = ordered(docs, ranks, pattern, end_mark, seq_len, text, key)
+    n, stride, shared = order.n, seq_len * 2, docs.sparkSession.sparkContext.broadcast(order.base)
 
     def place(batches):
         for batch in slices(batches):
-            data = [np.frombuffer(x, "<u2") for x in batch["tokens"].to_pylist()]
-            size = np.array([len(x) for x in data])
-            count = -(-size // seq_len)
-            part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            begin = np.array([shared.value[t] for t in batch["task"].to_pylist()])
-            begin = begin + batch["first"].to_numpy()
-            slot = feistel(np.repeat(begin, count) + part, n, order_key)
-            flat = np.full((int(count.sum()), seq_len), end_mark, "<u2").reshape(-1)
-            at = np.repeat((np.cumsum(count) - count) * seq_len - (np.cumsum(size) - size), size)
-            flat[np.arange(size.sum()) + at] = np.concatenate(data)
-            # The end mark is no token of the text; the last sequence may hold nothing else.
-            real = np.minimum(seq_len, np.repeat(size - 1, count) - part * seq_len)
+            slot, row, part, real, flat = sequences(batch, shared.value, n, order_key, seq_len, end_mark)
             payload = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(stride), len(slot), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
             rows = pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), count))
-                 if not batch["doc_id"].null_count else
-                 batch["doc_id"].take(pa.array(np.repeat(np.arange(len(count)), count))),
-                 pa.array(part), pa.array(real.astype(np.int64)), payload],
+                [pa.array(slot), batch["doc_id"].take(pa.array(row)), pa.array(part), pa.array(real), payload],
                 ["slot", "doc_id", "part", "n_tokens", "tokens"])
             yield from slices([rows], 4096)
         give_back()
 
-    rows = kept.mapInArrow(
+    rows = order.kept.mapInArrow(
         place, "slot bigint, doc_id bigint, part bigint, n_tokens bigint, tokens binary")
     shard = F.floor(F.col("slot") / shard_size)
-    target = F.floor(shard * partitions / max(1, shards)).cast("int")
-    return (rows.repartitionById(partitions, target).sortWithinPartitions("slot")
+    target = F.floor(shard / per_task).cast("int")
+    return (rows.repartitionById(max(1, -(-n // (shard_size * per_task))), target).sortWithinPartitions("slot")
             .select("slot", shard.cast("bigint").alias("shard"),
                     (F.col("slot") % shard_size * stride).alias("byte_offset"),
                     "doc_id", "part", "n_tokens", "tokens"))
@@ -163,37 +179,59 @@ def _system(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_shards(rows: DataFrame, folder: str) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, ranks: bytes, pattern: str, end_mark: int, order_key: int = 1,
+                 seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE, per_task: int = SHARDS_PER_TASK,
+                 text: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes one file for each shard under a folder that all executors reach (any URI that Arrow's
     file systems know), each under a temporary name first, and returns shard, file, n_sequences.
 
-    A task that is run again writes the same bytes to the same names."""
+    What one batch has for a task is one compressed row; the task puts it in place, in an array of its
+    per_task shards. A task that is run again writes the same bytes to the same names."""
+    order = ordered(docs, ranks, pattern, end_mark, seq_len, text, key)
+    n, room, shared = order.n, shard_size * per_task, docs.sparkSession.sparkContext.broadcast(order.base)
+
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            slot, _, _, _, flat = sequences(batch, shared.value, n, order_key, seq_len, end_mark)
+            by = np.argsort(slot)
+            cuts = np.flatnonzero(np.diff(slot[by] // room, prepend=-1))
+            parts = [by[a:b] for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True)]
+            yield from slices([pa.RecordBatch.from_arrays(
+                [pa.array([int(slot[p[0]] // room) for p in parts], pa.int32()),
+                 pa.array([slot[p].tobytes() for p in parts], pa.binary()),
+                 pa.array([packer.compress(flat[p].tobytes()) for p in parts], pa.binary())],
+                ["target", "slots", "data"])], 4096)
+        give_back()
+
     def run(batches):
         system, root = _system(folder)
+        place, held, base = zstandard.ZstdDecompressor(), None, 0
+        for batch in batches:
+            for target, slots, data in zip(*(batch[c].to_pylist() for c in ("target", "slots", "data")), strict=True):
+                if held is None:
+                    base = target * room
+                    held = np.empty((min(room, n - base), seq_len), "<u2")
+                held[np.frombuffer(slots, np.int64) - base] = np.frombuffer(
+                    place.decompress(data), "<u2").reshape(-1, seq_len)
+        if held is None:
+            return
         system.create_dir(root, recursive=True)
-        now, out, count = None, None, 0
-        name = lambda s: f"{root}/shard-{s:08d}.bin"
-        temporary = lambda s: f"{root}/.shard-{s:08d}-{TaskContext.get().taskAttemptId()}"
-
-        def finish():
-            out.close()
-            system.move(temporary(now), name(now))
-            return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([now], pa.int64()), "file": [f"shard-{now:08d}.bin"],
-                 "n_sequences": pa.array([count], pa.int64())})
+        for at in range(0, len(held), shard_size):
+            shard, part = (base + at) // shard_size, held[at:at + shard_size]
+            name = f"shard-{shard:08d}.bin"
+            temporary = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
+            with system.open_output_stream(temporary) as out:
+                out.write(part.tobytes())
+            system.move(temporary, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict(
+                {"shard": pa.array([shard], pa.int64()), "file": [name], "n_sequences": pa.array([len(part)], pa.int64())})
+        del held
+        give_back()
 
-        for batch in batches:
-            for s, data in zip(batch["shard"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-                if s != now:
-                    if out:
-                        yield finish()
-                    now, out, count = s, system.open_output_stream(temporary(s)), 0
-                out.write(data)
-                count += 1
-        if out:
-            yield finish()
-
-    return rows.select("shard", "tokens").mapInArrow(run, "shard bigint, file string, n_sequences bigint")
+    packed = order.kept.mapInArrow(pack, "target int, slots binary, data binary")
+    return packed.repartitionById(max(1, -(-n // room)), "target").mapInArrow(
+        run, "shard bigint, file string, n_sequences bigint")
 
 
 def read_back(manifest: DataFrame, folder: str, seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE) -> DataFrame:
