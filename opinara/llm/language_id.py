@@ -2,11 +2,11 @@
 
 A text becomes the mean of the embeddings of its hashed character n-grams (inside words, with word
 edges); a linear layer and a softmax follow. Both are trained together by stochastic gradient
-descent in numpy on a bounded sample, in one task of an executor. A temperature and a rejection threshold are fitted on a part
-of the sample that training does not see, and on texts made from it that have no one language: even
-mixtures of two, shuffled letters, and the rows of a class that a second training leaves out. Since
-the layer is linear, embedding and layer fold into one table of class scores per bucket, which is all
-that the executors need.
+descent in numpy on a bounded sample, in one task of an executor. A temperature and a rejection
+threshold are fitted on a part of the sample that training does not see, and on texts made from it that
+have no one language: even mixtures of two, shuffled letters, and the rows of a class that a second
+training leaves out. Since the layer is linear, embedding and layer fold into one table of class scores
+per bucket, which is all that the executors need.
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; a text whose
 n-grams were never trained gets the most likely class by the bias; equal texts get equal results;

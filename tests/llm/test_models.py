@@ -200,9 +200,10 @@ def test_training_order(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(4)
     docs = docs.unionByName(odd(spark).select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
     ranks = training_order.read_ranks(RANKS)
-    rows = training_order.materialise(docs, ranks, public_tokenizers.PATTERN, 50256, seq_len=64,
-                                      shard_size=50, partitions=5)
-    written = training_order.write_shards(rows, f"file://{tmp_path}/shards").collect()
+    order = {"ranks": ranks, "pattern": public_tokenizers.PATTERN, "end_mark": 50256, "seq_len": 64, "shard_size": 50}
+    rows = training_order.materialise(docs, **order, per_task=3)
+    assert rows.rdd.getNumPartitions() > 5
+    written = training_order.write_shards(docs, f"file://{tmp_path}/shards", **order, per_task=4).collect()
     got = sorted(rows.collect())
     assert [r.slot for r in got] == list(range(len(got)))
     assert all((r.shard, r.byte_offset) == (r.slot // 50, r.slot % 50 * 128) for r in got)
@@ -246,10 +247,10 @@ def test_shards_written_again_are_the_same(spark, sf, tmp_path):
     ranks = training_order.read_ranks(RANKS)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = f"file://{tmp_path}/shards"
-    rows = training_order.materialise(docs, ranks, public_tokenizers.PATTERN, 50256, shard_size=20, partitions=4)
     found = []
+    manifest = training_order.write_shards(docs, folder, ranks, public_tokenizers.PATTERN, 50256, shard_size=20,
+                                           per_task=2)
     for _ in range(2):
-        manifest = training_order.write_shards(rows, folder)
         manifest.collect()
         found.append(sorted(training_order.read_back(manifest, folder, shard_size=20).collect()))
     assert found[0] == found[1] and len(found[0]) > 4
@@ -327,8 +328,9 @@ def test_html_tree_inside_articles(spark):
 def random_host(rng, number):
     """Pages of one host as trees of (tag, children): a frame that pages share, with parts of their own."""
     def frame(depth):
-        return [rng.choice(["div", "section", "ul"] if depth else ["p", "h2", "div"]), [rng.choice(["own", "same", "often", None, *([frame(depth - 1)] * 3 if depth else [])])
-                                   for _ in range(rng.randrange(1, 4))], rng.randrange(10**6)]
+        tag = rng.choice(["div", "section", "ul"] if depth else ["p", "h2", "div"])
+        kinds = lambda: ["own", "same", "often", None, *([frame(depth - 1)] * 3 if depth else [])]
+        return [tag, [rng.choice(kinds()) for _ in range(rng.randrange(1, 4))], rng.randrange(10**6)]
 
     frames = [frame(3) for _ in range(rng.randrange(2, 5))]
 
