@@ -186,7 +186,7 @@ def test_keyword_ties_of_repeated_and_missing_ids(spark):
         found, known = set(), {i: [] for i in (3, 7, None)}
         for i, w in zip(ids, words, strict=True):
             known[i].append(w)
-        for parts in (1, 3, 8):
+        for parts in (1, 8):
             scored = sentiment.score(reviews(spark, rows).repartition(parts), LEXICON)
             lists = [keywords.top_keywords(scored, n) for n in (None, "Negative")]
             lists.append(keywords.top_words(keywords.over_all_classes(keywords.keyword_counts(scored))))
